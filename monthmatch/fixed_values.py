@@ -36,7 +36,10 @@ SUBMISSION_TYPES = ("IND", "BUS")
 
 # -- fixed values: text formats ----------------------------------------------
 DELIMITER = "|"
-FILE_NAME_PATTERN = r"(?i)^([A-Za-z0-9]+?)(\d{4})_(IND|BUS)(?:_(\d+))?$"
+# subscriber, month, year, type, sequence
+FILE_NAME_PATTERN = (
+    r"(?i)^([A-Za-z0-9]+?)(0[1-9]|1[0-2])(\d{2})_(IND|BUS)(?:_(\d{1,9}))?(?:\.[^.]*)?$"
+)
 NULL_DATE_WORDS = ("nan", "none", "nat")
 NULL_AMOUNT_WORDS = ("nan", "none")
 DATE_FORMATS = (

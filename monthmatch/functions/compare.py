@@ -55,6 +55,11 @@ class FieldComparison:
             lambda f: f"{self._old(f)} <> '' AND `{f}` <> '' AND {self._differs(f)}"
         )
 
+    def only_added(self) -> Column:
+        """No field that had a value has another one now, or none."""
+        kept = [f"({self._old(f)} = '' OR NOT ({self._differs(f)}))" for f in self.fields]
+        return F.expr(" AND ".join(kept))
+
     def text(self) -> Column:
         """``Field: 'old' -> 'new'`` for every differing field."""
         parts = ", ".join(

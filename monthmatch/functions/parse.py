@@ -64,22 +64,14 @@ def submission_of(name: Column) -> Column:
     The name may end in a file extension. Text after the sequence number or a
     month outside 1..12 makes the name invalid.
     """
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(stem, FILE_NAME_PATTERN, i)
-
-    month = F.substring(part(2), 1, 2)
-    sequence = F.when(part(4) == "", F.lit(1)).otherwise(part(4).try_cast("int"))
-    valid = stem.rlike(FILE_NAME_PATTERN) & month.between("01", "12") & sequence.isNotNull()
+    parts = F.split(F.regexp_replace(name, FILE_NAME_PATTERN, "$1,$2,$3,$4,$5"), ",")
+    code, month, year, kind, sequence = (parts[i] for i in range(5))
     return F.when(
-        valid,
+        name.rlike(FILE_NAME_PATTERN),
         F.struct(
-            F.upper(part(1)).alias("SubscriberCode"),
-            F.concat(F.lit("20"), F.substring(part(2), 3, 2), F.lit("-"), month).alias(
-                "ReportingPeriod"
-            ),
-            F.upper(part(3)).alias("SubmissionType"),
-            sequence.alias("SequenceNumber"),
+            F.upper(code).alias("SubscriberCode"),
+            F.concat(F.lit("20"), year, F.lit("-"), month).alias("ReportingPeriod"),
+            F.upper(kind).alias("SubmissionType"),
+            F.coalesce(sequence.try_cast("int"), F.lit(1)).alias("SequenceNumber"),
         ),
     )

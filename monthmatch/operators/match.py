@@ -110,17 +110,12 @@ def classify(df: DataFrame, submission_type: str) -> DataFrame:
             "RemovedFields": or_blank(when_different(compare.removed())),
         }
     )
-    only_added = (
-        (F.col("AddedFields") != "")
-        & (F.col("ChangedFields") == "")
-        & (F.col("RemovedFields") == "")
-    )
     flag = (
         F.when(~kept, F.lit(None).cast("string"))
         .when(~matched, F.lit(NO_MATCH))
         .when(~F.col("_differs"), F.lit(EXACT))
         .when(F.col("Rearranged"), F.lit(REARRANGED))
-        .when(only_added, F.lit(ENRICHED))
+        .when(compare.only_added(), F.lit(ENRICHED))
         .otherwise(F.lit(DIFFERENT))
     )
     return df.withColumn("MatchFlag", flag).drop("_differs")

@@ -26,18 +26,63 @@ from monthmatch.fixed_values import (
     hash_fields,
 )
 
+# (match flag, in clean) -> output. Enriched rows go out as submitted, whether
+# or not there are verified values.
+ROUTES = {
+    (EXACT, True): "cleaned_output",
+    (EXACT, False): "unl_output",
+    (REARRANGED, True): "rearranged_output",
+    (REARRANGED, False): "unl_output",
+    (ENRICHED, True): "enriched_output",
+    (ENRICHED, False): "enriched_output",
+    (DIFFERENT, True): "unl_output",
+    (DIFFERENT, False): "unl_output",
+    (NO_MATCH, True): "unl_output",
+    (NO_MATCH, False): "unl_output",
+}
+# match flag -> category in the exception queue, and that of an open exception
+CATEGORIES = {
+    EXACT: (CATEGORY_EXACT_NOT_FOUND, CATEGORY_CARRYOVER),
+    REARRANGED: (CATEGORY_REARRANGED_NOT_FOUND, CATEGORY_CARRYOVER),
+    DIFFERENT: (CATEGORY_DIFFERENT, CATEGORY_DIFFERENT),
+    NO_MATCH: (CATEGORY_NO_MATCH, CATEGORY_NO_MATCH),
+}
+SOURCES = {
+    "cleaned_output": SOURCE_CARRIED,
+    "rearranged_output": SOURCE_REARRANGED,
+    "enriched_output": SOURCE_ENRICHED,
+}
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    """``table[key]`` as a literal map: the key expression appears only once."""
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
+def _text(value: bool) -> str:
+    return "true" if value else "false"
+
 
 def in_clean() -> Column:
     return F.col("Clean").isNotNull()
 
 
-def _needs_clean() -> Column:
-    return F.col("MatchFlag").isin(EXACT, REARRANGED)
+def route() -> Column:
+    """Name of the one output that receives the row."""
+    table = {f"{flag}/{_text(clean)}": name for (flag, clean), name in ROUTES.items()}
+    key = F.concat("MatchFlag", F.lit("/"), in_clean().cast("string"))
+    return F.when(F.col("IsDuplicate"), F.lit("dedup_log")).otherwise(_looked_up(table, key))
 
 
-def _goes_to_unl() -> Column:
-    """Exception queue or not; does not depend on the queue's earlier content."""
-    return F.col("MatchFlag").isin(DIFFERENT, NO_MATCH) | (_needs_clean() & ~in_clean())
+def exception_category() -> Column:
+    table = {
+        f"{flag}/{_text(is_open)}": category
+        for flag, categories in CATEGORIES.items()
+        for is_open, category in zip((False, True), categories, strict=True)
+    }
+    key = F.concat("MatchFlag", F.lit("/"), F.col("InOpenUnl").cast("string"))
+    return F.when(F.col("Route") == "unl_output", _looked_up(table, key))
 
 
 def earlier_unl(df: DataFrame, sequence: str, heavy: bool = False) -> DataFrame:
@@ -48,7 +93,7 @@ def earlier_unl(df: DataFrame, sequence: str, heavy: bool = False) -> DataFrame:
     decides that. For heavy keys it is a partially aggregated minimum (one row
     per key) broadcast back; otherwise a window on the distribution in place.
     """
-    queued = F.min(F.when(_goes_to_unl(), F.col(sequence)))
+    queued = F.min(F.when(F.col("Route") == "unl_output", F.col(sequence)))
     if heavy:
         lowest = df.groupBy(*MATCH_KEY).agg(queued.alias("_lowest"))
         df = df.join(F.broadcast(lowest), list(MATCH_KEY), "left")
@@ -58,58 +103,33 @@ def earlier_unl(df: DataFrame, sequence: str, heavy: bool = False) -> DataFrame:
     return df.withColumn("InOpenUnl", F.col("InOpenUnl") | opened).drop("_lowest")
 
 
-def exception_category() -> Column:
-    flag, carried_over = F.col("MatchFlag"), F.col("InOpenUnl")
-    missing = _needs_clean() & ~in_clean()
-    return (
-        F.when(flag == DIFFERENT, F.lit(CATEGORY_DIFFERENT))
-        .when(flag == NO_MATCH, F.lit(CATEGORY_NO_MATCH))
-        .when(missing & carried_over, F.lit(CATEGORY_CARRYOVER))
-        .when(missing & (flag == EXACT), F.lit(CATEGORY_EXACT_NOT_FOUND))
-        .when(missing, F.lit(CATEGORY_REARRANGED_NOT_FOUND))
-    )
-
-
-def route() -> Column:
-    """Name of the one output that receives the row."""
-    flag = F.col("MatchFlag")
-    return (
-        F.when(F.col("IsDuplicate"), F.lit("dedup_log"))
-        .when(_goes_to_unl(), F.lit("unl_output"))
-        .when(flag == ENRICHED, F.lit("enriched_output"))
-        .when(flag == EXACT, F.lit("cleaned_output"))
-        .otherwise(F.lit("rearranged_output"))
-    )
-
-
-def source() -> Column:
-    by_route = F.col("Route")
-    return (
-        F.when(by_route == "cleaned_output", F.lit(SOURCE_CARRIED))
-        .when(by_route == "rearranged_output", F.lit(SOURCE_REARRANGED))
-        .when(by_route == "enriched_output", F.lit(SOURCE_ENRICHED))
-    )
-
-
 def published_fields(fields: Sequence[str]) -> Column:
     """The values a published row gets: verified ones if carried forward, else its own.
 
     A blank verified value replaces the current one, a missing one does not.
     """
-    values = ", ".join(
-        f"IF(Route = 'enriched_output', `{f}`, coalesce(Clean.`{f}`, `{f}`)) AS `{f}`"
-        for f in fields
-    )
-    published = "Route IN ('cleaned_output', 'rearranged_output', 'enriched_output')"
-    return F.expr(f"IF({published}, struct({values}), NULL)")
+    values = ", ".join(f"coalesce(_verified.`{f}`, `{f}`) AS `{f}`" for f in fields)
+    return F.expr(f"IF(Source IS NULL, NULL, struct({values}))")
 
 
-def routed(df: DataFrame, submission_type: str) -> DataFrame:
-    """Add route, category, provenance and published values; drop the lookups."""
-    df = df.withColumns(
-        {"InClean": in_clean(), "Route": route(), "ExceptionCategory": exception_category()}
-    )
+def routed(
+    df: DataFrame, submission_type: str, sequence: str | None = None, heavy: bool = False
+) -> DataFrame:
+    """Add route, category, provenance and published values; drop the lookups.
+
+    ``sequence`` names the file order within the period, if there are several
+    files.
+    """
+    df = df.withColumns({"InClean": in_clean(), "Route": route()})
+    if sequence is not None:
+        df = earlier_unl(df, sequence, heavy)
+    carried = F.col("Route").isin("cleaned_output", "rearranged_output")
     df = df.withColumns(
-        {"Source": source(), "Published": published_fields(hash_fields(submission_type))}
+        {
+            "ExceptionCategory": exception_category(),
+            "Source": _looked_up(SOURCES, F.col("Route")),
+            "_verified": F.when(carried, F.col("Clean")),
+        }
     )
-    return df.drop("Prior", "Clean")
+    published = published_fields(hash_fields(submission_type))
+    return df.withColumn("Published", published).drop("Prior", "Clean", "_verified")

@@ -21,7 +21,7 @@ from monthmatch.operators.match import (
     open_unl_lookup,
     prior_lookup,
 )
-from monthmatch.operators.route import earlier_unl, routed
+from monthmatch.operators.route import routed
 from monthmatch.operators.skew import HeavyKeys, find_heavy_keys, key_hash, split
 
 SEQUENCE = "SequenceNumber"
@@ -60,6 +60,7 @@ def reconcile(
     with is one row per key of a bounded list and is broadcast.
     """
     current = keys_ready(current)
+    names = current.columns
     keys = duplicate_keys(current)
     if heavy is None:
         heavy = find_heavy_keys(current, MATCH_KEY, keys)
@@ -83,9 +84,7 @@ def reconcile(
         )
         found = lookups.only(key_hash(MATCH_KEY).isin(*heavy.identities)) if hot else lookups
         rows = classify(date_changes(found.attach(rows, broadcast=hot)), submission_type)
-        if SEQUENCE in current.columns:
-            rows = earlier_unl(rows, SEQUENCE, heavy=hot)
-        return routed(rows, submission_type)
+        return routed(rows, submission_type, SEQUENCE if SEQUENCE in names else None, heavy=hot)
 
     if not heavy.identities:
         return tagged(current, hot=False)
