@@ -92,7 +92,7 @@ def stringify(df: DataFrame, name: str) -> Column:
     digits = column.try_cast("decimal(38,0)").cast("string")
     return (
         F.when(column.isNull() | F.isnan(column), F.lit(""))
-        .when((column == F.floor(column)) & digits.isNotNull(), digits)
+        .when((column % 1 == 0) & digits.isNotNull(), digits)
         .otherwise(_shortest(column))
     )
 
@@ -107,4 +107,8 @@ def _shortest(column: Column) -> Column:
     small = F.concat(
         mantissa, F.lit("e-"), F.when(F.length(exponent) < 2, F.lit("0")).otherwise(F.lit("")), exponent
     )
-    return F.when(~text.contains("E"), text).when(F.abs(column) < 1e-4, small).otherwise(plain)
+    return (
+        F.when(~text.contains("E"), text)
+        .when(F.abs(column) < 1e-4, small)
+        .otherwise(F.coalesce(plain, text))
+    )

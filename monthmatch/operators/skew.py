@@ -1,6 +1,6 @@
 """Finding the few keys that hold too many rows for one task.
 
-A key is heavy when its rows exceed several times the fair share of a shuffle
+A key is heavy when its rows exceed twice the fair share of a shuffle
 partition. The answer only steers the physical plan: a key missed or reported
 wrongly changes where rows are computed, never what is computed.
 """
@@ -60,7 +60,8 @@ def find_heavy_keys(
             F.count(F.lit(1)).alias("rows"),
         )
     )
-    found = sketches.agg(
+    # Grouped by a constant so that no input gives no row.
+    found = sketches.groupBy(F.lit("all").alias("all")).agg(
         F.expr(f"approx_top_k_combine(identity, {TRACKED})").alias("identity"),
         F.expr(f"approx_top_k_combine(record, {TRACKED})").alias("record"),
         F.sum("rows").alias("rows"),
@@ -71,10 +72,12 @@ def find_heavy_keys(
     )
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = found.first()
-    limit = max(min_rows, 4 * (row["rows"] or 0) // partitions)
+    if row is None:
+        return NO_HEAVY_KEYS
+    limit = max(min_rows, 2 * row["rows"] // partitions)
 
     def above(items) -> tuple[int, ...]:
-        return tuple(i["item"] for i in items or () if i["count"] > limit)
+        return tuple(i["item"] for i in items if i["count"] > limit)
 
     return HeavyKeys(above(row["identity"]), above(row["record"]))
 
