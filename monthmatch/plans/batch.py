@@ -29,6 +29,7 @@ from monthmatch.sources.submissions import (
     UNIT_KEY,
     describe_files,
     group_by_layout,
+    list_files,
     load_layout,
     pending_files,
     read_headers,
@@ -131,8 +132,8 @@ def _sort_out(listed, result: BatchResult) -> list[dict]:
         elif row["_chosen"] is None:
             result.files.append(FileStatus(row["FileName"], row["ReportingPeriod"], ALREADY_LOADED))
         else:
-            unit = units.setdefault(row["Location"], {**row.asDict(), "paths": []})
-            unit["paths"].append(row["path"])
+            unit = units.setdefault(row["Location"], {**row.asDict(), "paths": {}})
+            unit["paths"][row["path"]] = row["uri"]
     return list(units.values())
 
 
@@ -144,9 +145,10 @@ def _land(
         return []
     spark = registry.spark
     by_path = {path: unit for unit in pending for path in unit["paths"]}
-    headers = {r["path"]: r["header"] for r in read_headers(spark, list(by_path)).collect()}
+    headers = {r["uri"]: r["header"] for r in read_headers(spark, list(by_path)).collect()}
     layouts, problems = group_by_layout(
-        [(path, unit["SubmissionType"]) for path, unit in by_path.items()], headers
+        [(path, unit["paths"][path], unit["SubmissionType"]) for path, unit in by_path.items()],
+        headers,
     )
     broken = {by_path[path]["Location"]: message for path, message in problems.items()}
     frames = [load_layout(spark, layout, multi_line) for layout in layouts]
@@ -251,5 +253,5 @@ def _register(registry: Registry, batch_id: str, units: list[dict]) -> None:
 
 def process_paths(registry: Registry, paths: list[str], *, multi_line: bool = True) -> BatchResult:
     """:func:`process_batch` for files given by path."""
-    files = registry.spark.createDataFrame([(p,) for p in paths], "path string")
-    return process_batch(registry, describe_files(files), multi_line=multi_line)
+    files = describe_files(list_files(registry.spark, paths))
+    return process_batch(registry, files, multi_line=multi_line)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,14 +46,27 @@ _ONE_FILE_PER_TASK = str(1 << 40)
 # -- discovery -----------------------------------------------------------------
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all candidate files below ``root``; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{csv,xlsx}")
-        .load(root)
-        .select("path")
+def located(files: DataFrame) -> DataFrame:
+    """Path of each file, and the same as its rows will report it.
+
+    Only names are selected, so file contents are not read.
+    """
+    return files.select("path", F.col("_metadata.file_path").alias("uri"))
+
+
+def list_files(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
+    """All candidate files below a folder, or those given by path.
+
+    This is Spark's own file listing, not a scan: a scan leaves out files
+    without content, which are to be reported too.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = reader.option("pathGlobFilter", "*.{csv,xlsx}").load(
+        root if isinstance(root, str) else list(root)
+    )
+    uris = [uri.replace("file:///", "file:/", 1) for uri in listed.inputFiles()]
+    return spark.createDataFrame(
+        [(unquote(uri), uri) for uri in sorted(uris)], "path STRING, uri STRING"
     )
 
 
@@ -69,15 +83,17 @@ def submission_name(path: Column) -> Column:
 
 def describe_files(files: DataFrame) -> DataFrame:
     """Add name, location and submission of each path, and why it cannot be used."""
+    if "uri" not in files.columns:
+        files = files.withColumn("uri", F.col("path"))
     name = submission_name(F.col("path"))
     location = F.when(
         _segment(F.col("path"), 1).startswith("part-"),
         F.regexp_replace("path", "/[^/]*$", ""),
     ).otherwise(F.col("path"))
     return (
-        files.select("path", name.alias("FileName"), location.alias("Location"))
+        files.select("path", "uri", name.alias("FileName"), location.alias("Location"))
         .withColumn("_submission", submission_of(F.col("FileName")))
-        .select("path", "FileName", "Location", "_submission.*")
+        .select("path", "uri", "FileName", "Location", "_submission.*")
         .withColumn(
             "Problem",
             F.when(
@@ -121,7 +137,7 @@ def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The first line of every file, as ``(path, header)``.
+    """The first line of every file, as ``(uri, header)``.
 
     Each file is one task that stops after its first batch of lines, so only
     the head of a file is read. The session copy confines the split settings
@@ -131,9 +147,9 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     session.conf.set("spark.sql.files.maxPartitionBytes", _ONE_FILE_PER_TASK)
     session.conf.set("spark.sql.files.openCostInBytes", _ONE_FILE_PER_TASK)
     lines = session.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("header")
+        F.col("_metadata.file_path").alias("uri"), F.col("value").alias("header")
     )
-    return lines.mapInArrow(_first_row, "path string, header string")
+    return lines.mapInArrow(_first_row, "uri string, header string")
 
 
 def header_names(line: str) -> tuple[str, ...]:
@@ -255,16 +271,16 @@ def load_layout(spark: SparkSession, layout: Layout, multi_line: bool = True) ->
 
 
 def group_by_layout(
-    files: Sequence[tuple[str, str]], headers: dict[str, str]
+    files: Sequence[tuple[str, str, str]], headers: dict[str, str]
 ) -> tuple[list[Layout], dict[str, str]]:
-    """Group ``(path, type)`` by header; also the problem of each unusable path."""
+    """Group ``(path, uri, type)`` by header; also the problem of each unusable path."""
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
     problems: dict[str, str] = {}
-    for path, kind in files:
-        if path not in headers:
+    for path, uri, kind in files:
+        if uri not in headers:
             problems[path] = "file is empty"
             continue
-        names = header_names(headers[path])
+        names = header_names(headers[uri])
         try:
             validate_columns(names, kind, path.rsplit("/", 1)[-1])
         except ValueError as error:

@@ -706,10 +706,10 @@ def csv_scan(spark, sf_dir):
 )
 def validate_columns(spark, sf_dir):
     found = discover_files(spark, files.submission_files(spark, sf_dir)).filter("Problem IS NULL")
-    listed = {f["path"]: f for f in found.collect()}
+    listed = {f["uri"]: f for f in found.collect()}
     checked = set()
-    for row in read_headers(spark, list(listed)).collect():
-        file = listed[row["path"]]
+    for row in read_headers(spark, [f["path"] for f in listed.values()]).collect():
+        file = listed[row["uri"]]
         missing = missing_columns(header_names(row["header"]), file["SubmissionType"])
         checked.add((file["FileName"], ", ".join(missing)))
     return spark.createDataFrame(sorted(checked), "FileName STRING, Missing STRING")
