@@ -128,8 +128,9 @@ HISTORY_ROWS = 24
 # separate columns in every table so that joins and windows share one
 # distribution; the delimited text form is for display.
 IDENTITY_KEY = ("SubscriberCode", "SubmissionType", FACILITY, CUSTOMER)
-# The same within one submission type, which is how records are matched.
-MATCH_KEY = ("SubscriberCode", FACILITY, CUSTOMER)
+# The same within one submission type, which is how records are matched. The
+# most selective column comes first: sorting compares it first, by its prefix.
+MATCH_KEY = (FACILITY, CUSTOMER, "SubscriberCode")
 # Facility, customer and date make the key of a same-month duplicate.
 RECORD_KEY = (FACILITY, CUSTOMER, DATE)
 

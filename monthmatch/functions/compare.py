@@ -36,10 +36,17 @@ class FieldComparison:
         return F.expr(f"concat_ws(', ', {names})")
 
     def same(self) -> Column:
-        """Equal content: the delimited texts, which is what the hash covers."""
+        """Equal content: the delimited texts, which is what the hash covers.
+
+        They are only built where fields differ: such rows may still have the
+        same text if a value contains the delimiter.
+        """
+        equal = " AND ".join(f"`{f}` = {self._old(f)}" for f in self.fields)
         now = ", ".join(f"`{f}`" for f in self.fields)
         old = ", ".join(self._old(f) for f in self.fields)
-        return F.expr(f"concat_ws('{DELIMITER}', {now}) = concat_ws('{DELIMITER}', {old})")
+        return F.expr(
+            f"({equal}) OR concat_ws('{DELIMITER}', {now}) = concat_ws('{DELIMITER}', {old})"
+        )
 
     def differing(self) -> Column:
         return self._names_where(self._differs)

@@ -17,6 +17,7 @@ from monthmatch.fixed_values import (
 )
 from monthmatch.functions.text import quoted, strip
 
+_COMPACT = "yyyyMMdd"
 # A plain number; keeps Java's own literals ("1d", "NaN") out of the cast.
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -24,8 +25,18 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 def parse_date(column: Column) -> Column:
     """Compact ``yyyyMMdd`` first, then the other listed formats, else null."""
     text = strip(column.cast("string"))
-    known = F.when(~F.lower(text).isin(*NULL_DATE_WORDS), text)
-    return F.coalesce(*[F.try_to_timestamp(known, F.lit(f)).cast("date") for f in DATE_FORMATS])
+    # The usual form by position, which is much cheaper than a date pattern.
+    compact = F.concat(
+        F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2)
+    ).try_cast("date")
+    other = F.coalesce(
+        *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS if f != _COMPACT]
+    )
+    return (
+        F.when(text.rlike(r"^\d{8}$"), compact)
+        .when((text == "") | F.lower(text).isin(*NULL_DATE_WORDS), F.lit(None).cast("date"))
+        .otherwise(other)
+    )
 
 
 def date_of(df: DataFrame, name: str) -> Column:

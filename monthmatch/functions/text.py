@@ -46,10 +46,21 @@ def concat_fields(df: DataFrame, names: Iterable[str]) -> Column:
     return joined([field_or_blank(df, name) for name in names])
 
 
+def filled(name: str) -> Column:
+    """The named column as text with null as ``""``."""
+    return or_blank(quoted(name).cast("string"))
+
+
 def normalized(name: str) -> Column:
-    """The named column with null as ``""``, stripped, in upper case."""
-    escaped = name.replace("`", "``")
-    return F.expr(f"upper(btrim(coalesce(CAST(`{escaped}` AS STRING), ''), '{WHITE_SPACE}'))")
+    """The named column with null as ``""``, stripped, in upper case.
+
+    Most values begin and end with printable ASCII; only the others go through
+    the search for white space.
+    """
+    text = f"CAST(`{name.replace('`', '``')}` AS STRING)"
+    bare = f"left({text}, 1) BETWEEN '!' AND '~' AND right({text}, 1) BETWEEN '!' AND '~'"
+    stripped = f"IF({bare}, {text}, btrim({text}, '{WHITE_SPACE}'))"
+    return F.expr(f"IF({text} IS NULL OR {text} = '', '', upper({stripped}))")
 
 
 def normalize_fields(df: DataFrame, submission_type: str) -> DataFrame:

@@ -12,16 +12,6 @@ from monthmatch.fixed_values import DEDUP_REASON, RECORD_KEY
 from monthmatch.functions.text import joined
 from monthmatch.operators.skew import split
 
-FLAG_COLUMNS = (
-    "CompositeKey",
-    "IsDuplicate",
-    "ThisRowBalance",
-    "KeptBalance",
-    "KeptOverThisRecordID",
-    "DedupReason",
-)
-
-
 def mark_duplicates(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,7 +59,6 @@ def _described(df: DataFrame) -> DataFrame:
     dropped = F.col("IsDuplicate")
     return df.withColumns(
         {
-            "CompositeKey": joined([F.col(c) for c in RECORD_KEY]),
             "KeptBalance": F.when(dropped, F.col("KeptBalance")),
             "KeptOverThisRecordID": F.when(dropped, F.col("KeptOverThisRecordID")),
             "DedupReason": F.when(dropped, F.lit(DEDUP_REASON)),
@@ -77,6 +66,11 @@ def _described(df: DataFrame) -> DataFrame:
     )
 
 
+def composite_key() -> Column:
+    """The duplicate key as text, for display."""
+    return joined([F.col(c) for c in RECORD_KEY])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of every key.
 

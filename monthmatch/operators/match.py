@@ -21,7 +21,7 @@ from monthmatch.fixed_values import (
 )
 from monthmatch.functions.compare import FieldComparison
 from monthmatch.functions.parse import date_of
-from monthmatch.functions.text import field_or_blank, normalized, or_blank, quoted
+from monthmatch.functions.text import field_or_blank, filled, normalized, or_blank
 from monthmatch.operators.dedup import first_per_key
 
 
@@ -33,18 +33,23 @@ class Lookups:
     clean: DataFrame
     open_unl: DataFrame | None
 
-    def attach(self, current: DataFrame, broadcast: bool = False) -> DataFrame:
-        """Left-join all lookups; rows of ``current`` are neither lost nor multiplied.
+    def _joined(self, rows: DataFrame, lookup: DataFrame, broadcast: bool) -> DataFrame:
+        return rows.join(F.broadcast(lookup) if broadcast else lookup, list(MATCH_KEY), "left")
+
+    def attach_prior(self, rows: DataFrame, broadcast: bool = False) -> DataFrame:
+        """Add ``Prior``; no row is lost or multiplied, as the lookup has one per key.
 
         ``broadcast`` is for lookups already cut down to a bounded key list.
         """
-        place = F.broadcast if broadcast else (lambda df: df)
-        keys = list(MATCH_KEY)
-        df = current.join(place(self.prior), keys, "left").join(place(self.clean), keys, "left")
+        return self._joined(rows, self.prior, broadcast)
+
+    def attach_clean(self, rows: DataFrame, broadcast: bool = False) -> DataFrame:
+        """Add ``Clean`` and ``InOpenUnl`` in the same way."""
+        rows = self._joined(rows, self.clean, broadcast)
         if self.open_unl is None:
-            return df.withColumn("InOpenUnl", F.lit(False))
-        df = df.join(place(self.open_unl), keys, "left")
-        return df.withColumn("InOpenUnl", F.coalesce("InOpenUnl", F.lit(False)))
+            return rows.withColumn("InOpenUnl", F.lit(False))
+        rows = self._joined(rows, self.open_unl, broadcast)
+        return rows.withColumn("InOpenUnl", F.coalesce("InOpenUnl", F.lit(False)))
 
     def only(self, keep: Column) -> Lookups:
         return Lookups(
@@ -55,12 +60,16 @@ class Lookups:
 
 
 def prior_lookup(
-    prior_raw: DataFrame, submission_type: str, order: Sequence[Column | str]
+    prior_raw: DataFrame,
+    submission_type: str,
+    order: Sequence[Column | str],
+    normalize: bool = True,
 ) -> DataFrame:
     """``MATCH_KEY`` -> ``Prior`` struct (fields and date) of the first prior row."""
     names = prior_raw.columns
+    ready = normalized if normalize else filled
     fields = [
-        (normalized(f) if f in names else F.lit("")).alias(f) for f in hash_fields(submission_type)
+        (ready(f) if f in names else F.lit("")).alias(f) for f in hash_fields(submission_type)
     ]
     first = first_per_key(prior_raw, MATCH_KEY, order)
     return first.select(*MATCH_KEY, F.struct(*fields, date_of(first, DATE).alias(DATE)).alias("Prior"))
@@ -147,12 +156,10 @@ def keys_ready(df: DataFrame) -> DataFrame:
     return df.withColumns(keys)
 
 
-def fields_ready(df: DataFrame, submission_type: str) -> DataFrame:
+def fields_ready(df: DataFrame, submission_type: str, normalize: bool = True) -> DataFrame:
     """Normalised identity and contact fields; an absent one becomes ``""``."""
     names = df.columns
+    ready = normalized if normalize else filled
     return df.withColumns(
-        {
-            f: normalized(f) if f in names else F.lit("")
-            for f in hash_fields(submission_type)
-        }
+        {f: ready(f) if f in names else F.lit("") for f in hash_fields(submission_type)}
     )

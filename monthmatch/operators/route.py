@@ -132,4 +132,4 @@ def routed(
         }
     )
     published = published_fields(hash_fields(submission_type))
-    return df.withColumn("Published", published).drop("Prior", "Clean", "_verified")
+    return df.withColumn("Published", published).drop("Clean", "_verified")

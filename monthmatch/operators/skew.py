@@ -22,6 +22,8 @@ MAX_HEAVY = 1000
 SHARDS = 64
 # Rows a task handles without trouble, whatever the fair share is.
 MIN_HEAVY_ROWS = 200_000
+# An input up to this size by Spark's estimate fits one task as a whole.
+SMALL_INPUT_BYTES = 64 << 20
 
 
 def key_hash(columns: Sequence[str]) -> Column:
@@ -82,6 +84,12 @@ def find_heavy_keys(
     return HeavyKeys(above(row["identity"]), above(row["record"]))
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the input is too small for any key to be a problem."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= SMALL_INPUT_BYTES
+
+
 def split(df: DataFrame, columns: Sequence[str], hashes: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys and rows of heavy keys."""
     heavy = key_hash(columns).isin(*hashes)

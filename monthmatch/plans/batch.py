@@ -209,6 +209,7 @@ def _reconcile_type(
         order=FILE_ORDER,
         record_id="RawRecordID",
         clean_order=[c.desc() for c in write_order()],
+        normalize=False,
     )
     registry.append("raw", raw_rows(tagged, submission_type))
     raw = registry.batch("raw", batch_id, submission_type).withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from monthmatch.fixed_values import BALANCE, DATE, MATCH_KEY
 from monthmatch.functions.parse import amount_of
 from monthmatch.functions.text import identity_key
-from monthmatch.operators.dedup import mark_duplicates
+from monthmatch.operators.dedup import composite_key, mark_duplicates
 from monthmatch.operators.match import (
     Lookups,
     classify,
@@ -22,7 +22,14 @@ from monthmatch.operators.match import (
     prior_lookup,
 )
 from monthmatch.operators.route import routed
-from monthmatch.operators.skew import HeavyKeys, find_heavy_keys, key_hash, split
+from monthmatch.operators.skew import (
+    NO_HEAVY_KEYS,
+    HeavyKeys,
+    find_heavy_keys,
+    is_small,
+    key_hash,
+    split,
+)
 
 SEQUENCE = "SequenceNumber"
 
@@ -45,6 +52,7 @@ def reconcile(
     prior_order: Sequence[Column | str] | None = None,
     clean_order: Sequence[Column | str] | None = None,
     heavy: HeavyKeys | None = None,
+    normalize: bool = True,
 ) -> DataFrame:
     """All rows of ``current``, each tagged with what became of it.
 
@@ -54,6 +62,7 @@ def reconcile(
     identity as separate columns and holds rows of ``submission_type`` only.
     ``order`` is the file order of the rows and has to be unique in a file;
     the other orders default to it where the frame has those columns.
+    ``normalize=False`` says that both sides' fields are normalised already.
 
     Each input is shuffled once, on the identity. The rows of identities in
     ``heavy`` (looked up if not given) stay where they are: what they join
@@ -63,9 +72,12 @@ def reconcile(
     names = current.columns
     keys = duplicate_keys(current)
     if heavy is None:
-        heavy = find_heavy_keys(current, MATCH_KEY, keys)
+        small = is_small(current)
+        heavy = NO_HEAVY_KEYS if small else find_heavy_keys(current, MATCH_KEY, keys)
     lookups = Lookups(
-        prior_lookup(prior_raw, submission_type, prior_order or _own(prior_raw, order)),
+        prior_lookup(
+            prior_raw, submission_type, prior_order or _own(prior_raw, order), normalize
+        ),
         clean_lookup(prior_clean, submission_type, clean_order or _own(prior_clean, order)),
         None if open_unl is None else open_unl_lookup(open_unl),
     )
@@ -73,7 +85,7 @@ def reconcile(
     def tagged(rows: DataFrame, hot: bool) -> DataFrame:
         if not hot:
             rows = rows.repartition(*MATCH_KEY)
-        rows = fields_ready(rows, submission_type).withColumn("IdentityKey", identity_key())
+        rows = fields_ready(rows, submission_type, normalize)
         rows = mark_duplicates(
             rows,
             keys,
@@ -83,8 +95,11 @@ def reconcile(
             heavy.records if hot else (),
         )
         found = lookups.only(key_hash(MATCH_KEY).isin(*heavy.identities)) if hot else lookups
-        rows = classify(date_changes(found.attach(rows, broadcast=hot)), submission_type)
-        return routed(rows, submission_type, SEQUENCE if SEQUENCE in names else None, heavy=hot)
+        rows = date_changes(found.attach_prior(rows, broadcast=hot))
+        rows = classify(rows, submission_type).drop("Prior")
+        rows = found.attach_clean(rows, broadcast=hot)
+        rows = routed(rows, submission_type, SEQUENCE if SEQUENCE in names else None, heavy=hot)
+        return rows.withColumns({"IdentityKey": identity_key(), "CompositeKey": composite_key()})
 
     if not heavy.identities:
         return tagged(current, hot=False)

@@ -15,7 +15,7 @@ from monthmatch.fixed_values import MATCH_KEY, OUTPUT_TITLES, hash_fields
 from monthmatch.functions import parse, text
 from monthmatch.functions.compare import FieldComparison
 from monthmatch.functions.fields import pack, unpack
-from monthmatch.operators.dedup import first_per_key, mark_duplicates
+from monthmatch.operators.dedup import composite_key, first_per_key, mark_duplicates
 from monthmatch.operators.match import Lookups, clean_lookup, fields_ready, open_unl_lookup, prior_lookup
 from monthmatch.operators.merge import category_rank, merge_clean
 from monthmatch.operators.outputs import outputs
@@ -144,7 +144,7 @@ def _with_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
         open_unl_lookup(i.open_unl),
     )
     current = fields_ready(i.current, fixture.TYPE).withColumn("IdentityKey", text.identity_key())
-    return lookups.attach(current.repartition(*MATCH_KEY))
+    return lookups.attach_prior(current.repartition(*MATCH_KEY))
 
 
 @query(
@@ -338,7 +338,13 @@ def dedup_kept(spark, sf_dir):
 )
 def dedup_log(spark, sf_dir):
     rows = _flagged_lines(spark, sf_dir).filter("IsDuplicate")
-    return rows.select("RawRecordID", "CompositeKey", "ThisRowBalance", "KeptBalance", "DedupReason")
+    return rows.select(
+        "RawRecordID",
+        composite_key().alias("CompositeKey"),
+        "ThisRowBalance",
+        "KeptBalance",
+        "DedupReason",
+    )
 
 
 @query(
