@@ -52,15 +52,9 @@ def filled(name: str) -> Column:
 
 
 def normalized(name: str) -> Column:
-    """The named column with null as ``""``, stripped, in upper case.
-
-    Most values begin and end with printable ASCII; only the others go through
-    the search for white space.
-    """
-    text = f"CAST(`{name.replace('`', '``')}` AS STRING)"
-    bare = f"left({text}, 1) BETWEEN '!' AND '~' AND right({text}, 1) BETWEEN '!' AND '~'"
-    stripped = f"IF({bare}, {text}, btrim({text}, '{WHITE_SPACE}'))"
-    return F.expr(f"IF({text} IS NULL OR {text} = '', '', upper({stripped}))")
+    """The named column with null as ``""``, stripped, in upper case."""
+    escaped = name.replace("`", "``")
+    return F.expr(f"upper(btrim(coalesce(CAST(`{escaped}` AS STRING), ''), '{WHITE_SPACE}'))")
 
 
 def normalize_fields(df: DataFrame, submission_type: str) -> DataFrame:
@@ -108,6 +102,13 @@ def stringify(df: DataFrame, name: str) -> Column:
     )
 
 
+def text_cells(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The frame with those of the named columns that hold floats turned to text."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    floats = [n for n in names if isinstance(kinds.get(n), (T.DoubleType, T.FloatType))]
+    return df.withColumns({n: stringify(df, n) for n in floats}) if floats else df
+
+
 def _shortest(column: Column) -> Column:
     text = column.cast("string")
     # Spark turns to an exponent outside 1e-3..1e7; down to 1e-4 the value is

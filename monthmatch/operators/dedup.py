@@ -29,41 +29,38 @@ def mark_duplicates(
     never brought together.
     """
     df = df.withColumn("ThisRowBalance", balance)
+    names = df.columns
     if not heavy:
-        return _described(_ranked(df, keys, order, record_id))
+        return _ranked(df, names, keys, order, record_id)
     ordinary, hot = split(df, keys, heavy)
     rank = F.struct(F.col("ThisRowBalance").isNull(), F.col("ThisRowBalance"), *order)
     winners = hot.groupBy(*keys).agg(
         F.min(rank).alias("_kept"), F.min_by(record_id, rank).alias("_kept_id")
     )
+    dropped = rank != F.col("_kept")
     hot = hot.join(F.broadcast(winners), list(keys)).select(
-        *df.columns,
-        (rank != F.col("_kept")).alias("IsDuplicate"),
-        F.col("_kept.ThisRowBalance").alias("KeptBalance"),
-        F.col("_kept_id").alias("KeptOverThisRecordID"),
+        *names, *_flags(dropped, F.col("_kept.ThisRowBalance"), F.col("_kept_id"))
     )
-    return _described(_ranked(ordinary, keys, order, record_id).unionByName(hot))
+    return _ranked(ordinary, names, keys, order, record_id).unionByName(hot)
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], record_id: str) -> DataFrame:
+def _ranked(
+    df: DataFrame, names: Sequence[str], keys: Sequence[str], order: Sequence[str], record_id: str
+) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(F.col("ThisRowBalance").asc_nulls_last(), *order)
-    return df.select(
-        *df.columns,
-        (F.row_number().over(w) > 1).alias("IsDuplicate"),
-        F.first("ThisRowBalance").over(w).alias("KeptBalance"),
-        F.first(record_id).over(w).alias("KeptOverThisRecordID"),
+    flags = _flags(
+        F.row_number().over(w) > 1, F.first("ThisRowBalance").over(w), F.first(record_id).over(w)
     )
+    return df.select(*names, *flags)
 
 
-def _described(df: DataFrame) -> DataFrame:
-    dropped = F.col("IsDuplicate")
-    return df.withColumns(
-        {
-            "KeptBalance": F.when(dropped, F.col("KeptBalance")),
-            "KeptOverThisRecordID": F.when(dropped, F.col("KeptOverThisRecordID")),
-            "DedupReason": F.when(dropped, F.lit(DEDUP_REASON)),
-        }
-    )
+def _flags(dropped: Column, balance: Column, record: Column) -> list[Column]:
+    return [
+        dropped.alias("IsDuplicate"),
+        F.when(dropped, balance).alias("KeptBalance"),
+        F.when(dropped, record).alias("KeptOverThisRecordID"),
+        F.when(dropped, F.lit(DEDUP_REASON)).alias("DedupReason"),
+    ]
 
 
 def composite_key() -> Column:

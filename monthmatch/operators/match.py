@@ -99,8 +99,8 @@ def open_unl_lookup(open_unl: DataFrame) -> DataFrame:
 def classify(df: DataFrame, submission_type: str) -> DataFrame:
     """Add the match flag and the field-level differences.
 
-    Expects the ``Prior`` struct beside the current fields. Rows marked as
-    duplicates get no flag.
+    Takes the ``Prior`` struct beside the current fields and drops it. Rows
+    marked as duplicates get no flag.
     """
     compare = FieldComparison(submission_type)
     kept = ~F.col("IsDuplicate")
@@ -127,7 +127,7 @@ def classify(df: DataFrame, submission_type: str) -> DataFrame:
         .when(compare.only_added(), F.lit(ENRICHED))
         .otherwise(F.lit(DIFFERENT))
     )
-    return df.withColumn("MatchFlag", flag).drop("_differs")
+    return df.withColumn("MatchFlag", flag).drop("_differs", "Prior")
 
 
 def date_changes(df: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthmatch.fixed_values import BALANCE, DATE, MATCH_KEY
+from monthmatch.fixed_values import BALANCE, DATE, MATCH_KEY, hash_fields
 from monthmatch.functions.parse import amount_of
-from monthmatch.functions.text import identity_key
+from monthmatch.functions.text import identity_key, text_cells
 from monthmatch.operators.dedup import composite_key, mark_duplicates
 from monthmatch.operators.match import (
     Lookups,
@@ -68,6 +68,10 @@ def reconcile(
     ``heavy`` (looked up if not given) stay where they are: what they join
     with is one row per key of a bounded list and is broadcast.
     """
+    names = (*MATCH_KEY, *hash_fields(submission_type))
+    current, prior_raw, prior_clean = (
+        text_cells(df, names) for df in (current, prior_raw, prior_clean)
+    )
     current = keys_ready(current)
     names = current.columns
     keys = duplicate_keys(current)
@@ -96,7 +100,7 @@ def reconcile(
         )
         found = lookups.only(key_hash(MATCH_KEY).isin(*heavy.identities)) if hot else lookups
         rows = date_changes(found.attach_prior(rows, broadcast=hot))
-        rows = classify(rows, submission_type).drop("Prior")
+        rows = classify(rows, submission_type)
         rows = found.attach_clean(rows, broadcast=hot)
         rows = routed(rows, submission_type, SEQUENCE if SEQUENCE in names else None, heavy=hot)
         return rows.withColumns({"IdentityKey": identity_key(), "CompositeKey": composite_key()})

@@ -233,6 +233,14 @@ def test_delimiter_in_values_joins_on_columns(spark):
     assert reconcile(current, prior, prior, "IND").first()["MatchFlag"] == "No previous-month match"
 
 
+def test_numbers_are_written_out(spark):
+    """A phone number kept as a number is the same as its digits."""
+    prior = frame(spark, [record(1, "20260101", HomeTel="233554000000")])
+    current = prior.withColumn("HomeTel", F.col("HomeTel").cast("double"))
+    row = reconcile(current, prior, prior, "IND").first()
+    assert (row["HomeTel"], row["MatchFlag"]) == ("233554000000", "Exact match")
+
+
 def test_empty_inputs(spark):
     counts = run_summary(tagged_rows(spark, [], [], [], []))
     assert {r["Count"] for r in counts.collect()} == {0}

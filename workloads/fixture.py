@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from monthmatch.fixed_values import hash_fields
 
@@ -39,80 +38,86 @@ class Inputs:
 
 def _keyed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     key, balance, subscriber, prefix = SOURCES[table]
-    return (
-        spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        .select(
-            F.expr(key).alias("k"),
-            F.expr(f"CAST({balance} AS DECIMAL(18,2))").alias("bal"),
-            F.concat(F.lit(prefix), F.expr(subscriber).cast("string")).alias("code"),
-        )
-        .withColumn("cls", F.col("k") % 10)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(
+        f"{key} AS k",
+        f"CAST({balance} AS DECIMAL(18,2)) AS bal",
+        f"concat('{prefix}', {subscriber}) AS code",
+        f"{key} % 10 AS cls",
+        "0 AS n",
     )
 
 
-def _record(df: DataFrame, day: Column, balance: Column, **values: Column) -> DataFrame:
-    k = F.col("k").cast("string")
+def _record(df: DataFrame, day: str, balance: str, **values: str) -> DataFrame:
     base = {
-        "NatIDNum": F.concat(F.lit("GHA-"), k),
-        "DriverLicNum": F.concat(F.lit("DL-"), k),
-        "TINum": F.concat(F.lit("TIN-"), k),
-        "MobileTel1": F.concat(F.lit("020"), k),
+        "NatIDNum": "concat('GHA-', k)",
+        "DriverLicNum": "concat('DL-', k)",
+        "TINum": "concat('TIN-', k)",
+        "MobileTel1": "concat('020', k)",
     }
-    fields = {f: values.get(f, base.get(f, F.lit(""))) for f in hash_fields(TYPE)}
-    return df.select(
-        F.col("code").alias("SubscriberCode"),
-        F.lit(TYPE).alias("SubmissionType"),
-        F.concat(F.lit("F"), k).alias("FacilityAccNum"),
-        F.concat(F.lit("C"), k).alias("CustomerID"),
-        F.concat(F.lit("202601"), F.lpad(day.cast("string"), 2, "0")).alias("DisbursementDate"),
-        F.lit("LOAN").alias("CreditFacilityType"),
-        balance.cast("string").alias("CurBal"),
-        *[fields[f].alias(f) for f in fields],
-        (F.col("k") * 2 + F.col("n")).alias("RowOrder"),
+    fields = {f: values.get(f, base.get(f, "''")) for f in hash_fields(TYPE)}
+    return df.selectExpr(
+        "code AS SubscriberCode",
+        f"'{TYPE}' AS SubmissionType",
+        "concat('F', k) AS FacilityAccNum",
+        "concat('C', k) AS CustomerID",
+        f"concat('202601', lpad(CAST({day} AS STRING), 2, '0')) AS DisbursementDate",
+        "'LOAN' AS CreditFacilityType",
+        f"CAST({balance} AS STRING) AS CurBal",
+        *[f"{value} AS {name}" for name, value in fields.items()],
+        "k * 2 + n AS RowOrder",
     )
 
 
-def current(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
-    rows = F.when(F.col("cls") == 9, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    df = _keyed(spark, sf_dir, table).withColumn("n", F.explode(rows))
-    k, cls = F.col("k").cast("string"), F.col("cls")
-    licence, tin = F.concat(F.lit("DL-"), k), F.concat(F.lit("TIN-"), k)
+def _current(keyed: DataFrame) -> DataFrame:
+    rows = keyed.selectExpr(
+        "k", "bal", "code", "cls", "explode(IF(cls = 9, array(0, 1), array(0))) AS n"
+    )
+    return _record(
+        rows,
+        "IF(cls = 9, 2, 1) + k % 28",
+        "CAST(bal + 100 * n AS DECIMAL(18,2))",
+        NatIDNum="concat(IF(cls = 3, 'GHX-', 'GHA-'), k)",
+        DriverLicNum="CASE WHEN cls IN (4, 7) THEN '' WHEN cls = 6 THEN concat('TIN-', k)"
+        " ELSE concat('DL-', k) END",
+        PassportNum="CASE WHEN cls = 5 THEN concat('PP-', k) WHEN cls = 7 THEN concat('DL-', k)"
+        " ELSE '' END",
+        TINum="IF(cls = 6, concat('DL-', k), concat('TIN-', k))",
+    )
+
+
+def _prior_raw(keyed: DataFrame) -> DataFrame:
+    return _record(keyed.filter("cls <> 8"), "1 + k % 28", "bal")
+
+
+def _prior_clean(keyed: DataFrame) -> DataFrame:
+    verified = "concat('GHA-', k, '-CLEAN')"
     return _record(
-        df,
-        F.when(cls == 9, 2).otherwise(1) + F.col("k") % 28,
-        (F.col("bal") + 100 * F.col("n")).cast("decimal(18,2)"),
-        NatIDNum=F.concat(F.when(cls == 3, "GHX-").otherwise("GHA-"), k),
-        DriverLicNum=F.when(cls.isin(4, 7), "").when(cls == 6, tin).otherwise(licence),
-        PassportNum=F.when(cls == 5, F.concat(F.lit("PP-"), k)).when(cls == 7, licence).otherwise(""),
-        TINum=F.when(cls == 6, licence).otherwise(tin),
+        keyed.filter("cls IN (0, 3, 4, 6, 9)"), "1 + k % 28", "bal", NatIDNum=verified
     )
 
 
+def _open_unl(keyed: DataFrame) -> DataFrame:
+    return keyed.filter("cls = 2 OR (cls = 7 AND floor(k / 10) % 2 = 0)").selectExpr(
+        "code AS SubscriberCode",
+        f"'{TYPE}' AS SubmissionType",
+        "concat('F', k) AS FacilityAccNum",
+        "concat('C', k) AS CustomerID",
+        "FALSE AS Resolved",
+    )
+
+
+def current(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
+    return _current(_keyed(spark, sf_dir, table))
+
+
 def prior_raw(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
-    df = _keyed(spark, sf_dir, table).filter("cls <> 8").withColumn("n", F.lit(0))
-    return _record(df, 1 + F.col("k") % 28, F.col("bal"))
+    return _prior_raw(_keyed(spark, sf_dir, table))
 
 
 def prior_clean(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
-    df = _keyed(spark, sf_dir, table).filter("cls IN (0, 3, 4, 6, 9)").withColumn("n", F.lit(0))
-    verified = F.concat(F.lit("GHA-"), F.col("k").cast("string"), F.lit("-CLEAN"))
-    return _record(df, 1 + F.col("k") % 28, F.col("bal"), NatIDNum=verified)
-
-
-def open_unl(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
-    df = _keyed(spark, sf_dir, table).withColumn("n", F.lit(0))
-    still_open = df.filter("cls = 2 OR (cls = 7 AND floor(k / 10) % 2 = 0)")
-    return (
-        _record(still_open, 1 + F.col("k") % 28, F.col("bal"))
-        .select("SubscriberCode", "SubmissionType", "FacilityAccNum", "CustomerID")
-        .withColumn("Resolved", F.lit(False))
-    )
+    return _prior_clean(_keyed(spark, sf_dir, table))
 
 
 def inputs(spark: SparkSession, sf_dir: str, table: str = "customer") -> Inputs:
-    return Inputs(
-        current(spark, sf_dir, table),
-        prior_raw(spark, sf_dir, table),
-        prior_clean(spark, sf_dir, table),
-        open_unl(spark, sf_dir, table),
-    )
+    keyed = _keyed(spark, sf_dir, table)
+    return Inputs(_current(keyed), _prior_raw(keyed), _prior_clean(keyed), _open_unl(keyed))
