@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthmatch.fixed_values import FACILITY_TYPE, OUTPUT_TITLES, REPORT_HEADINGS
+from monthmatch.fixed_values import FACILITY_TYPE, REPORT_HEADINGS
 from monthmatch.functions.text import quoted
 
 _DEDUP = ("CompositeKey", "ThisRowBalance", "KeptBalance", "DedupReason")
@@ -83,13 +83,3 @@ def with_report_headings(output: DataFrame) -> DataFrame:
     return output.withColumnsRenamed(
         {old: new for old, new in REPORT_HEADINGS.items() if old in output.columns}
     )
-
-
-assert set(OUTPUT_TITLES) == {
-    "dedup_log",
-    "date_change_log",
-    "cleaned_output",
-    "rearranged_output",
-    "enriched_output",
-    "unl_output",
-}

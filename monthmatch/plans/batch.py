@@ -151,10 +151,9 @@ def _land(
         headers,
     )
     broken = {by_path[path]["Location"]: message for path, message in problems.items()}
-    frames = [load_layout(spark, layout, multi_line) for layout in layouts]
+    frames = [load_layout(spark, layout, result.batch_id, multi_line) for layout in layouts]
     if frames:
-        rows = reduce(DataFrame.unionByName, frames)
-        registry.append("submitted", rows.withColumn("BatchID", F.lit(result.batch_id)))
+        registry.append("submitted", reduce(DataFrame.unionByName, frames))
     counts = {
         tuple(r[c] for c in UNIT_KEY): r
         for r in registry.batch("submitted", result.batch_id)

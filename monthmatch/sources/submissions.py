@@ -225,11 +225,14 @@ def submission_id(code: Column, period: Column, kind: Column, sequence: Column)
     return surrogate_id(code, period, kind, sequence)
 
 
-def load_layout(spark: SparkSession, layout: Layout, multi_line: bool = True) -> DataFrame:
+def load_layout(
+    spark: SparkSession, layout: Layout, batch_id: str, multi_line: bool = True
+) -> DataFrame:
     """The rows of a layout's files in the columns of the ``submitted`` dataset.
 
-    ``RawRecordID`` is a digest of where the row stands, so a task that runs
-    again gives its rows the same ids. The file order of rows is
+    ``RawRecordID`` is a digest of the batch and of where the row stands, so a
+    task that runs again gives its rows the same ids, and a file that is tried
+    again in another batch does not. The file order of rows is
     ``(PartName, BlockStart, RowIndex)``: the index grows within a block.
     """
     kind = layout.submission_type
@@ -259,13 +262,14 @@ def load_layout(spark: SparkSession, layout: Layout, multi_line: bool = True) ->
         "RowIndex",
     ).select("*", "_submission.*")
     unit = [F.col(c) for c in UNIT_KEY]
-    position = joined(F.col(c).cast("string") for c in ("_path", "BlockStart", "RowIndex"))
+    place = [F.col(c).cast("string") for c in ("_path", "BlockStart", "RowIndex")]
     return rows.withColumns(
         {
             "IdentityKey": identity_key(),
             "SubmissionID": submission_id(*unit),
             "SubscriberID": surrogate_id(F.col("SubscriberCode")),
-            "RawRecordID": F.md5(position),
+            "RawRecordID": F.md5(joined([F.lit(batch_id), *place])),
+            "BatchID": F.lit(batch_id),
         }
     ).drop("_submission", "_path")
 

@@ -83,10 +83,10 @@ def test_previous_period(spark):
 @pytest.mark.parametrize(
     ("name", "expected"),
     [
-        ("CPOINT0626_IND.csv", ("CPOINT", "2026-06", "IND", 1)),
-        ("CPOINT0626_BUS_2.csv", ("CPOINT", "2026-06", "BUS", 2)),
+        ("ACME0626_IND.csv", ("ACME", "2026-06", "IND", 1)),
+        ("ACME0626_BUS_2.csv", ("ACME", "2026-06", "BUS", 2)),
         ("abc120626_bus_2.csv", ("ABC12", "2026-06", "BUS", 2)),
-        ("CPOINT0626_IND", ("CPOINT", "2026-06", "IND", 1)),
+        ("ACME0626_IND", ("ACME", "2026-06", "IND", 1)),
         ("CP1326_IND.csv", None),
         ("CP0026_IND.csv", None),
         ("0626_IND.csv", None),

@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from monthmatch.fixed_values import MATCH_KEY
+from monthmatch.operators.match import keys_ready
 from monthmatch.operators.outputs import outputs
-from monthmatch.operators.skew import NO_HEAVY_KEYS, HeavyKeys, find_heavy_keys
+from monthmatch.operators.skew import NO_HEAVY_KEYS, HeavyKeys, find_heavy_keys, key_hash
 from monthmatch.operators.summary import headline_metrics, run_summary
 from monthmatch.plans.reconcile import duplicate_keys, reconcile
-from monthmatch.operators.match import keys_ready
-from monthmatch.fixed_values import MATCH_KEY
 from tests.records import frame, record, unl
 
 
@@ -267,8 +267,6 @@ def test_duplicates_are_looked_for_within_one_file(spark):
 def all_heavy(spark, rows, seq=False):
     current = keys_ready(frame(spark, rows, seq=seq))
     keys = duplicate_keys(current)
-    from monthmatch.operators.skew import key_hash
-
     hashes = current.select(key_hash(MATCH_KEY).alias("i"), key_hash(keys).alias("r")).collect()
     return HeavyKeys(tuple({h["i"] for h in hashes}), tuple({h["r"] for h in hashes}))
 

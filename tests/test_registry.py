@@ -161,6 +161,20 @@ def test_a_bad_file_fails_alone(registry, folder):
     assert {(r["SubmissionType"], r["RecordCount"]) for r in history} == {("IND", 3), ("BUS", 1)}
 
 
+def test_a_mended_file_is_loaded_once(registry, folder):
+    good = write(folder / "AA0126_IND.csv", [row(1)])
+    bad = write(folder / "BB0126_IND.csv", [row(1), row(2)])
+    mended = Path(bad).read_text()
+    Path(bad).write_text(mended + ",".join(["x"] * 30) + "\n")
+    assert statuses(process_paths(registry, [good, bad]))["BB0126_IND.csv"] == (FAILED, 0)
+    Path(bad).write_text(mended)
+    assert statuses(process_paths(registry, [good, bad])) == {
+        "AA0126_IND.csv": (ALREADY_LOADED, 0),
+        "BB0126_IND.csv": (PROCESSED, 2),
+    }
+    assert registry.committed("raw").count() == registry.raw_with_payload().count() == 3
+
+
 def test_ties_go_by_file_order(registry, folder):
     rows = [row(1, NatIDNum=str(i)) for i in range(50)]
     process_paths(registry, [write(folder / "AA0126_IND.csv", rows)])

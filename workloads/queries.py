@@ -37,7 +37,7 @@ from monthmatch.sources.submissions import (
     read_headers,
 )
 from workloads import files, fixture
-from workloads.oracle_ctes import CONTACT, FIELDS, GROUP, IDENTITY, KEYS, history, summary, tagged
+from workloads.oracle_ctes import FIELDS, IDENTITY, KEYS, history, summary, tagged
 from workloads.oracle_ctes import fixture as fixture_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -611,13 +611,11 @@ def upsert_subscribers(spark, sf_dir):
 
 def _registered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All usable files with an order's price as row count, and those loaded before."""
-    names = _names(spark, sf_dir)
     usable = _described(spark, sf_dir).filter("Problem IS NULL")
     prices = _table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("int").alias("SequenceNumber"),
         F.floor("o_totalprice").alias("RecordCount"),
     )
-    assert names.columns[0] == "o_orderkey"
     listed = usable.join(prices, "SequenceNumber")
     return listed, usable.filter("SequenceNumber % 3 = 0")
 
@@ -741,7 +739,6 @@ def discovered_files(spark, sf_dir):
 
 
 HISTORY = history()
-_RECORD = f'"FacilityAccNum", "CustomerID", CAST("CurBal" AS DOUBLE) AS "CurBal", {_list(FIELDS)}'
 
 
 @query(f"""{HISTORY} SELECT "IdentityKey", CAST("CurrentDate" AS VARCHAR) AS "DisbursementDate",
