@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -214,9 +215,10 @@ def _reconcile_type(
     raw = registry.batch("raw", batch_id, submission_type).withColumn(
         "CreatedAt", F.current_timestamp()
     )
-    registry.append("clean", clean_rows(raw))
-    registry.append("unl", unl_rows(raw))
-    registry.append("date_log", date_log_rows(raw))
+    derived = {"clean": clean_rows(raw), "unl": unl_rows(raw), "date_log": date_log_rows(raw)}
+    # Three independent scans of what was just written.
+    with ThreadPoolExecutor(len(derived)) as pool:
+        list(pool.map(registry.append, derived, derived.values()))
 
 
 def _packed(fields, value) -> Column:

@@ -8,6 +8,8 @@ missing column, one of another type and one with a name that is no submission.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,13 +68,18 @@ def submission_files(spark: SparkSession, sf_dir: str) -> str:
         prior = fixture.prior_raw(spark, sf_dir).sortWithinPartitions("RowOrder")
         now = fixture.current(spark, sf_dir).sortWithinPartitions("RowOrder")
         second = F.col("RowOrder") % 6 >= 4
-        write_csv(_file_rows(prior), f"{root}/2026/CP0526_IND")
-        write_csv(_file_rows(now.filter(~second)), f"{root}/2026/CP0626_IND")
-        write_csv(_file_rows(now.filter(second)), f"{root}/2026/more/cp0626_ind_2")
-        write_csv(_file_rows(now), f"{root}/2026/CP0726_IND_1")
-        write_csv(_business_rows(prior), f"{root}/2026/CP0526_BUS")
-        write_csv(_file_rows(now).drop("TINum"), f"{root}/2026/CP0826_IND")
-        write_csv(_file_rows(now), f"{root}/2026/CP1326_IND")
+        written = {
+            "CP0526_IND": _file_rows(prior),
+            "CP0626_IND": _file_rows(now.filter(~second)),
+            "more/cp0626_ind_2": _file_rows(now.filter(second)),
+            "CP0726_IND_1": _file_rows(now),
+            "CP0526_BUS": _business_rows(prior),
+            "CP0826_IND": _file_rows(now).drop("TINum"),
+            "CP1326_IND": _file_rows(now),
+        }
+        with ThreadPoolExecutor(4) as pool:
+            paths = [f"{root}/2026/{name}" for name in written]
+            list(pool.map(write_csv, written.values(), paths))
         return root
 
     return _once("files", spark, sf_dir, build)
