@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from monthmatch.llm.common import table
 from monthmatch.llm.fingerprint import fingerprint_edits
+from monthmatch.llm.quality import score_quality
 from monthmatch.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,12 @@ FROM judged WHERE place = 1
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and that of its edit."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
