@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from monthmatch.llm.common import table
 from monthmatch.llm.fingerprint import fingerprint_edits
+from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
 from monthmatch.llm.url_filter import judge_urls
 
@@ -70,3 +72,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted"
     )
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
