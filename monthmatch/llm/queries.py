@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from monthmatch.llm.common import table
 from monthmatch.llm.fingerprint import fingerprint_edits
+from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
 from monthmatch.llm.url_filter import judge_urls
@@ -80,3 +81,57 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sampling probability and whether it is sampled."""
+    return mix_sources(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id", "topic", "tokens", "round(probability, 6) AS probability", "sampled"
+    )
+
+
+def _raking_sql() -> str:
+    """The fitting, one step for each dimension and round."""
+    steps, before = [], "shares"
+    for k in range(ROUNDS):
+        for d in POWERS:
+            steps.append(
+                f"r{k}_{d} AS (SELECT * EXCLUDE weight, weight * {d}_share / sum(weight) OVER "
+                f"(PARTITION BY {d}) AS weight FROM {before})"
+            )
+            before = f"r{k}_{d}"
+    shares = ", ".join(
+        f"{d}_power / sum({d}_power / {d}_cells) OVER () AS {d}_share" for d in POWERS
+    )
+    powers = ", ".join(
+        f"pow(sum(tokens) OVER (PARTITION BY {d}), {p}) AS {d}_power, "
+        f"count(*) OVER (PARTITION BY {d}) AS {d}_cells"
+        for d, p in POWERS.items()
+    )
+    return f"""
+WITH marked AS (
+    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+        greatest(1, strlen(coalesce(text, '')) // 4)::BIGINT AS tokens,
+        CASE WHEN coalesce(text, '') = '' THEN 'empty'
+            WHEN (length(text) - length(replace(text, '|', ''))) * 50 >= length(text) THEN 'table'
+            WHEN (length(text) - length(replace(text, chr(10), ''))) * 100 >= length(text) THEN 'list'
+            WHEN length(text) >= 8000 THEN 'book' WHEN length(text) >= 1500 THEN 'article'
+            ELSE 'note' END AS topic
+    FROM documents
+), cells AS (
+    SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM marked GROUP BY ALL
+), powers AS (
+    SELECT *, {powers} FROM cells
+), shares AS (
+    SELECT *, tokens AS weight, {shares} FROM powers
+), {", ".join(steps)}, chances AS (
+    SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS chance FROM {before}
+)
+SELECT doc_id, topic, marked.tokens, round(chance, 6) AS probability,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < chance AS sampled
+FROM marked JOIN chances USING (source, lang, topic)
+"""
+
+
+ORACLES["op5_mixing"] = _raking_sql()
