@@ -12,6 +12,7 @@ from monthmatch.llm.fingerprint import fingerprint_edits
 from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
+from monthmatch.llm.secret_scan import ACCESS, ASSIGN, HEX, MOST_OWNERS, OPAQUE_PATTERN, scan_secrets
 from monthmatch.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,58 @@ FROM marked JOIN chances USING (source, lang, topic)
 
 
 ORACLES["op5_mixing"] = _raking_sql()
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, hint: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, owner, '{kind}' AS kind, {rank} AS rank, s.first AS first, s.first + length(s.value) AS last,
+    s.value AS value
+FROM (
+    SELECT doc_id, owner, unnest(list_transform(range(2, len(p) + 1, 2), lambda i: {{
+        'first': list_sum(list_transform(p[1:i - 1], lambda x: length(x)))::BIGINT, 'value': p[i]}})) AS s
+    FROM (
+        SELECT doc_id, owner, string_split_regex(regexp_replace(
+            translate(text, chr(1) || chr(2), chr(3) || chr(3)), '{quoted}', chr(1) || '\\0' || chr(2), 'g'),
+            '[\x01\x02]') AS p
+        FROM docs WHERE regexp_matches(text, '{hint}')
+    )
+) WHERE length(regexp_extract(s.value, '{quoted}', {group})) >= {least}"""
+
+
+ORACLES["op8_secrets"] = f"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents
+), base AS ({_spans_sql("assign", 0, ASSIGN, "[:=]", 2, 6)}
+    UNION ALL {_spans_sql("access", 1, ACCESS, "AKIA", 0, 20)}
+    UNION ALL {_spans_sql("hex", 2, HEX, "[0-9a-f]", 0, 24)}
+), candidates AS (
+    SELECT * FROM ({_spans_sql("opaque", 3, OPAQUE_PATTERN, "[A-Za-z0-9_-]", 0, 20)}
+    ) AS c
+    WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
+        AND NOT EXISTS (
+            SELECT 1 FROM base WHERE base.doc_id = c.doc_id AND base.first < c.last AND base.last > c.first)
+), added AS (
+    SELECT * FROM candidates WHERE value IN (
+        SELECT value FROM candidates GROUP BY value HAVING count(DISTINCT owner) <= {MOST_OWNERS})
+), every AS (
+    SELECT * FROM base UNION ALL SELECT * FROM added
+), digests AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        coalesce(string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank)
+            FILTER (rank < 3), '') AS base,
+        string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) AS spans
+    FROM every GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+    coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN digests USING (doc_id)
+"""
