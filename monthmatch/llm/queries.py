@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from monthmatch.llm.common import table
 from monthmatch.llm.fingerprint import fingerprint_edits
+from monthmatch.llm.jaccard import jaccard_classes
 from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
@@ -191,3 +192,9 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
     coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN digests USING (doc_id)
 """
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal words, number of similar documents and group."""
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
