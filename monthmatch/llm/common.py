@@ -60,36 +60,3 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         total += size
     if len(sizes) > start:
         yield batch.slice(start)
-
-
-def groups(batches: Iterable[pa.RecordBatch], keys: int, most_bytes: int = 8 << 20) -> Iterator[list[tuple]]:
-    """Runs of rows that are equal in the first ``keys`` columns, over the borders of batches."""
-    held: list[tuple] = []
-    for batch in batches:
-        step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
-        for first in range(0, batch.num_rows, step):
-            part = batch.slice(first, step)
-            for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                if held and row[:keys] != held[0][:keys]:
-                    yield held
-                    held = []
-                held.append(row)
-    if held:
-        yield held
-
-
-def dealt_over_pairs(df: DataFrame, keys: list[str], node: str, blocks: Column) -> DataFrame:
-    """Rows with their ``block`` among ``blocks`` of their key, once for each pair (``i``, ``j``) it is in.
-
-    Rows of one key and pair are consecutive in a partition, ordered by block.
-    """
-    return (
-        df.withColumn("__blocks", blocks.cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int"))
-        .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-        .withColumn("i", F.least("block", "__other"))
-        .withColumn("j", F.greatest("block", "__other"))
-        .drop("__blocks", "__other")
-        .repartition(*keys, "i", "j")
-        .sortWithinPartitions(*keys, "i", "j", "block", node)
-    )

@@ -25,7 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthmatch.llm.common import dealt_over_pairs, groups, new_folder, saved, text_or_empty
+from monthmatch.llm.blocks import (
+    EDGES,
+    LINKS,
+    batched,
+    dealt_over_pairs,
+    forest_edges,
+    groups,
+    link_rows,
+    sides_of,
+)
+from monthmatch.llm.common import new_folder, saved, text_or_empty
 from monthmatch.llm.components import connected
 from monthmatch.llm.fingerprint import WordHasher, mixed
 
@@ -84,24 +94,6 @@ def band_hashes(smallest: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-class _Forest:
-    """Union-find over the members of one task."""
-
-    def __init__(self, size: int):
-        self.parent = list(range(size))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
-        return i != j
-
-
 def _linked(sets: Sequence[np.ndarray], left: int, similarity: float) -> np.ndarray:
     """Which of the first ``left`` sets (rows) link with which of the others (columns).
 
@@ -131,23 +123,6 @@ def _linked(sets: Sequence[np.ndarray], left: int, similarity: float) -> np.ndar
     return (union > 0) & (common >= similarity * union)
 
 
-def _sides(group: list[tuple], i: int, j: int, block: int) -> tuple[list[tuple], int] | None:
-    """The rows and how many of them are the left side; 0 for a block with itself, None for nothing to do."""
-    left = sum(r[block] == i for r in group)
-    if i == j:
-        return (group, 0) if len(group) > 1 else None
-    return (group, left) if 0 < left < len(group) else None
-
-
-def _forest_edges(linked: np.ndarray, left: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links."""
-    forest = _Forest(left + linked.shape[1])
-    for i in np.flatnonzero(linked.any(axis=1)):
-        for j in np.flatnonzero(linked[i]) + left:
-            if forest.join(int(i), int(j)):
-                yield int(i), int(j)
-
-
 def _neighbours(rows: list[tuple], left: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Edges between rows (..., node, minima) of a bucket whose minima agree often enough."""
     values = np.frombuffer(b"".join(r[-1] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
@@ -161,7 +136,7 @@ def _neighbours(rows: list[tuple], left: int, similarity: float) -> Iterator[tup
             linked[k : k + 16, m : m + 512] = equal.sum(axis=2, dtype=np.int16) >= least
     if not left:
         np.fill_diagonal(linked, False)
-    for i, j in _forest_edges(linked, left):
+    for i, j in forest_edges(linked, left):
         yield rows[i][-2], rows[j][-2]
 
 
@@ -171,12 +146,7 @@ def _verified(rows: list[tuple], left: int, words: int, similarity: float) -> It
     linked = _linked([ngrams(r[-1], words) for r in rows], left, similarity)
     if not left:
         np.fill_diagonal(linked, False)
-    for i, j in _forest_edges(linked, left):
-        yield nodes[i], 0, nodes[j]
-    counts = [*(linked @ copies[left:]), *((linked.T @ copies[:left]) if left else [])]
-    for node, n in zip(nodes, counts, strict=False):
-        if n:
-            yield node, int(n), None
+    yield from link_rows(linked, left, nodes, copies)
 
 
 def jaccard_classes(
@@ -276,27 +246,14 @@ def _bucket_edges(classes: DataFrame, similarity: float, folder: str) -> DataFra
     dealt = dealt_over_pairs(rows, ["band", "hash"], "node", F.ceil(F.col("n") / BUCKET_BLOCK))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for group in groups(batches, 4):
-            sides = _sides(group, group[0][2], group[0][3], 4)
-            if sides:
-                out.extend(_neighbours(*sides, similarity))
-            if len(out) >= 10_000:
-                yield _batch(out, _EDGES)
-                out = []
-        if out:
-            yield _batch(out, _EDGES)
-
-    return dealt.select("band", "hash", "i", "j", "block", "node", "minima").mapInArrow(edges, "a long, b long")
-
+        def rows() -> Iterator[tuple]:
+            for group in groups(batches, 4):
+                if sides := sides_of(group, group[0][2], group[0][3], 4):
+                    yield from _neighbours(*sides, similarity)
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+        return batched(rows(), EDGES)
 
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
+    return dealt.select("band", "hash", "i", "j", "block", "node", "minima").mapInArrow(edges, "a long, b long")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -311,17 +268,13 @@ def _verify(docs: DataFrame, classes: DataFrame, near: DataFrame, words: int, si
     dealt = dealt_over_pairs(members, ["root"], "node", F.col("blocks"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for group in groups(batches, 3):
-            once = list({r[4]: r for r in reversed(group)}.values())[::-1]
-            sides = _sides(once, group[0][1], group[0][2], 3)
-            if sides:
-                out.extend(_verified(*sides, words, similarity))
-            if len(out) >= 10_000:
-                yield _batch(out, _LINKS)
-                out = []
-        if out:
-            yield _batch(out, _LINKS)
+        def rows() -> Iterator[tuple]:
+            for group in groups(batches, 3):
+                once = list({r[4]: r for r in reversed(group)}.values())[::-1]
+                if sides := sides_of(once, group[0][1], group[0][2], 3):
+                    yield from _verified(*sides, words, similarity)
+
+        return batched(rows(), LINKS)
 
     return dealt.select("root", "i", "j", "block", "node", "copies", "text").mapInArrow(
         links, "node long, links long, other long"

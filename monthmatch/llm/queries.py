@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from monthmatch.llm.common import table
+from monthmatch.llm.embedding_dedup import near_duplicates
 from monthmatch.llm.fingerprint import fingerprint_edits
 from monthmatch.llm.jaccard import jaccard_classes
 from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
@@ -198,3 +199,9 @@ FROM docs LEFT JOIN digests USING (doc_id)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal words, number of similar documents and group."""
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's near duplicates of the same label."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
