@@ -16,6 +16,7 @@ from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
 from monthmatch.llm.secret_scan import ACCESS, ASSIGN, HEX, MOST_OWNERS, OPAQUE_PATTERN, scan_secrets
 from monthmatch.llm.url_filter import judge_urls
+from monthmatch.llm.warc_zip import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +206,33 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's near duplicates of the same label."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives it was written to."""
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+# Eight letters of five bits for each five bytes of the digest.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    f"((('0x' || substr(digest, {10 * g + 1}, 10))::BIGINT >> {35 - 5 * k}) & 31)::INT + 1, 1)"
+    for g in range(4)
+    for k in range(8)
+)
+
+ORACLES["op7_warc"] = f"""
+WITH payloads AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS digest
+    FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM payloads
+)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
