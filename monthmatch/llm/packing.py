@@ -14,8 +14,10 @@ no padding.
 
 from __future__ import annotations
 
+import collections
 import functools
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -147,45 +149,34 @@ class WordIds:
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Ids as little-endian bytes, which join fast and are no work for the garbage collector.
+        self.known: dict[str, bytes] = {}
 
     def _units(self, word: str) -> tuple[str, str]:
         core = word.rstrip(".,")
         # Below U+0100 lower case is one letter for one letter.
-        if core and core.isalpha() and max(core) < "Ā":
+        if core and core.isalpha() and (core.isascii() or max(core) < "Ā"):
             return core.lower(), word[len(core) :]
         return word, ""
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of the words not yet known."""
+    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words and of their units that are not known yet."""
         parts = {w: self._units(w) for w in words}
-        units = {u for pair in parts.values() for u in pair if u and u not in self.known}
-        ordered = sorted(units)
-        encoded = self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)
-        new = {u: tuple(e.ids) for u, e in zip(ordered, encoded, strict=True)}
-        ids = {w: self._of(a, new) + (self._of(b, new) if b else ()) for w, (a, b) in parts.items()}
-        for store in (new, ids):
-            for word, value in store.items():
-                if len(self.known) >= REMEMBERED:
-                    break
-                self.known[word] = value
-        return ids
-
-    def _of(self, unit: str, new: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
-        value = self.known.get(unit)
-        return new[unit] if value is None else value
+        units = sorted({u for pair in parts.values() for u in pair if u not in self.known})
+        encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        new = {u: array("I", e.ids).tobytes() for u, e in zip(units, encoded, strict=True)}
+        known = collections.ChainMap(new, self.known)
+        return new | {w: known[a] + known[b] for w, (a, b) in parts.items()}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        more = self.learn(set().union(*words).difference(self.known))
-        known = self.known
-        out = []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w] if w in known else more[w]
-            ids.append(END_OF_TEXT)
-            out.append(np.asarray(ids, dtype="<u4"))
+        new = self._learn(set().union(*words).difference(self.known))
+        self.known |= new
+        ids_of, end = self.known.__getitem__, array("I", [END_OF_TEXT]).tobytes()
+        out = [np.frombuffer(b"".join([*map(ids_of, ws), end]), dtype="<u4") for ws in words]
+        if len(self.known) > REMEMBERED:
+            for word in new:
+                del self.known[word]
         return out
 
 
