@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from monthmatch.llm.common import table
 from monthmatch.llm.embedding_dedup import near_duplicates
 from monthmatch.llm.fingerprint import fingerprint_edits
+from monthmatch.llm.html_blocks import extract_main_text
 from monthmatch.llm.jaccard import jaccard_classes
 from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
 from monthmatch.llm.packing import pack_documents
@@ -236,3 +237,9 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
     CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts
 """
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
