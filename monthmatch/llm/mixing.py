@@ -66,12 +66,9 @@ def rake(
     shares = {}
     for dimension, target in targets.items():
         positive = F.when(F.col("share") > 0, F.col("share").cast("double")).otherwise(0.0)
-        total = target.agg(F.sum(positive).alias("__all"))
+        total = target.agg(F.sum(positive)).first()[0] or 1.0
         shares[dimension] = saved(
-            target.groupBy(dimension)
-            .agg(F.sum(positive).alias("__share"))
-            .join(total)
-            .select(dimension, (F.col("__share") / F.col("__all")).alias("__share")),
+            target.groupBy(dimension).agg((F.sum(positive) / F.lit(total)).alias("__share")),
             folder,
             f"target-{dimension}",
         )
@@ -138,13 +135,9 @@ def mix_sources(
             wanted[n] = power_targets(cells, n, powers.get(n, 1.0))
     fitted = rake(cells, {n: wanted[n] for n in names}, folder)
     ratio = F.col("weight") / F.col("tokens")
-    largest = fitted.agg(F.max(ratio).alias("__largest"))
-    # The largest ratio is one row; whether cells are broadcast is left to their size.
+    largest = fitted.agg(F.max(ratio)).first()[0] or 1.0
     chances = saved(
-        fitted.join(largest).select(
-            *[F.col(n).alias(f"__{n}") for n in names],
-            F.when(F.col("__largest") > 0, ratio / F.col("__largest")).otherwise(0.0).alias("__chance"),
-        ),
+        fitted.select(*[F.col(n).alias(f"__{n}") for n in names], (ratio / F.lit(largest)).alias("__chance")),
         folder,
         "chances",
     )
