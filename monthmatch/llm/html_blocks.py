@@ -35,7 +35,7 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset(
-    "script style noscript template textarea title select button svg iframe object canvas audio video head".split()
+    "script style noscript template textarea title select button svg iframe object canvas audio video".split()
 )
 # An element that ends others of these kinds when it starts.
 _ENDS = {
@@ -127,11 +127,11 @@ def blocks_of(page: str) -> list[Block]:
         end = found["end"] or found["end2"]
         if tag == "br":
             reader.text(" ")
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in _SKIPPED:
             reader.flush()
         if end:
             reader.close({tag}, scoped=tag in _INLINE or tag == "p")
-        elif tag in _SKIPPED and tag != "head":
+        elif tag in _SKIPPED:
             closing = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = closing.end() if closing else len(page)
         elif tag not in _VOID:

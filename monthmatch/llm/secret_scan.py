@@ -35,53 +35,84 @@ MOST_OWNERS = 2
 _OPEN, _CLOSE, _STAND_IN = "\x01", "\x02", "\x03"
 
 
-def marked_spans(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Start, end and text of the pattern's leftmost matches whose ``group`` is long enough.
+#: Parts of a text that are walked at a time; even, so that each begins between matches.
+_PARTS = 1000
+_SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
-    Matches are found first and short ones dropped then. Marks are put around
-    all matches; the lengths of what stands between the marks give positions in
-    code points.
-    """
+
+def marked_parts(text: Column, pattern: str) -> Column:
+    """The text cut around the pattern's leftmost matches: between, match, between, ..."""
     clean = F.translate(text, _OPEN + _CLOSE, _STAND_IN * 2)
-    parts = F.split(
-        F.regexp_replace(clean, F.lit(pattern), F.lit(_OPEN + "$0" + _CLOSE)), f"[{_OPEN}{_CLOSE}]", -1
+    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(_OPEN + "$0" + _CLOSE))
+    return F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
+
+
+def spans_of(parts: Column, pattern: str, group: int, least: int) -> Column:
+    """Start, end and text of the matches among the parts whose ``group`` is long enough.
+
+    Matches are found first and short ones dropped then. The lengths of the
+    parts give positions in code points. ``parts`` must be a column, not an
+    expression, as it is looked at many times.
+    """
+    none = F.array().cast(_SPANS)
+
+    def walk(some: Column) -> Column:
+        return F.aggregate(
+            some,
+            F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), none.alias("found")),
+            lambda state, part: F.struct(
+                (state["at"] + F.length(part)).alias("at"),
+                (~state["inside"]).alias("inside"),
+                F.when(
+                    state["inside"] & (F.length(_group(part, pattern, group)) >= least),
+                    F.concat(
+                        state["found"],
+                        F.array(
+                            F.struct(
+                                state["at"].alias("start"),
+                                (state["at"] + F.length(part)).alias("end"),
+                                _group(part, pattern, group).alias("value"),
+                            )
+                        ),
+                    ),
+                )
+                .otherwise(state["found"])
+                .alias("found"),
+            ),
+        )
+
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _PARTS).cast("int")),
+        lambda c: walk(F.slice(parts, c * _PARTS + 1, _PARTS)),
     )
-    # Parts alternate: between matches, match, between matches, ...
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), empty.alias("found")),
-        lambda state, part: F.struct(
-            (state["at"] + F.length(part)).alias("at"),
-            (~state["inside"]).alias("inside"),
-            F.when(
-                state["inside"] & (F.length(_group(part, pattern, group)) >= least),
-                F.concat(
-                    state["found"],
-                    F.array(
-                        F.struct(
-                            state["at"].alias("start"),
-                            (state["at"] + F.length(part)).alias("end"),
-                            _group(part, pattern, group).alias("value"),
-                        )
+    whole = F.aggregate(
+        chunks,
+        F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")),
+        lambda state, chunk: F.struct(
+            (state["at"] + chunk["at"]).alias("at"),
+            F.concat(
+                state["found"],
+                F.transform(
+                    chunk["found"],
+                    lambda s: F.struct(
+                        (s["start"] + state["at"]).alias("start"),
+                        (s["end"] + state["at"]).alias("end"),
+                        s["value"].alias("value"),
                     ),
                 ),
-            )
-            .otherwise(state["found"])
-            .alias("found"),
+            ).alias("found"),
         ),
     )
-    return walked["found"]
+    return F.when(F.size(parts) > 1, whole["found"]).otherwise(none)
 
 
 def _group(match: Column, pattern: str, group: int) -> Column:
     return match if group == 0 else F.regexp_extract(match, pattern, group)
 
 
-def _where_any(text: Column, hint: str, spans: Column) -> Column:
-    """Spans, looked for only in texts that can have one."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    return F.when(text.rlike(hint), spans).otherwise(none)
+def _parts_where(text: Column, hint: str, pattern: str) -> Column:
+    """Parts, cut only in texts that can have a match."""
+    return F.when(text.rlike(hint), marked_parts(text, pattern)).otherwise(F.array().cast("array<string>"))
 
 
 def _opaque(value: Column) -> Column:
@@ -122,30 +153,27 @@ def secret_spans(
     """
     body = text_or_empty(text)
     hints = {"assign": r"[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}"}
+    parts = {f"__{kind}": _parts_where(body, hints[kind], pattern) for kind, pattern, _, _ in BASE}
     base = {
-        kind: _where_any(body, hints[kind], marked_spans(body, pattern, group, least))
-        for kind, pattern, group, least in BASE
+        f"__{kind}": spans_of(F.col(f"__{kind}"), pattern, group, least) for kind, pattern, group, least in BASE
     }
     # Rows with the same id and text have the same spans, so they may share them.
     row = F.xxhash64(F.coalesce(F.col(document).cast("string"), F.lit("")), body)
-    found = docs.withColumns({f"__{kind}": spans for kind, spans in base.items()}).withColumns(
+    found = docs.withColumns(parts).withColumns(base).withColumns(
         {
             "__row": row,
             "__base": F.concat(*[_ranked(F.col(f"__{kind}"), kind, i) for i, (kind, *_) in enumerate(BASE)]),
         }
     )
+    opaque = F.filter(spans_of(F.col("__parts"), OPAQUE_PATTERN, 0, 20), lambda s: _opaque(s["value"]))
     candidates = (
         found.select(
             "__row",
             F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
             "__base",
-            F.explode(
-                F.filter(
-                    _where_any(body, OPAQUE_PATTERN, marked_spans(body, OPAQUE_PATTERN, 0, 20)),
-                    lambda s: _opaque(s["value"]),
-                )
-            ).alias("span"),
+            _parts_where(body, OPAQUE_PATTERN, OPAQUE_PATTERN).alias("__parts"),
         )
+        .select("__row", "owner", "__base", F.explode(opaque).alias("span"))
         .filter(~F.exists("__base", lambda b: (b["start"] < F.col("span.end")) & (b["end"] > F.col("span.start"))))
         .select("__row", "owner", "span.start", "span.end", F.sha2("span.value", 256).alias("value"))
     )
@@ -178,8 +206,9 @@ def scan_secrets(docs: DataFrame, **options) -> DataFrame:
     """The digest of ``secret_spans``: ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``."""
     found = secret_spans(docs, **options)
     counts = [_count(kind).alias(f"n_{kind}") for kind, *_ in BASE]
+    names = [f"n_{kind}" for kind, *_ in BASE] + ["base_sha256", "spans"]
     return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in names],
         *counts,
         F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"),
         _joined(F.col("secret_spans")).alias("spans"),
@@ -191,7 +220,10 @@ def _count(kind: str) -> Column:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents with every secret in their text replaced; a null text stays null."""
+    """The documents with every secret in their text replaced; a null text stays null.
+
+    The work on a text grows with its length times its secrets.
+    """
     found = secret_spans(docs, text=text, **options)
     return found.withColumn(
         text, F.when(F.col(text).isNotNull(), redacted(F.col(text), F.col("secret_spans")))
