@@ -38,19 +38,20 @@ SUBMISSION_TYPES = ("IND", "BUS")
 DELIMITER = "|"
 # subscriber, month, year, type, sequence
 FILE_NAME_PATTERN = (
-    r"(?i)^([A-Za-z0-9]+?)(0[1-9]|1[0-2])(\d{2})_(IND|BUS)(?:_(\d{1,9}))?(?:\.[^.]*)?$"
+    r"(?i)^([A-Za-z0-9]+?)(0[1-9]|1[0-2])(\d{2})_(IND|BUS)(?:_(\d+))?(?:\.[^.]*)?$"
 )
-NULL_DATE_WORDS = ("nan", "none", "nat")
 NULL_AMOUNT_WORDS = ("nan", "none")
-DATE_FORMATS = (
-    "yyyyMMdd",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "dd-MMM-yyyy",
-    "yyyy-MM-dd HH:mm:ss",
+# Forms of dates; a time of day may follow all but the first. Between month
+# first and day first, month first is tried first.
+DATE_COMPACT = r"^\d{8}$"
+_TIME = r"(?:[T ](?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?$"
+DATE_YEAR_FIRST = r"^\d{4}([-/])\d{1,2}\1\d{1,2}" + _TIME
+DATE_YEAR_LAST = r"^\d{1,2}([-/])\d{1,2}\1\d{4}" + _TIME
+DATE_NAMED_MONTH = (
+    r"(?i)^\d{1,2}([- ])(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\1\d{4}" + _TIME
 )
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # -- fixed values: match flags, in report order ------------------------------
 EXACT = "Exact match"

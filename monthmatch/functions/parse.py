@@ -10,33 +10,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from monthmatch.fixed_values import (
-    DATE_FORMATS,
+    DATE_COMPACT,
+    DATE_NAMED_MONTH,
+    DATE_YEAR_FIRST,
+    DATE_YEAR_LAST,
     FILE_NAME_PATTERN,
+    MONTHS,
     NULL_AMOUNT_WORDS,
-    NULL_DATE_WORDS,
 )
 from monthmatch.functions.text import quoted, strip
 
-_COMPACT = "yyyyMMdd"
 # A plain number; keeps Java's own literals ("1d", "NaN") out of the cast.
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_date(column: Column) -> Column:
-    """Compact ``yyyyMMdd`` first, then the other listed formats, else null."""
+    """A date in one of the listed forms, else null.
+
+    The form decides where year, month and day stand; they are put together in
+    one way and read once.
+    """
     text = strip(column.cast("string"))
-    # The usual form by position, which is much cheaper than a date pattern.
-    compact = F.concat(
-        F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2)
-    ).try_cast("date")
-    other = F.coalesce(
-        *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS if f != _COMPACT]
-    )
-    return (
-        F.when(text.rlike(r"^\d{8}$"), compact)
-        .when((text == "") | F.lower(text).isin(*NULL_DATE_WORDS), F.lit(None).cast("date"))
-        .otherwise(other)
+    parts = F.split(text, "[-/ T]", 4)
+    first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(second, 1, 3)))
+
+    def day(year: Column, month: Column, day: Column) -> Column:
+        return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+
+    written = (
+        F.when(
+            text.rlike(DATE_COMPACT),
+            day(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)),
+        )
+        .when(text.rlike(DATE_YEAR_FIRST), day(first, second, third))
+        .when(
+            text.rlike(DATE_YEAR_LAST),
+            F.when(first.cast("int") <= 12, day(third, first, second)).otherwise(day(third, second, first)),
+        )
+        .when(text.rlike(DATE_NAMED_MONTH), day(third, month.cast("string"), first))
     )
+    return written.try_cast("date")
 
 
 def date_of(df: DataFrame, name: str) -> Column:
@@ -69,20 +83,31 @@ def previous_period(column: Column) -> Column:
     return F.date_format(F.add_months(F.to_date(column, "yyyy-MM"), -1), "yyyy-MM")
 
 
-def submission_of(name: Column) -> Column:
-    """``<CODE><MMYY>_<IND|BUS>[_<SEQ>]`` as a struct; null if it is not one.
+def name_parts(name: Column) -> Column:
+    """Subscriber, month, year, type and sequence of a submission's name; one item if it is not one."""
+    marked = F.regexp_replace(name, FILE_NAME_PATTERN, "$1\x01$2\x01$3\x01$4\x01$5")
+    return F.split(marked, "\x01", -1)
 
-    The name may end in a file extension. Text after the sequence number or a
-    month outside 1..12 makes the name invalid.
-    """
-    parts = F.split(F.regexp_replace(name, FILE_NAME_PATTERN, "$1,$2,$3,$4,$5"), ",")
-    code, month, year, kind, sequence = (parts[i] for i in range(5))
+
+def submission_from(parts: Column) -> Column:
+    """The submission that :func:`name_parts` names, as a struct; null if there is none."""
+    code, month, year, kind, sequence = (F.get(parts, F.lit(i)) for i in range(5))
+    number = F.when(sequence == "", F.lit(1).cast("bigint")).otherwise(sequence.try_cast("bigint"))
     return F.when(
-        name.rlike(FILE_NAME_PATTERN),
+        (F.size(parts) == 5) & number.isNotNull(),
         F.struct(
             F.upper(code).alias("SubscriberCode"),
             F.concat(F.lit("20"), year, F.lit("-"), month).alias("ReportingPeriod"),
             F.upper(kind).alias("SubmissionType"),
-            F.coalesce(sequence.try_cast("int"), F.lit(1)).alias("SequenceNumber"),
+            number.alias("SequenceNumber"),
         ),
     )
+
+
+def submission_of(name: Column) -> Column:
+    """``<CODE><MMYY>_<IND|BUS>[_<SEQ>]`` as a struct; null if it is not one.
+
+    The name may end in a file extension. Text after the sequence number, a
+    month outside 1..12 or a sequence beyond 64 bits makes the name invalid.
+    """
+    return submission_from(name_parts(name))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +14,7 @@ from monthmatch.fixed_values import DEDUP_REASON, RECORD_KEY
 from monthmatch.functions.text import joined
 from monthmatch.operators.skew import split
 
+
 def mark_duplicates(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,11 +37,13 @@ def mark_duplicates(
         return _ranked(df, names, keys, order, record_id)
     ordinary, hot = split(df, keys, heavy)
     rank = F.struct(F.col("ThisRowBalance").isNull(), F.col("ThisRowBalance"), *order)
-    winners = hot.groupBy(*keys).agg(
+    winners = hot.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
         F.min(rank).alias("_kept"), F.min_by(record_id, rank).alias("_kept_id")
     )
     dropped = rank != F.col("_kept")
-    hot = hot.join(F.broadcast(winners), list(keys)).select(
+    # Null-safe, as a window also takes nulls for equal.
+    same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    hot = hot.join(F.broadcast(winners), same_key).select(
         *names, *_flags(dropped, F.col("_kept.ThisRowBalance"), F.col("_kept_id"))
     )
     return _ranked(ordinary, names, keys, order, record_id).unionByName(hot)
@@ -65,7 +70,7 @@ def _flags(dropped: Column, balance: Column, record: Column) -> list[Column]:
 
 def composite_key() -> Column:
     """The duplicate key as text, for display."""
-    return joined([F.col(c) for c in RECORD_KEY])
+    return joined([F.col(c).cast("string") for c in RECORD_KEY])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -23,6 +23,7 @@ from monthmatch.functions.compare import FieldComparison
 from monthmatch.functions.parse import date_of
 from monthmatch.functions.text import field_or_blank, filled, normalized, or_blank
 from monthmatch.operators.dedup import first_per_key
+from monthmatch.operators.skew import only_heavy
 
 
 @dataclass(frozen=True)
@@ -51,11 +52,16 @@ class Lookups:
         rows = self._joined(rows, self.open_unl, broadcast)
         return rows.withColumn("InOpenUnl", F.coalesce("InOpenUnl", F.lit(False)))
 
-    def only(self, keep: Column) -> Lookups:
+    def only(self, hashes: Sequence[int]) -> Lookups:
+        """The lookups' rows of heavy keys."""
+
+        def kept(lookup: DataFrame) -> DataFrame:
+            return only_heavy(lookup, MATCH_KEY, hashes)
+
         return Lookups(
-            self.prior.filter(keep),
-            self.clean.filter(keep),
-            None if self.open_unl is None else self.open_unl.filter(keep),
+            kept(self.prior),
+            kept(self.clean),
+            None if self.open_unl is None else kept(self.open_unl),
         )
 
 
@@ -149,9 +155,13 @@ def date_changes(df: DataFrame) -> DataFrame:
 
 
 def keys_ready(df: DataFrame) -> DataFrame:
-    """Non-null keys; an absent key column becomes ``""``."""
-    keys = {c: field_or_blank(df, c) for c in (*IDENTITY_KEY,)}
-    if df.schema[DATE].dataType.typeName() == "string":
+    """The identity as non-null text; an absent or null part becomes ``""``.
+
+    All inputs go through this, so that keys agree whatever their types. A date
+    given as text is made non-null, too.
+    """
+    keys = {c: field_or_blank(df, c) for c in IDENTITY_KEY}
+    if DATE in df.columns and df.schema[DATE].dataType.typeName() == "string":
         keys[DATE] = field_or_blank(df, DATE)
     return df.withColumns(keys)
 

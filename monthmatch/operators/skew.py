@@ -13,17 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sketch size; every key above about total * 3.5 / TRACKED rows is found.
-TRACKED = 8192
-# Heavy keys are carried as literals and their lookups are broadcast, so
-# their number is bounded. Keys past the bound are small enough to be ordinary.
-MAX_HEAVY = 1000
+# Items a sketch tracks for each shuffle partition. It finds every key above
+# about 3.5 / (TRACKED_PER_PARTITION * partitions) of the rows, which is below
+# the 2 / partitions that make a key heavy.
+TRACKED_PER_PARTITION = 4
 # Partial sketches are merged in two levels so no task merges all of them.
 SHARDS = 64
 # Rows a task handles without trouble, whatever the fair share is.
 MIN_HEAVY_ROWS = 200_000
-# An input up to this size by Spark's estimate fits one task as a whole.
-SMALL_INPUT_BYTES = 64 << 20
 
 
 def key_hash(columns: Sequence[str]) -> Column:
@@ -47,7 +44,14 @@ def find_heavy_keys(
     record: Sequence[str],
     min_rows: int = MIN_HEAVY_ROWS,
 ) -> HeavyKeys:
-    """One narrow pass over the two keys; returns at most 2 * MAX_HEAVY hashes."""
+    """Heavy keys by one narrow pass over the two keys, whatever the size of the input.
+
+    A heavy key has more than ``2 / partitions`` of the rows, so there are
+    fewer than half as many as shuffle partitions, and all of them are returned.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = min(1_000_000, max(256, TRACKED_PER_PARTITION * partitions))
+    most = partitions // 2 + 1
     shard = F.pmod(F.spark_partition_id(), F.lit(SHARDS))
     sketches = (
         df.select(
@@ -57,22 +61,21 @@ def find_heavy_keys(
         )
         .groupBy("shard")
         .agg(
-            F.expr(f"approx_top_k_accumulate(identity, {TRACKED})").alias("identity"),
-            F.expr(f"approx_top_k_accumulate(record, {TRACKED})").alias("record"),
+            F.expr(f"approx_top_k_accumulate(identity, {tracked})").alias("identity"),
+            F.expr(f"approx_top_k_accumulate(record, {tracked})").alias("record"),
             F.count(F.lit(1)).alias("rows"),
         )
     )
     # Grouped by a constant so that no input gives no row.
     found = sketches.groupBy(F.lit("all").alias("all")).agg(
-        F.expr(f"approx_top_k_combine(identity, {TRACKED})").alias("identity"),
-        F.expr(f"approx_top_k_combine(record, {TRACKED})").alias("record"),
+        F.expr(f"approx_top_k_combine(identity, {tracked})").alias("identity"),
+        F.expr(f"approx_top_k_combine(record, {tracked})").alias("record"),
         F.sum("rows").alias("rows"),
     ).select(
-        F.expr(f"approx_top_k_estimate(identity, {MAX_HEAVY})").alias("identity"),
-        F.expr(f"approx_top_k_estimate(record, {MAX_HEAVY})").alias("record"),
+        F.expr(f"approx_top_k_estimate(identity, {most})").alias("identity"),
+        F.expr(f"approx_top_k_estimate(record, {most})").alias("record"),
         "rows",
     )
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = found.first()
     if row is None:
         return NO_HEAVY_KEYS
@@ -84,13 +87,20 @@ def find_heavy_keys(
     return HeavyKeys(above(row["identity"]), above(row["record"]))
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the input is too small for any key to be a problem."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= SMALL_INPUT_BYTES
+def heavy_frame(df: DataFrame, hashes: Sequence[int]) -> DataFrame:
+    """Heavy keys as rows to join with; fewer than half the shuffle partitions."""
+    rows = df.sparkSession.createDataFrame([(h,) for h in hashes], "_heavy BIGINT")
+    return F.broadcast(rows)
+
+
+def only_heavy(df: DataFrame, columns: Sequence[str], hashes: Sequence[int]) -> DataFrame:
+    """The rows of heavy keys."""
+    keys = heavy_frame(df, hashes)
+    return df.join(keys, key_hash(columns) == F.col("_heavy"), "left_semi")
 
 
 def split(df: DataFrame, columns: Sequence[str], hashes: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys and rows of heavy keys."""
-    heavy = key_hash(columns).isin(*hashes)
-    return df.filter(~heavy), df.filter(heavy)
+    keys = heavy_frame(df, hashes)
+    ordinary = df.join(keys, key_hash(columns) == F.col("_heavy"), "left_anti")
+    return ordinary, only_heavy(df, columns, hashes)

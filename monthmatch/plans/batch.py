@@ -41,8 +41,6 @@ PROCESSED, ALREADY_LOADED, FAILED = "processed", "already_loaded", "failed"
 STATUS_COLUMNS = (
     "FileName STRING, ReportingPeriod STRING, Status STRING, RecordCount BIGINT, Message STRING"
 )
-# Up to this many subscribers are pushed into the registry scans as literals.
-_SCOPED_SUBSCRIBERS = 500
 
 
 @dataclass
@@ -116,7 +114,7 @@ def process_batch(
             if units:
                 _reconcile_type(registry, result.batch_id, submission_type, period, units)
         _register(registry, result.batch_id, pending)
-        registry.commit(result.batch_id)
+        registry.commit(result.batch_id, _units_frame(spark, pending))
     result.files += [
         FileStatus(f["FileName"], f["ReportingPeriod"], PROCESSED, f["RecordCount"]) for f in pending
     ]
@@ -181,7 +179,7 @@ def _land(
 def _units_frame(spark: SparkSession, units: list[dict]) -> DataFrame:
     columns = ("FileName", *UNIT_KEY, "RecordCount")
     kinds = "FileName STRING, SubscriberCode STRING, ReportingPeriod STRING,"
-    kinds += " SubmissionType STRING, SequenceNumber INT, RecordCount BIGINT"
+    kinds += " SubmissionType STRING, SequenceNumber BIGINT, RecordCount BIGINT"
     return spark.createDataFrame([tuple(u[c] for c in columns) for u in units], kinds)
 
 
@@ -197,8 +195,7 @@ def _reconcile_type(
         .drop("RawPayload", "Malformed", "IdentityKey"),
         fields,
     )
-    codes = sorted({u["SubscriberCode"] for u in units})
-    scope = codes if len(codes) <= _SCOPED_SUBSCRIBERS else ()
+    scope = _units_frame(spark, units)
     before = previous_period(F.lit(period))
     tagged = reconcile(
         current,

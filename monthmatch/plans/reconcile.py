@@ -22,22 +22,19 @@ from monthmatch.operators.match import (
     prior_lookup,
 )
 from monthmatch.operators.route import routed
-from monthmatch.operators.skew import (
-    NO_HEAVY_KEYS,
-    HeavyKeys,
-    find_heavy_keys,
-    is_small,
-    key_hash,
-    split,
-)
+from monthmatch.operators.skew import HeavyKeys, find_heavy_keys, split
 
 SEQUENCE = "SequenceNumber"
+# Scopes of the search for duplicates.
+FILE, PERIOD = "file", "period"
 
 
-def duplicate_keys(df: DataFrame) -> list[str]:
-    """Duplicates are looked for within one file: sequence, if there is one."""
-    scope = [SEQUENCE] if SEQUENCE in df.columns else []
-    return [*MATCH_KEY, *scope, DATE]
+def duplicate_keys(df: DataFrame, scope: str = FILE) -> list[str]:
+    """What rows must agree in to be duplicates: within one file, or all files of the period."""
+    if scope not in (FILE, PERIOD):
+        raise ValueError(f"scope is {FILE!r} or {PERIOD!r}, not {scope!r}")
+    within = [SEQUENCE] if scope == FILE and SEQUENCE in df.columns else []
+    return [*MATCH_KEY, *within, DATE]
 
 
 def reconcile(
@@ -53,6 +50,7 @@ def reconcile(
     clean_order: Sequence[Column | str] | None = None,
     heavy: HeavyKeys | None = None,
     normalize: bool = True,
+    dedup_scope: str = FILE,
 ) -> DataFrame:
     """All rows of ``current``, each tagged with what became of it.
 
@@ -63,6 +61,8 @@ def reconcile(
     ``order`` is the file order of the rows and has to be unique in a file;
     the other orders default to it where the frame has those columns.
     ``normalize=False`` says that both sides' fields are normalised already.
+    ``dedup_scope`` is where duplicates are looked for: in each file, or in all
+    files of the period together.
 
     Each input is shuffled once, on the identity. The rows of identities in
     ``heavy`` (looked up if not given) stay where they are: what they join
@@ -70,14 +70,14 @@ def reconcile(
     """
     names = (*MATCH_KEY, *hash_fields(submission_type))
     current, prior_raw, prior_clean = (
-        text_cells(df, names) for df in (current, prior_raw, prior_clean)
+        keys_ready(text_cells(df, names)) for df in (current, prior_raw, prior_clean)
     )
-    current = keys_ready(current)
+    if open_unl is not None:
+        open_unl = keys_ready(text_cells(open_unl, MATCH_KEY))
     names = current.columns
-    keys = duplicate_keys(current)
+    keys = duplicate_keys(current, dedup_scope)
     if heavy is None:
-        small = is_small(current)
-        heavy = NO_HEAVY_KEYS if small else find_heavy_keys(current, MATCH_KEY, keys)
+        heavy = find_heavy_keys(current, MATCH_KEY, keys)
     lookups = Lookups(
         prior_lookup(
             prior_raw, submission_type, prior_order or _own(prior_raw, order), normalize
@@ -98,7 +98,7 @@ def reconcile(
             record_id or order[-1],
             heavy.records if hot else (),
         )
-        found = lookups.only(key_hash(MATCH_KEY).isin(*heavy.identities)) if hot else lookups
+        found = lookups.only(heavy.identities) if hot else lookups
         rows = date_changes(found.attach_prior(rows, broadcast=hot))
         rows = classify(rows, submission_type)
         rows = found.attach_clean(rows, broadcast=hot)

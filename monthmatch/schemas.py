@@ -17,7 +17,7 @@ DATASETS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "submissions": (
         "SubmissionID BIGINT, SubscriberID BIGINT, ReportingPeriod STRING, SubmissionType STRING,"
-        " SequenceNumber INT, FileName STRING, RecordCount BIGINT, UploadedAt TIMESTAMP,"
+        " SequenceNumber BIGINT, FileName STRING, RecordCount BIGINT, UploadedAt TIMESTAMP,"
         " BatchID STRING",
         (),
     ),
@@ -25,7 +25,7 @@ DATASETS: dict[str, tuple[str, tuple[str, ...]]] = {
     # files without a shuffle. The wide payload stays here.
     "submitted": (
         f"RawRecordID STRING, SubmissionID BIGINT, SubscriberID BIGINT, {_KEY}, IdentityKey STRING,"
-        f" SequenceNumber INT, {_FILE_ORDER}, DisbursementDate STRING, CurBal STRING,"
+        f" SequenceNumber BIGINT, {_FILE_ORDER}, DisbursementDate STRING, CurBal STRING,"
         " BranchCode STRING, CreditFacilityType STRING, IdentityFields MAP<STRING, STRING>,"
         " ContentHash STRING, RawPayload STRING, Malformed BOOLEAN, ReportingPeriod STRING,"
         " BatchID STRING",
@@ -34,7 +34,7 @@ DATASETS: dict[str, tuple[str, tuple[str, ...]]] = {
     # The same rows, narrow, with what reconciliation found.
     "raw": (
         f"RawRecordID STRING, SubmissionID BIGINT, SubscriberID BIGINT, {_KEY}, IdentityKey STRING,"
-        f" SequenceNumber INT, {_FILE_ORDER}, DisbursementDate DATE, DateText STRING,"
+        f" SequenceNumber BIGINT, {_FILE_ORDER}, DisbursementDate DATE, DateText STRING,"
         " CurBal DECIMAL(18,2), BranchCode STRING, CreditFacilityType STRING,"
         " IdentityFields MAP<STRING, STRING>, ContentHash STRING, IsDuplicate BOOLEAN,"
         " DedupReason STRING, KeptOverThisRecordID STRING, ThisRowBalance DOUBLE,"
@@ -49,7 +49,7 @@ DATASETS: dict[str, tuple[str, tuple[str, ...]]] = {
     "clean": (
         f"CleanRecordID STRING, {_KEY}, IdentityKey STRING, SourceRawRecordID STRING,"
         f" IdentityFields MAP<STRING, STRING>, MatchCategory STRING, Status STRING,"
-        f" SequenceNumber INT, {_FILE_ORDER}, CreatedAt TIMESTAMP, ReportingPeriod STRING,"
+        f" SequenceNumber BIGINT, {_FILE_ORDER}, CreatedAt TIMESTAMP, ReportingPeriod STRING,"
         " BatchID STRING",
         ("SubmissionType", "ReportingPeriod", "BatchID"),
     ),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +36,10 @@ def new_batch_id() -> str:
     return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
+class SubmissionClash(RuntimeError):
+    """Two batches loaded one submission; the later one is not committed."""
+
+
 class Registry:
     """Datasets below one root folder.
 
@@ -85,7 +88,13 @@ class Registry:
             writer = writer.partitionBy(*partitions)
         writer.parquet(f"{self.root}/{name}")
 
-    def commit(self, batch_id: str) -> None:
+    def commit(self, batch_id: str, units: DataFrame | None = None) -> None:
+        """Make a batch visible, unless another one has committed one of its ``units`` meanwhile."""
+        if units is not None:
+            unit = ["SubscriberCode", "ReportingPeriod", "SubmissionType", "SequenceNumber"]
+            row = units.join(self.loaded(), unit, "left_semi").first()
+            if row is not None:
+                raise SubmissionClash(f"already loaded by another batch: {[row[c] for c in unit]}")
         marker = self.spark.range(0, 1, 1, 1).select(
             F.lit(batch_id).alias("BatchID"), F.current_timestamp().alias("CommittedAt")
         )
@@ -94,7 +103,7 @@ class Registry:
     # -- previous-period reads -------------------------------------------------
 
     def prior_raw(
-        self, submission_type: str, period: Column | str, subscribers: Sequence[str] = ()
+        self, submission_type: str, period: Column | str, subscribers: DataFrame | None = None
     ) -> DataFrame:
         """Raw rows of a period that are no duplicates, fields as columns."""
         rows = self._scoped("raw", submission_type, subscribers).filter(
@@ -116,7 +125,7 @@ class Registry:
         )
 
     def prior_clean(
-        self, submission_type: str, period: Column | str, subscribers: Sequence[str] = ()
+        self, submission_type: str, period: Column | str, subscribers: DataFrame | None = None
     ) -> DataFrame:
         """Clean rows of a period as written, fields as columns.
 
@@ -128,16 +137,19 @@ class Registry:
         )
         return unpack(rows, hash_fields(submission_type))
 
-    def open_unl(self, submission_type: str, subscribers: Sequence[str] = ()) -> DataFrame:
+    def open_unl(self, submission_type: str, subscribers: DataFrame | None = None) -> DataFrame:
         """Unresolved exceptions of all periods."""
         rows = self._scoped("unl", submission_type, subscribers).filter(~F.col("Resolved"))
         return rows.select(
             "SubscriberCode", "SubmissionType", "FacilityAccNum", "CustomerID", "Resolved"
         )
 
-    def _scoped(self, name: str, submission_type: str, subscribers: Sequence[str]) -> DataFrame:
+    def _scoped(self, name: str, submission_type: str, subscribers: DataFrame | None) -> DataFrame:
+        """Committed rows of a type, of those in column ``SubscriberCode`` of a frame if given."""
         rows = self.committed(name).filter(F.col("SubmissionType") == submission_type)
-        return rows.filter(F.col("SubscriberCode").isin(*subscribers)) if subscribers else rows
+        if subscribers is None:
+            return rows
+        return rows.join(subscribers.select("SubscriberCode").distinct(), "SubscriberCode", "left_semi")
 
     def clean(self) -> DataFrame:
         """The clean registry: one row per identity and period."""

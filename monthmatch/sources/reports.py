@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from monthmatch.fixed_values import OUTPUT_TITLES, PREVIEW_ROWS
 from monthmatch.operators.outputs import outputs, with_report_headings
 from monthmatch.operators.summary import run_summary
+from monthmatch.sources.registry import FILE_ORDER
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -35,6 +38,13 @@ def write_bundle(tagged: DataFrame, root: str) -> None:
         write_csv(with_report_headings(output), f"{root}/{OUTPUT_TITLES[name]}")
 
 
-def preview(tagged: DataFrame, name: str, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """The first rows of one output."""
-    return outputs(tagged)[name].limit(rows)
+def preview(
+    tagged: DataFrame, name: str, rows: int = PREVIEW_ROWS, order: Sequence[str] | None = None
+) -> DataFrame:
+    """The first rows of one output, in file order.
+
+    ``order`` names the columns of that order; by default those of a registry
+    batch, or ``RowOrder``.
+    """
+    known = order or [c for c in (*FILE_ORDER, "RowOrder") if c in tagged.columns]
+    return outputs(tagged.orderBy(*known))[name].limit(rows)

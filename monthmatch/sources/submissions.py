@@ -25,7 +25,7 @@ from monthmatch.fixed_values import (
     required_columns,
 )
 from monthmatch.functions.fields import pack
-from monthmatch.functions.parse import submission_of
+from monthmatch.functions.parse import name_parts, submission_from, submission_of
 from monthmatch.functions.text import (
     content_hash,
     field_or_blank,
@@ -39,6 +39,8 @@ from monthmatch.functions.text import (
 )
 
 UNIT_KEY = ("SubscriberCode", "ReportingPeriod", "SubmissionType", "SequenceNumber")
+# Files that may be submissions, in either case of letters.
+FILE_GLOB = "*.{[cC][sS][vV],[xX][lL][sS][xX]}"
 _BAD_ROW = "_bad_row"
 _ONE_FILE_PER_TASK = str(1 << 40)
 
@@ -61,7 +63,7 @@ def list_files(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
     without content, which are to be reported too.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    listed = reader.option("pathGlobFilter", "*.{csv,xlsx}").load(
+    listed = reader.option("pathGlobFilter", FILE_GLOB).load(
         root if isinstance(root, str) else list(root)
     )
     uris = [uri.replace("file:///", "file:/", 1) for uri in listed.inputFiles()]
@@ -92,7 +94,10 @@ def describe_files(files: DataFrame) -> DataFrame:
     ).otherwise(F.col("path"))
     return (
         files.select("path", "uri", name.alias("FileName"), location.alias("Location"))
-        .withColumn("_submission", submission_of(F.col("FileName")))
+        # Names are taken apart once: filters on what follows from the parts are
+        # not moved past a generator, where the whole parsing would be repeated.
+        .withColumn("_parts", F.explode(F.array(name_parts(F.col("FileName")))))
+        .withColumn("_submission", submission_from(F.col("_parts")))
         .select("path", "uri", "FileName", "Location", "_submission.*")
         .withColumn(
             "Problem",
@@ -164,19 +169,17 @@ def header_names(line: str) -> tuple[str, ...]:
 
 
 def missing_columns(names: Iterable[str], submission_type: str) -> list[str]:
-    present = set(names)
-    return [c for c in required_columns(submission_type) if c not in present]
-
-
-def validate_columns(names: Iterable[str], submission_type: str, label: str) -> None:
-    """Raise, naming missing and available columns, if a required one is absent."""
-    missing = missing_columns(names, submission_type)
-    if missing:
-        available = ", ".join(sorted(names))
-        raise ValueError(
-            f"{label} is missing required column(s): {missing}. "
-            f"Columns found in this file: [{available}]."
-        )
+    """Required columns that a header lacks, in the order of the contract."""
+    lacking = set(required_columns(submission_type)).difference(names)
+    return sorted(lacking, key=required_columns(submission_type).index)
+
+
+def header_problem(names: Sequence[str], submission_type: str) -> str | None:
+    """What makes a header unusable for a submission type; None if nothing does."""
+    lacking = missing_columns(names, submission_type)
+    if not lacking:
+        return None
+    return f"header without {', '.join(lacking)} ({len(names)} columns, type {submission_type})"
 
 
 # -- rows ----------------------------------------------------------------------
@@ -285,12 +288,11 @@ def group_by_layout(
             problems[path] = "file is empty"
             continue
         names = header_names(headers[uri])
-        try:
-            validate_columns(names, kind, path.rsplit("/", 1)[-1])
-        except ValueError as error:
-            problems[path] = str(error)
-            continue
-        groups.setdefault((kind, names), []).append(path)
+        problem = header_problem(names, kind)
+        if problem is None:
+            groups.setdefault((kind, names), []).append(path)
+        else:
+            problems[path] = problem
     return [Layout(k, n, tuple(p)) for (k, n), p in groups.items()], problems
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from monthmatch.plans.backfill import BackfillReport, load_by_period
 from monthmatch.sources.registry import Registry
-from monthmatch.sources.submissions import describe_files, located
+from monthmatch.sources.submissions import FILE_GLOB, describe_files, located
 
 _FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -22,7 +22,7 @@ def arriving_files(
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", FILE_GLOB)
     )
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -27,7 +27,7 @@ def frame(spark, rows, kind="IND", seq=False):
     ).split() + list(hash_fields(kind))
     schema = ", ".join(f"{c} STRING" for c in columns) + ", RowOrder BIGINT"
     if seq:
-        schema += ", SequenceNumber INT"
+        schema += ", SequenceNumber BIGINT"
     names = [part.split()[0] for part in schema.split(", ")]
     numbered = [
         {**row, "RowOrder": row["RowOrder"] or position} for position, row in enumerate(rows, 1)

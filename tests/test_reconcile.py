@@ -28,92 +28,87 @@ def by_facility(df):
     return {r["FacilityAccNum"]: r for r in df.collect()}
 
 
-def base(number, date, **more):
-    fields = {
-        "NatIDNum": f"GHA-{number}",
-        "OtherIDType": f"TYPE{number}",
-        "OtherIDNum": f"NUM{number}",
-        "TINum": f"TIN{number}",
-        "MobileTel1": f"020{number * 1111111}",
-    }
-    return record(number, date, **{**fields, **more})
+# Each case is one record: what it was last month, what it is now, whether it has verified
+# values, and where it has to go.
+ROUTE_CASES = {
+    "same, verified": ({"VotersIDNum": "v-1"}, {"VotersIDNum": "v-1"}, True, "cleaned_output", None),
+    "same, not verified": (
+        {"SSNum": "77"}, {"SSNum": "77"}, False, "unl_output", "Same hash, not found in cleaned file",
+    ),
+    "turned round, verified": (
+        {"SSNum": "5", "EzwichNum": "6", "VotersIDNum": "7"},
+        {"SSNum": "6", "EzwichNum": "7", "VotersIDNum": "5"},
+        True, "rearranged_output", None,
+    ),
+    "turned round, not verified": (
+        {"SSNum": "8", "EzwichNum": "9"}, {"SSNum": "9", "EzwichNum": "8"},
+        False, "unl_output", "Rearranged, not found in cleaned file",
+    ),
+    "one more id": ({"SSNum": "3"}, {"SSNum": "3", "PassportNum": "q"}, True, "enriched_output", None),
+    "another phone": (
+        {"WorkTel": "111"}, {"WorkTel": "222"}, True, "unl_output", "Different hash",
+    ),
+    "not there before": (None, {"SSNum": "4"}, False, "unl_output", "No previous-month match"),
+}
 
 
 @pytest.fixture(scope="module")
-def seven(spark):
-    """The seven cases: duplicate, change, rotation, date, exact, new, swap."""
-    rotated = {"OtherIDType": "STAFF", "OtherIDNum": "1532196", "TINum": "GHA-716155030-2"}
-    swap = {"DriverLicNum": "XYZ99", "PassportNum": "ABC12"}
-    prior = [
-        base(1, "20250101"),
-        base(2, "20250102"),
-        base(3, "20250103", **rotated),
-        base(4, "20250104"),
-        base(5, "20250105"),
-        base(7, "20250107", **swap),
-    ]
-    clean = [
-        base(1, "20250101", NatIDNum="GHA-1-CLEAN"),
-        base(3, "20250103", NatIDNum="GHA-3-CLEAN", **rotated),
-        base(7, "20250107", NatIDNum="GHA-7-CLEAN", DriverLicNum="XYZ99-CLEAN", PassportNum="ABC12-CLEAN"),
-    ]
-    current = [
-        base(1, "20250101", balance="900"),
-        base(1, "20250101", balance="1500"),
-        base(2, "20250102", balance="2100", NatIDNum="GHA-2-CHANGED"),
-        base(
-            3, "20250103", balance="3100",
-            OtherIDType="GHA-716155030-2", OtherIDNum="STAFF", TINum="1532196",
-        ),
-        base(4, "20250199", balance="4100"),
-        base(5, "20250105", balance="5100"),
-        base(6, "20250606", balance="6000"),
-        base(7, "20250107", balance="7100", DriverLicNum="ABC12", PassportNum="XYZ99"),
-    ]
+def routes(spark):
+    prior, current, clean = [], [], []
+    for n, (before, now, verified, _, _) in enumerate(ROUTE_CASES.values(), 1):
+        day = f"202511{n:02d}"
+        if before is not None:
+            prior.append(record(n, day, **before))
+        if verified:
+            clean.append(record(n, day, **{f: f"checked {v}" for f, v in before.items()}))
+        current.append(record(n, day, balance=str(40 + n), **now))
+    # The first record is there twice; the second one's date can not be read.
+    current.append(record(1, "20251101", balance="40.5", **ROUTE_CASES["same, verified"][1]))
+    current[1]["DisbursementDate"] = "2025-11-31"
     return tagged_rows(spark, current, prior, clean).cache()
 
 
-def test_duplicate_keeps_lowest_balance(seven):
-    (row,) = outputs(seven)["dedup_log"].collect()
-    assert (row["FacilityAccNum"], row["ThisRowBalance"], row["KeptBalance"]) == ("F1", 1500.0, 900.0)
-    assert row["CompositeKey"] == "F1|C1|20250101"
-    assert row["KeptOverThisRecordID"] == 1
+@pytest.mark.parametrize("name", ROUTE_CASES)
+def test_routes(routes, name):
+    n = list(ROUTE_CASES).index(name) + 1
+    (row,) = routes.filter(f"FacilityAccNum = 'F{n}' AND NOT IsDuplicate").collect()
+    assert (row["Route"], row["ExceptionCategory"]) == ROUTE_CASES[name][3:]
+
 
+def test_the_lower_balance_stays(routes):
+    (row,) = outputs(routes)["dedup_log"].collect()
+    assert (row["RowOrder"], row["KeptOverThisRecordID"]) == (1, len(ROUTE_CASES) + 1)
+    assert (row["ThisRowBalance"], row["KeptBalance"]) == (41.0, 40.5)
+    assert row["CompositeKey"] == "F1|C1|20251101"
 
-def test_cleaned_and_rearranged(seven):
-    cleaned = by_facility(outputs(seven)["cleaned_output"])
-    assert set(cleaned) == {"F1"} and cleaned["F1"]["NatIDNum"] == "GHA-1-CLEAN"
-    assert cleaned["F1"]["CurBal"] == "900"
-    moved = by_facility(outputs(seven)["rearranged_output"])
-    assert set(moved) == {"F3", "F7"}
-    assert (moved["F7"]["DriverLicNum"], moved["F7"]["PassportNum"]) == ("XYZ99-CLEAN", "ABC12-CLEAN")
-    assert moved["F3"]["Source"] == "Auto-processed: same ID values, different field order"
 
+def test_verified_values_are_published(routes):
+    (same,) = outputs(routes)["cleaned_output"].collect()
+    assert (same["VotersIDNum"], same["CurBal"]) == ("checked v-1", "40.5")
+    (turned,) = outputs(routes)["rearranged_output"].collect()
+    assert [turned[f] for f in ("SSNum", "EzwichNum", "VotersIDNum")] == ["checked 5", "checked 6", "checked 7"]
+    assert turned["Source"] == "Auto-processed: same ID values, different field order"
+    (more,) = outputs(routes)["enriched_output"].collect()
+    assert (more["SSNum"], more["PassportNum"]) == ("3", "Q")
 
-def test_exceptions(seven):
-    rows = by_facility(outputs(seven)["unl_output"])
-    assert {k: r["ExceptionCategory"] for k, r in rows.items()} == {
-        "F2": "Different hash",
-        "F4": "Same hash, not found in cleaned file",
-        "F5": "Same hash, not found in cleaned file",
-        "F6": "No previous-month match",
-    }
-    assert rows["F2"]["FieldDifferences"] == "NatIDNum: 'GHA-2' -> 'GHA-2-CHANGED'"
-    assert rows["F2"]["ChangedFields"] == "NatIDNum"
 
+def test_differences_are_told(routes):
+    row = by_facility(outputs(routes)["unl_output"])["F6"]
+    assert (row["FieldDifferences"], row["ChangedFields"]) == ("WorkTel: '111' -> '222'", "WorkTel")
 
-def test_unreadable_date_is_logged_and_does_not_route(seven):
-    (row,) = outputs(seven)["date_change_log"].collect()
-    assert row["IdentityKey"] == "CP|IND|F4|C4"
-    assert str(row["PreviousDate"]) == "2025-01-04" and row["CurrentDate"] is None
 
+def test_unreadable_date_is_logged_and_does_not_route(routes):
+    (row,) = outputs(routes)["date_change_log"].collect()
+    assert row["IdentityKey"] == "CP|IND|F2|C2"
+    assert str(row["PreviousDate"]) == "2025-11-02" and row["CurrentDate"] is None
 
-def test_summary_adds_up(seven):
-    counts = {r["Metric"]: r["Count"] for r in run_summary(seven).collect()}
-    assert counts["Input records"] == 8 and counts["Duplicates removed"] == 1
-    assert counts["Same hash, not found in cleaned file"] == 2
+
+def test_summary_adds_up(routes):
+    counts = {r["Metric"]: r["Count"] for r in run_summary(routes).collect()}
+    assert counts["Input records"] == len(ROUTE_CASES) + 1 and counts["Duplicates removed"] == 1
+    assert counts["Same hash, not found in cleaned file"] == 1
     assert counts["Rearranged (auto-processed)"] == 2
-    head = headline_metrics(seven).first()
+    head = headline_metrics(routes).first()
     assert head["AutoCleaned"] + head["SentToUnl"] == counts["After dedup"]
 
 
@@ -302,6 +297,43 @@ def test_heavy_keys_change_nothing(spark):
         assert rows(heavy) == expected
 
 
+def test_null_keys_are_keys(spark):
+    """Null parts of a key agree with nulls and blanks, in every plan and of every type."""
+    def rows(facility, kind="string"):
+        out = frame(spark, [record(1, "20260101", balance=str(b), order=b) for b in (3, 2, 5)])
+        dated = out.withColumn("DisbursementDate", F.lit(None).cast("date"))
+        return dated.withColumn("FacilityAccNum", F.lit(facility).cast(kind))
+
+    for kind in ("string", "int"):
+        current, prior = rows(None, kind), rows("" if kind == "string" else None, kind)
+        hashes = keys_ready(current).select(
+            key_hash(MATCH_KEY).alias("i"), key_hash(duplicate_keys(current)).alias("r")
+        ).first()
+        for heavy in (NO_HEAVY_KEYS, HeavyKeys((hashes["i"],), (hashes["r"],)), HeavyKeys((hashes["i"],), ())):
+            tagged = reconcile(current, prior, prior, "IND", prior.withColumn("Resolved", F.lit(False)), heavy=heavy)
+            found = sorted((r["RowOrder"], r["Route"], r["KeptOverThisRecordID"]) for r in tagged.collect())
+            assert found == [(2, "cleaned_output", None), (3, "dedup_log", 2), (5, "dedup_log", 2)]
+
+
+def test_duplicates_of_the_whole_period(spark):
+    current = [record(1, "20260101", balance="9", seq=1, order=1), record(1, "20260101", balance="8", seq=2, order=2)]
+    tagged = tagged_rows(spark, current, [], [], seq=True, dedup_scope="period")
+    assert [r["RowOrder"] for r in tagged.filter("IsDuplicate").collect()] == [1]
+    with pytest.raises(ValueError, match="scope"):
+        tagged_rows(spark, current, [], [], seq=True, dedup_scope="year")
+
+
+def test_many_heavy_keys_are_all_found(spark):
+    """As many as half the partitions can hold, of a table that is small on disk."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        rows = spark.range(40_000).selectExpr("CAST(id % 150 AS STRING) AS k")
+        assert len(find_heavy_keys(rows, ["k"], ["k"], min_rows=200).identities) == 150
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_heavy_keys_are_found(spark):
     rows = spark.range(20_000).selectExpr(
         "IF(id % 3 > 0, 'hot', CAST(id AS STRING)) AS k", "CAST(id % 5 AS STRING) AS d"

@@ -18,9 +18,9 @@ from monthmatch.sources.submissions import (
     describe_files,
     discover_files,
     header_names,
+    header_problem,
     load_file,
     pending_files,
-    validate_columns,
 )
 from monthmatch.streaming.ingest import start_ingest
 
@@ -91,10 +91,11 @@ def test_header_names():
     assert header_names('﻿ a ,"b,c",a,a') == ("a", "b,c", "a.1", "a.2")
 
 
-def test_validate_columns():
-    validate_columns(required_columns("BUS"), "BUS", "x")
-    with pytest.raises(ValueError, match=r"x is missing.*'TINum'.*\[A, BusRegNum"):
-        validate_columns(["A", *(c for c in required_columns("BUS") if c != "TINum")], "BUS", "x")
+def test_header_problem():
+    needed = required_columns("BUS")
+    assert header_problem([*needed, "more"], "BUS") is None
+    told = header_problem(["A", *(c for c in reversed(needed) if c not in ("TINum", "CurBal"))], "BUS")
+    assert told.startswith("header without TINum, CurBal (")
 
 
 def test_discovery_and_order(spark, folder):
@@ -102,12 +103,14 @@ def test_discovery_and_order(spark, folder):
         write(folder / name, [])
     write(folder / "notes.csv", [])
     write(folder / "AA0326_IND.xlsx", [])
+    write(folder / "AA0426_IND.XLSX", [])
     write(folder / "AA0326_IND.txt", [])
+    write(folder / "AA0326_BUS_1234567890.CSV", [])
     found = discover_files(spark, str(folder))
     names = [r["FileName"] for r in chronological(found.filter("Problem IS NULL")).collect()]
-    assert names == ["AA1225_IND.csv", "ZZ0126_IND.csv", "AA0226_BUS.csv", "AA0226_BUS_2.csv"]
+    assert names == ["AA1225_IND.csv", "ZZ0126_IND.csv", "AA0226_BUS.csv", "AA0226_BUS_2.csv", "AA0326_BUS_1234567890.CSV"]
     problems = {r["FileName"] for r in found.filter("Problem IS NOT NULL").collect()}
-    assert problems == {"notes.csv", "AA0326_IND.xlsx"}
+    assert problems == {"notes.csv", "AA0326_IND.xlsx", "AA0426_IND.XLSX"}
 
 
 def test_one_location_per_submission(spark):

@@ -63,6 +63,10 @@ def _tagged(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFr
     return reconcile(i.current, i.prior_raw, i.prior_clean, fixture.TYPE, i.open_unl)
 
 
+def _subscriber(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(files.CODE,)], "SubscriberCode STRING")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -281,11 +285,122 @@ def unl_output(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""{TAG} SELECT "IdentityKey", "RowOrder", "ExceptionCategory" FROM tag WHERE "Route" = 'unl_output'
+    ORDER BY "RowOrder" LIMIT 200"""
+)
 def preview_output(spark, sf_dir):
     return preview(_tagged(spark, sf_dir), "unl_output").select(*ROW, "ExceptionCategory")
 
 
+# -- skewed and null keys --------------------------------------------------------
+
+# A third of the orders are one identity with few dates, some of them null.
+_SKEWED = """SELECT *, CASE WHEN hot THEN 'H' ELSE 'F' || CAST(o_orderkey AS VARCHAR) END AS fac,
+    CASE WHEN o_orderkey % 21 = 0 THEN NULL
+         WHEN hot THEN CAST('2026-01-01' AS DATE) + CAST(o_orderkey % 5 AS INTEGER)
+         ELSE CAST(o_orderdate AS DATE) END AS day
+    FROM (SELECT *, o_orderkey % 3 = 0 AS hot FROM orders) AS o"""
+
+
+@query(
+    f"""WITH rows AS ({_SKEWED}), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY fac, day ORDER BY o_totalprice, o_orderkey) AS rn FROM rows),
+    lows AS (SELECT fac, min(o_orderkey) AS low FROM rows GROUP BY fac)
+    SELECT o_orderkey AS "RowOrder", rn > 1 AS "IsDuplicate",
+        CASE WHEN rn > 1 THEN 'dedup_log'
+             WHEN hot OR o_orderkey % 2 = 0 THEN 'cleaned_output' ELSE 'unl_output' END AS "Route",
+        rn = 1 AND low_day IS NOT NULL AND low_day IS DISTINCT FROM day AS "DateChanged"
+    FROM ranked JOIN (SELECT lows.fac, low, r.day AS low_day FROM lows JOIN rows AS r ON r.o_orderkey = low)
+    USING (fac)"""
+)
+def reconcile_skewed(spark, sf_dir):
+    hot, key = F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")
+    day = F.when(hot, F.date_add(F.lit("2026-01-01").cast("date"), (key % 5).cast("int"))).otherwise(
+        F.col("o_orderdate").cast("date")
+    )
+    rows = _table(spark, sf_dir, "orders").select(
+        F.lit("S").alias("SubscriberCode"),
+        F.lit(fixture.TYPE).alias("SubmissionType"),
+        F.when(hot, F.lit("H")).otherwise(F.concat(F.lit("F"), key.cast("string"))).alias("FacilityAccNum"),
+        F.lit("C").alias("CustomerID"),
+        F.when(key % 21 != 0, day).alias("DisbursementDate"),
+        F.col("o_totalprice").alias("CurBal"),
+        key.alias("RowOrder"),
+    )
+    clean = rows.filter((F.col("FacilityAccNum") == "H") | (F.col("RowOrder") % 2 == 0))
+    heavy = find_heavy_keys(rows, MATCH_KEY, [*MATCH_KEY, "DisbursementDate"], min_rows=100)
+    tagged = reconcile(rows, rows, clean, fixture.TYPE, heavy=heavy)
+    return tagged.select("RowOrder", "IsDuplicate", "Route", "DateChanged")
+
+
+_NULL_KEYS = """SELECT o_orderkey, o_totalprice,
+    CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 10 END AS fac,
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS cust,
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) - CAST(dayofyear(o_orderdate) AS INTEGER) END
+        AS day FROM orders"""
+
+
+def _null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    return _table(spark, sf_dir, "orders").select(
+        F.lit("S").alias("SubscriberCode"),
+        F.lit(fixture.TYPE).alias("SubmissionType"),
+        F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 10).alias("FacilityAccNum"),
+        F.when(key % 7 != 0, F.col("o_orderstatus")).alias("CustomerID"),
+        F.when(key % 5 != 0, F.date_sub(day, F.dayofyear(day))).alias("DisbursementDate"),
+        F.col("o_totalprice").alias("CurBal"),
+        key.alias("RowOrder"),
+    )
+
+
+@query(
+    f"""SELECT o_orderkey AS "RowOrder", row_number() OVER w > 1 AS "IsDuplicate",
+    CASE WHEN row_number() OVER w > 1 THEN first_value(o_orderkey) OVER w END AS "KeptOverThisRecordID"
+    FROM ({_NULL_KEYS}) AS o WINDOW w AS (PARTITION BY fac, cust, day ORDER BY o_totalprice, o_orderkey)"""
+)
+def dedup_null_keys(spark, sf_dir):
+    rows = _null_keys(spark, sf_dir)
+    keys = [*MATCH_KEY, "DisbursementDate"]
+    heavy = find_heavy_keys(rows, MATCH_KEY, keys, min_rows=20)
+    marked = mark_duplicates(rows, keys, F.col("CurBal"), ["RowOrder"], "RowOrder", heavy.records)
+    return marked.select("RowOrder", "IsDuplicate", "KeptOverThisRecordID")
+
+
+@query(
+    f"""WITH rows AS ({_NULL_KEYS}), prior AS (SELECT DISTINCT fac, cust FROM rows WHERE o_orderkey % 2 = 0)
+    SELECT o_orderkey AS "RowOrder", EXISTS (
+        SELECT 1 FROM prior WHERE prior.fac IS NOT DISTINCT FROM rows.fac
+        AND prior.cust IS NOT DISTINCT FROM rows.cust) AS "Matched" FROM rows"""
+)
+def match_null_keys(spark, sf_dir):
+    rows = _null_keys(spark, sf_dir).withColumn("DisbursementDate", F.col("RowOrder").cast("string"))
+    prior = rows.filter("RowOrder % 2 = 0")
+    tagged = reconcile(rows, prior, prior.limit(0), fixture.TYPE)
+    return tagged.select("RowOrder", (F.col("MatchFlag") != "No previous-month match").alias("Matched"))
+
+
+@query(
+    """SELECT o_orderkey AS "RowOrder", row_number() OVER (
+        PARTITION BY o_custkey % 50, strftime(o_orderdate, '%Y%m') ORDER BY o_totalprice, o_orderkey) > 1 AS "IsDuplicate"
+    FROM orders"""
+)
+def dedup_period(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(
+        F.lit("S").alias("SubscriberCode"),
+        F.lit(fixture.TYPE).alias("SubmissionType"),
+        (F.col("o_custkey") % 50).alias("FacilityAccNum"),
+        F.lit("C").alias("CustomerID"),
+        F.date_format("o_orderdate", "yyyyMM01").alias("DisbursementDate"),
+        F.col("o_totalprice").alias("CurBal"),
+        F.col("o_orderkey").alias("RowOrder"),
+        (F.col("o_orderkey") % 4).alias("SequenceNumber"),
+    )
+    nothing = rows.limit(0)
+    tagged = reconcile(rows, nothing, nothing, fixture.TYPE, dedup_scope="period")
+    return tagged.select("RowOrder", "IsDuplicate")
+
+
 # -- duplicates and first rows, at volume ----------------------------------------
 
 _LINES = """SELECT 'S' || CAST(l_suppkey % 10 AS VARCHAR) AS code,
@@ -394,28 +509,42 @@ def stringify_numeric(spark, sf_dir):
     return rows.select("o_orderkey", "variant", text.stringify(rows, "v").alias("Text"))
 
 
-_FORMS = 9
+# Forms that can be read, and two that can not.
+_READABLE = (
+    "yyyyMMdd",
+    "yyyy-MM-dd",
+    "yyyy/MM/dd",
+    "MM/dd/yyyy",
+    "yyyy-MM-dd HH:mm:ss",
+    "M/d/yyyy",
+    "yyyy-M-d",
+    "dd-MMM-yyyy",
+    "d MMM yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "MM/dd/yyyy HH:mm",
+    "d MMMM yyyy",
+)
+# Month-first and day-first are told apart only by days past the 12th.
+_DAY_FIRST = ("dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yyyy HH:mm", "d/M/yyyy")
+_FORMS = len(_READABLE) + len(_DAY_FIRST) + 2
 
 
 @query(
-    f"""SELECT o_orderkey, CASE WHEN o_orderkey % {_FORMS} < 7
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % {_FORMS} < {_FORMS - 2}
     THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "Parsed" FROM orders"""
 )
 def parse_dates(spark, sf_dir):
     form, day = F.col("o_orderkey") % _FORMS, F.col("o_orderdate")
-    # Month-first and day-first are told apart only by days past the 12th.
-    day_first = F.when(F.dayofmonth(day) > 12, F.date_format(day, "dd/MM/yyyy"))
-    written = (
-        F.when(form == 0, F.date_format(day, "yyyyMMdd"))
-        .when(form == 1, F.date_format(day, "yyyy-MM-dd"))
-        .when(form == 2, F.date_format(day, "yyyy/MM/dd"))
-        .when(form == 3, F.date_format(day, "MM/dd/yyyy"))
-        .when(form == 4, F.coalesce(day_first, F.date_format(day, "dd-MMM-yyyy")))
-        .when(form == 5, F.concat(F.lit("\t "), F.date_format(day, "dd-MMM-yyyy"), F.lit(" ")))
-        .when(form == 6, F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
-        .when(form == 7, F.lit("NaT"))
-        .otherwise(F.concat(F.date_format(day, "yyyyMM"), F.lit("99")))
-    )
+    written = F.concat(F.date_format(day, "yyyyMM"), F.lit("99"))
+    for i, pattern in enumerate(_READABLE):
+        padded = F.concat(F.lit("\t "), F.date_format(day, pattern), F.lit(" "))
+        written = F.when(form == i, padded).otherwise(written)
+    for i, pattern in enumerate(_DAY_FIRST, len(_READABLE)):
+        text_ = F.when(F.dayofmonth(day) > 12, F.date_format(day, pattern)).otherwise(
+            F.date_format(day, "yyyy-MM-dd")
+        )
+        written = F.when(form == i, text_).otherwise(written)
+    written = F.when(form == _FORMS - 2, F.lit("NaT")).otherwise(written)
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", written.alias("v"))
     return rows.select("o_orderkey", parse.parse_date(F.col("v")).cast("string").alias("Parsed"))
 
@@ -745,14 +874,14 @@ HISTORY = history()
     {_list(FIELDS)} FROM june WHERE rn = 1""")
 def prior_raw(spark, sf_dir):
     registry, _ = files.backfilled(spark, sf_dir)
-    rows = registry.prior_raw("IND", parse.previous_period(F.lit("2026-07")), [files.CODE])
+    rows = registry.prior_raw("IND", parse.previous_period(F.lit("2026-07")), _subscriber(spark))
     return rows.select("IdentityKey", _day("DisbursementDate"), *hash_fields("IND"))
 
 
 @query(f"""{HISTORY} SELECT {IDENTITY} AS "IdentityKey", {_list(FIELDS)} FROM june_clean""")
 def prior_clean(spark, sf_dir):
     registry, _ = files.backfilled(spark, sf_dir)
-    rows = registry.prior_clean("IND", parse.previous_period(F.lit("2026-07")), [files.CODE])
+    rows = registry.prior_clean("IND", parse.previous_period(F.lit("2026-07")), _subscriber(spark))
     return rows.select("IdentityKey", *hash_fields("IND"))
 
 
@@ -763,7 +892,7 @@ def prior_clean(spark, sf_dir):
 def open_unl(spark, sf_dir):
     registry, _ = files.backfilled(spark, sf_dir)
     keys = ("SubscriberCode", "SubmissionType", "FacilityAccNum", "CustomerID")
-    return registry.open_unl("IND", [files.CODE]).select(*keys).distinct()
+    return registry.open_unl("IND", _subscriber(spark)).select(*keys).distinct()
 
 
 @query(
