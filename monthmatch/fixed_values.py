@@ -125,6 +125,9 @@ REPORT_HEADINGS = {
 PREVIEW_ROWS = 200
 HISTORY_ROWS = 24
 
+# Where a row stood in the files of a batch, beside the submitted columns.
+FILE_PLACE = "FilePlace"
+
 # Columns that make up the identity of a record, in key order. They stay four
 # separate columns in every table so that joins and windows share one
 # distribution; the delimited text form is for display.

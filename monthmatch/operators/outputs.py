@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthmatch.fixed_values import FACILITY_TYPE, REPORT_HEADINGS
+from monthmatch.fixed_values import FACILITY_TYPE, FILE_PLACE, REPORT_HEADINGS
 from monthmatch.functions.text import quoted
 
 _DEDUP = ("CompositeKey", "ThisRowBalance", "KeptBalance", "DedupReason")
@@ -34,6 +34,7 @@ TAGS = frozenset(
         "ExceptionCategory",
         "Source",
         "Published",
+        FILE_PLACE,
     )
 )
 

@@ -9,10 +9,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthmatch.fixed_values import SUBMISSION_TYPES, hash_fields
+from monthmatch.fixed_values import (
+    CUSTOMER,
+    DATE,
+    FACILITY,
+    FILE_FACILITY,
+    FILE_PLACE,
+    SUBMISSION_TYPES,
+    hash_fields,
+)
 from monthmatch.functions.fields import unpack
 from monthmatch.functions.parse import parse_amount, previous_period
-from monthmatch.operators.outputs import outputs
+from monthmatch.operators.outputs import TAGS, outputs
 from monthmatch.operators.summary import run_summary
 from monthmatch.plans.reconcile import reconcile
 from monthmatch.sources.registry import (
@@ -29,9 +37,11 @@ from monthmatch.sources.registry import (
 from monthmatch.sources.submissions import (
     UNIT_KEY,
     describe_files,
-    group_by_layout,
+    header_names,
+    header_problem,
+    headers_frame,
     list_files,
-    load_layout,
+    load_rows,
     pending_files,
     read_headers,
     submission_id,
@@ -75,17 +85,48 @@ def status_frame(spark: SparkSession, files: list[FileStatus]) -> DataFrame:
 
 
 def tagged_batch(registry: Registry, batch_id: str, submission_type: str) -> DataFrame:
-    """Tagged rows of a batch as :func:`reconcile` returns them, fields as columns."""
+    """Tagged rows of a batch as :func:`reconcile` returns them, with every submitted column.
+
+    Columns come in the order and under the names of the files, with the text
+    that was submitted; only the keys are stripped and the identity and contact
+    fields normalised. Names that differ only in case get a numbered suffix.
+    """
     fields = hash_fields(submission_type)
-    rows = unpack(registry.batch("raw", batch_id, submission_type), fields)
+    submitted = registry.batch("submitted", batch_id, submission_type).select(
+        "RawRecordID", F.from_json("RawPayload", "map<string,string>").alias("_payload")
+    )
+    rows = registry.batch("raw", batch_id, submission_type).join(submitted, "RawRecordID")
+    kept = {FACILITY: F.col(FACILITY), CUSTOMER: F.col(CUSTOMER), DATE: F.col("DateText")}
+    kept |= {f: F.col("IdentityFields")[f] for f in fields}
+    columns, taken = [], {t.lower() for t in TAGS} | {c.lower() for c in kept}
+    for name in _submitted_names(submitted):
+        known = FACILITY if name == FILE_FACILITY else name
+        if known in kept:
+            columns.append(kept.pop(known).alias(known))
+            continue
+        alias, n = name, 0
+        while alias.lower() in taken:
+            n += 1
+            alias = f"{name}.{n}"
+        taken.add(alias.lower())
+        columns.append(F.col("_payload")[name].alias(alias))
     values = ", ".join(f"PublishedFields['{f}'] AS `{f}`" for f in fields)
-    return rows.withColumns(
-        {
-            "Published": F.expr(f"IF(PublishedFields IS NULL, NULL, struct({values}))"),
-            "DisbursementDate": F.col("DateText"),
-            "CurBal": F.col("CurBal").cast("string"),
-        }
-    ).drop("PublishedFields", "DateText", "ContentHash", "CreatedAt", "SubmissionID", "SubscriberID")
+    published = F.expr(f"IF(PublishedFields IS NULL, NULL, struct({values}))").alias("Published")
+    tags = [F.col(t) for t in sorted(TAGS - {"Published", FILE_PLACE})]
+    place = F.struct(*FILE_ORDER).alias(FILE_PLACE)
+    return rows.select(*columns, "IdentityKey", *tags, published, place)
+
+
+def _submitted_names(submitted: DataFrame) -> list[str]:
+    """All column names of the files, in the order of their places in a header."""
+    names = (
+        submitted.select(F.map_keys("_payload").alias("names"))
+        .distinct()
+        .select(F.posexplode("names").alias("at", "name"))
+        .groupBy("name")
+        .agg(F.min("at").alias("at"))
+    )
+    return [r["name"] for r in names.orderBy("at", "name").collect()]
 
 
 def process_batch(
@@ -144,15 +185,47 @@ def _land(
         return []
     spark = registry.spark
     by_path = {path: unit for unit in pending for path in unit["paths"]}
-    headers = {r["uri"]: r["header"] for r in read_headers(spark, list(by_path)).collect()}
-    layouts, problems = group_by_layout(
+    files = spark.createDataFrame(
         [(path, unit["paths"][path], unit["SubmissionType"]) for path, unit in by_path.items()],
-        headers,
+        "path STRING, uri STRING, kind STRING",
     )
-    broken = {by_path[path]["Location"]: message for path, message in problems.items()}
-    frames = [load_layout(spark, layout, result.batch_id, multi_line) for layout in layouts]
-    if frames:
-        registry.append("submitted", reduce(DataFrame.unionByName, frames))
+    # The first line of each file, read once; distinct ones and unusable files
+    # are all that comes to the driver.
+    lines = files.join(read_headers(spark, list(by_path)), "uri", "left").persist()
+    try:
+        told = {
+            (r["kind"], r["header"]): _header_message(r["kind"], r["header"])
+            for r in lines.select("kind", "header").distinct().collect()
+        }
+        unusable = spark.createDataFrame(
+            [(*key, message) for key, message in told.items() if message is not None],
+            "_kind STRING, _header STRING, message STRING",
+        )
+        same = (F.col("kind") == F.col("_kind")) & F.col("header").eqNullSafe(F.col("_header"))
+        bad = {r["path"]: r["message"] for r in lines.join(unusable, same).select("path", "message").collect()}
+        headers = [key for key, message in told.items() if message is None]
+        frames = []
+        for kind in SUBMISSION_TYPES:
+            widths = [len(header_names(h)) for k, h in headers if k == kind]
+            paths = [p for p, u in by_path.items() if u["SubmissionType"] == kind and p not in bad]
+            if paths:
+                frames.append(
+                    load_rows(
+                        spark,
+                        kind,
+                        lines.filter(F.col("kind") == kind).select("uri", "header"),
+                        headers_frame(spark, headers),
+                        paths,
+                        max(widths),
+                        result.batch_id,
+                        multi_line,
+                    )
+                )
+        if frames:
+            registry.append("submitted", reduce(DataFrame.unionByName, frames))
+    finally:
+        lines.unpersist()
+    broken = {by_path[path]["Location"]: message for path, message in bad.items()}
     counts = {
         tuple(r[c] for c in UNIT_KEY): r
         for r in registry.batch("submitted", result.batch_id)
@@ -176,6 +249,10 @@ def _land(
     return good
 
 
+def _header_message(kind: str, line: str | None) -> str | None:
+    return "file is empty" if line is None else header_problem(header_names(line), kind)
+
+
 def _units_frame(spark: SparkSession, units: list[dict]) -> DataFrame:
     columns = ("FileName", *UNIT_KEY, "RecordCount")
     kinds = "FileName STRING, SubscriberCode STRING, ReportingPeriod STRING,"

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from monthmatch.fixed_values import OUTPUT_TITLES, PREVIEW_ROWS
+from monthmatch.fixed_values import FILE_PLACE, OUTPUT_TITLES, PREVIEW_ROWS
 from monthmatch.operators.outputs import outputs, with_report_headings
 from monthmatch.operators.summary import run_summary
-from monthmatch.sources.registry import FILE_ORDER
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -46,5 +45,5 @@ def preview(
     ``order`` names the columns of that order; by default those of a registry
     batch, or ``RowOrder``.
     """
-    known = order or [c for c in (*FILE_ORDER, "RowOrder") if c in tagged.columns]
+    known = order or [c for c in (FILE_PLACE, "RowOrder") if c in tagged.columns]
     return outputs(tagged.orderBy(*known))[name].limit(rows)

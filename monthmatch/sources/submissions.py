@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -28,7 +28,6 @@ from monthmatch.functions.fields import pack
 from monthmatch.functions.parse import name_parts, submission_from, submission_of
 from monthmatch.functions.text import (
     content_hash,
-    field_or_blank,
     identity_key,
     joined,
     normalize_fields,
@@ -41,7 +40,6 @@ from monthmatch.functions.text import (
 UNIT_KEY = ("SubscriberCode", "ReportingPeriod", "SubmissionType", "SequenceNumber")
 # Files that may be submissions, in either case of letters.
 FILE_GLOB = "*.{[cC][sS][vV],[xX][lL][sS][xX]}"
-_BAD_ROW = "_bad_row"
 _ONE_FILE_PER_TASK = str(1 << 40)
 
 
@@ -56,6 +54,11 @@ def located(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("_metadata.file_path").alias("uri"))
 
 
+def literal_path(path: str) -> str:
+    """A path as readers take it: characters of glob patterns stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def list_files(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
     """All candidate files below a folder, or those given by path.
 
@@ -64,7 +67,7 @@ def list_files(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     listed = reader.option("pathGlobFilter", FILE_GLOB).load(
-        root if isinstance(root, str) else list(root)
+        literal_path(root) if isinstance(root, str) else [literal_path(p) for p in root]
     )
     uris = [uri.replace("file:///", "file:/", 1) for uri in listed.inputFiles()]
     return spark.createDataFrame(
@@ -151,7 +154,7 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     session = spark.newSession()
     session.conf.set("spark.sql.files.maxPartitionBytes", _ONE_FILE_PER_TASK)
     session.conf.set("spark.sql.files.openCostInBytes", _ONE_FILE_PER_TASK)
-    lines = session.read.text(list(paths)).select(
+    lines = session.read.text([literal_path(p) for p in paths]).select(
         F.col("_metadata.file_path").alias("uri"), F.col("value").alias("header")
     )
     return lines.mapInArrow(_first_row, "uri string, header string")
@@ -185,87 +188,107 @@ def header_problem(names: Sequence[str], submission_type: str) -> str | None:
 # -- rows ----------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Files of one submission type that share one header."""
-
-    submission_type: str
-    names: tuple[str, ...]
-    paths: tuple[str, ...]
-
-
-def scan_csv(
-    spark: SparkSession, paths: Sequence[str], names: Sequence[str], multi_line: bool = True
+def scan_cells(
+    spark: SparkSession, paths: Sequence[str], width: int, multi_line: bool = True
 ) -> DataFrame:
-    """All cells as text, blanks as ``""``, plus ``_bad_row`` for rows with too many cells.
+    """Rows of files as arrays ``cells`` of ``width`` + 1 texts; missing and blank cells are null.
 
-    ``multi_line`` allows line breaks inside quotes, which makes a file one
-    task; turn it off to split files that have none.
+    Cells are read by position, whatever the files call them, and what is told
+    about a row stands in one struct ``place``, so that no header can get in
+    the way. ``multi_line`` allows line breaks inside quotes, which makes a
+    file one task; turn it off to split files that have none.
     """
-    cells = [T.StructField(n, T.StringType()) for n in names]
-    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD_ROW}
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width + 1)])
     rows = (
-        spark.read.schema(T.StructType([*cells, T.StructField(_BAD_ROW, T.StringType())]))
-        .options(header=True, multiLine=multi_line, enforceSchema=True, **options)
-        .csv(list(paths))
+        spark.read.schema(schema)
+        .options(header=True, multiLine=multi_line, enforceSchema=True, escape='"', mode="PERMISSIVE")
+        .csv([literal_path(p) for p in paths])
     )
-    # A row is reported for having too few cells (fine, they are blank) or too
-    # many; only reported rows are parsed again, with one cell more, to tell.
-    wider = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1))])
-    again = F.from_csv(quoted(_BAD_ROW), wider.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
-    too_long = F.when(quoted(_BAD_ROW).isNotNull(), again[f"c{len(names)}"].isNotNull())
-    return rows.select(
-        *[or_blank(quoted(n)).alias(n) for n in names],
-        F.coalesce(too_long, F.lit(False)).alias(_BAD_ROW),
-        F.col("_metadata.file_path").alias("_path"),
+    place = F.struct(
+        F.col("_metadata.file_path").alias("uri"),
         F.col("_metadata.file_name").alias("PartName"),
         F.col("_metadata.file_block_start").alias("BlockStart"),
         F.monotonically_increasing_id().alias("RowIndex"),
     )
+    return rows.select(F.array(*schema.fieldNames()).alias("cells"), place.alias("place"))
 
 
 def submission_id(code: Column, period: Column, kind: Column, sequence: Column) -> Column:
     return surrogate_id(code, period, kind, sequence)
 
 
-def load_layout(
-    spark: SparkSession, layout: Layout, batch_id: str, multi_line: bool = True
+def headers_frame(spark: SparkSession, headers: Iterable[tuple[str, str]]) -> DataFrame:
+    """Distinct (type, header line) pairs with the names and where the known columns stand."""
+    rows = []
+    for kind, line in headers:
+        names = header_names(line)
+        at = [names.index(c) if c in names else None for c in _known(kind)]
+        rows.append((kind, line, list(names), at))
+    return spark.createDataFrame(rows, "kind STRING, header STRING, names ARRAY<STRING>, at ARRAY<INT>")
+
+
+def _known(submission_type: str) -> tuple[str, ...]:
+    """Columns that are looked for in a header; the optional ones last."""
+    return (*required_columns(submission_type), BRANCH, FACILITY_TYPE)
+
+
+def load_rows(
+    spark: SparkSession,
+    submission_type: str,
+    files: DataFrame,
+    headers: DataFrame,
+    paths: Sequence[str],
+    width: int,
+    batch_id: str,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """The rows of a layout's files in the columns of the ``submitted`` dataset.
+    """The rows of all files of a type in the columns of the ``submitted`` dataset.
 
-    ``RawRecordID`` is a digest of the batch and of where the row stands, so a
-    task that runs again gives its rows the same ids, and a file that is tried
-    again in another batch does not. The file order of rows is
+    One scan reads all files, whatever their headers: ``files`` (uri, header)
+    and ``headers`` (as :func:`headers_frame`) tell where each row's columns
+    stand. ``RawRecordID`` is a digest of the batch and of where the row
+    stands, so a task that runs again gives its rows the same ids, and a file
+    that is tried again in another batch does not. The file order of rows is
     ``(PartName, BlockStart, RowIndex)``: the index grows within a block.
     """
-    kind = layout.submission_type
-    rows = scan_csv(spark, layout.paths, layout.names, multi_line)
-    payload = F.to_json(F.struct(*[quoted(n) for n in layout.names]))
-    rows = rows.withColumn("RawPayload", payload)
-    rows = normalize_fields(rows, kind)
+    known = _known(submission_type)
+    rows = (
+        scan_cells(spark, paths, width, multi_line)
+        .join(files.select(F.col("uri").alias("_uri"), "header"), F.col("place.uri") == F.col("_uri"))
+        .join(headers.filter(F.col("kind") == submission_type).select("header", "names", "at"), "header")
+    )
 
-    def text(name: str) -> Column:
-        return strip(field_or_blank(rows, name)) if name in layout.names else F.lit(None)
+    def cell(name: str) -> Column:
+        return F.get("cells", F.col("at")[known.index(name)])
 
+    count = F.size("names")
+    filled = F.transform(F.slice("cells", F.lit(1), count), or_blank)
+    beyond = F.slice("cells", count + 1, F.lit(width + 1))
+    # Known columns only: a header's other names never become columns here.
     rows = rows.select(
-        submission_of(submission_name(F.col("_path"))).alias("_submission"),
-        strip(field_or_blank(rows, FILE_FACILITY)).alias(FACILITY),
-        strip(field_or_blank(rows, CUSTOMER)).alias(CUSTOMER),
-        strip(field_or_blank(rows, DATE)).alias(DATE),
-        quoted(BALANCE).alias(BALANCE),
-        text(BRANCH).cast("string").alias(BRANCH),
-        text(FACILITY_TYPE).cast("string").alias(FACILITY_TYPE),
-        pack(rows, kind).alias("IdentityFields"),
-        content_hash(rows, kind).alias("ContentHash"),
+        *[(strip(or_blank(cell(c))) if c != BALANCE else or_blank(cell(c))).alias(c) for c in known[:-2]],
+        *[strip(F.when(F.col("at")[known.index(c)].isNotNull(), or_blank(cell(c)))).alias(c) for c in known[-2:]],
+        F.to_json(F.map_from_arrays("names", filled)).alias("RawPayload"),
+        F.exists(beyond, lambda c: c.isNotNull()).alias("Malformed"),
+        "place",
+    )
+    rows = normalize_fields(rows, submission_type)
+    rows = rows.select(
+        submission_of(submission_name(F.col("place.uri"))).alias("_submission"),
+        quoted(FILE_FACILITY).alias(FACILITY),
+        CUSTOMER,
+        DATE,
+        BALANCE,
+        BRANCH,
+        FACILITY_TYPE,
+        pack(rows, submission_type).alias("IdentityFields"),
+        content_hash(rows, submission_type).alias("ContentHash"),
         "RawPayload",
-        F.col(_BAD_ROW).alias("Malformed"),
-        "_path",
-        "PartName",
-        "BlockStart",
-        "RowIndex",
+        "Malformed",
+        "place.*",
     ).select("*", "_submission.*")
     unit = [F.col(c) for c in UNIT_KEY]
-    place = [F.col(c).cast("string") for c in ("_path", "BlockStart", "RowIndex")]
+    place = [F.col(c).cast("string") for c in ("uri", "BlockStart", "RowIndex")]
     return rows.withColumns(
         {
             "IdentityKey": identity_key(),
@@ -274,41 +297,25 @@ def load_layout(
             "RawRecordID": F.md5(joined([F.lit(batch_id), *place])),
             "BatchID": F.lit(batch_id),
         }
-    ).drop("_submission", "_path")
-
-
-def group_by_layout(
-    files: Sequence[tuple[str, str, str]], headers: dict[str, str]
-) -> tuple[list[Layout], dict[str, str]]:
-    """Group ``(path, uri, type)`` by header; also the problem of each unusable path."""
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    problems: dict[str, str] = {}
-    for path, uri, kind in files:
-        if uri not in headers:
-            problems[path] = "file is empty"
-            continue
-        names = header_names(headers[uri])
-        problem = header_problem(names, kind)
-        if problem is None:
-            groups.setdefault((kind, names), []).append(path)
-        else:
-            problems[path] = problem
-    return [Layout(k, n, tuple(p)) for (k, n), p in groups.items()], problems
+    ).drop("_submission", "uri")
 
 
 def load_file(
     spark: SparkSession, path: str, submission_type: str, multi_line: bool = True
 ) -> DataFrame:
-    """One file as a frame of text: keys, identity and contact fields stripped."""
+    """One file as a frame of text: keys, identity and contact fields stripped.
+
+    Names that differ only in case are both there; a name of the three columns
+    that tell a row's place is, too.
+    """
     line = read_headers(spark, [path]).first()
     if line is None:
         raise ValueError(f"{path} is empty")
     names = header_names(line["header"])
     stripped = {FILE_FACILITY, CUSTOMER, DATE, BRANCH, FACILITY_TYPE, *hash_fields(submission_type)}
-    rows = scan_csv(spark, [path], names, multi_line)
+    rows = scan_cells(spark, [path], len(names), multi_line)
+    cells = [or_blank(F.col("cells")[i]) for i in range(len(names))]
     return rows.select(
-        *[(strip(quoted(n)) if n in stripped else quoted(n)).alias(n) for n in names],
-        "PartName",
-        "BlockStart",
-        "RowIndex",
+        *[(strip(c) if n in stripped else c).alias(n) for n, c in zip(names, cells, strict=True)],
+        *[F.col(f"place.{c}").alias(c) for c in ("PartName", "BlockStart", "RowIndex")],
     )

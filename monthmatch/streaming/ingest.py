@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from monthmatch.plans.backfill import BackfillReport, load_by_period
 from monthmatch.sources.registry import Registry
-from monthmatch.sources.submissions import FILE_GLOB, describe_files, located
+from monthmatch.sources.submissions import FILE_GLOB, describe_files, literal_path, located
 
 _FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -26,7 +26,7 @@ def arriving_files(
     )
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return located(reader.load(root))
+    return located(reader.load(literal_path(root)))
 
 
 def start_ingest(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from monthmatch.fixed_values import required_columns
+from monthmatch.plans import batch as batch_module
 from monthmatch.plans.backfill import batch_stats, run_backfill
 from monthmatch.plans.batch import ALREADY_LOADED, FAILED, PROCESSED, process_paths
 from monthmatch.sources import registry as registry_module
@@ -19,7 +20,9 @@ from monthmatch.sources.submissions import (
     discover_files,
     header_names,
     header_problem,
+    headers_frame,
     load_file,
+    load_rows,
     pending_files,
 )
 from monthmatch.streaming.ingest import start_ingest
@@ -164,6 +167,61 @@ def test_a_bad_file_fails_alone(registry, folder):
     assert {(r["SubmissionType"], r["RecordCount"]) for r in history} == {("IND", 3), ("BUS", 1)}
 
 
+def test_odd_headers_load_or_fail_alone(registry, folder):
+    """Twins by case, our own names, blank names, glob characters: none harms another file."""
+    header = list(required_columns("IND"))
+    files = {
+        "a[1]/AA0126_IND.csv": [*header, "tinum", "Remark"],
+        "b{x,y}/BB0126_IND.csv": [*header, "PartName", "BlockStart", "RowIndex", "_path", "place", "cells", "names"],
+        "c*?/CC0126_IND.csv": [*header, "", "", " Remark "],
+        "d/DD0126_IND.csv": [c.lower() for c in header],
+        "e/EE0126_IND.csv": ["MatchFlag", *header, "subscribercode", "header", "uri"],
+    }
+    for name, names in files.items():
+        rows = [row(1, balance="1,000.555", NatIDNum="n", Remark="r", PartName="p", tinum="t")]
+        write(folder / "in" / name, rows, header=names)
+    result = process_paths(registry, [str(folder / "in" / f) for f in files])
+    assert statuses(result) == {
+        f"{c}0126_IND.csv": (FAILED, 0) if c == "DD" else (PROCESSED, 1) for c in ("AA", "BB", "CC", "DD", "EE")
+    }
+    rows = {r["IdentityKey"][:2]: r for r in result.outputs("IND")["unl_output"].collect()}
+    assert {r["CurBal"] for r in rows.values()} == {"1,000.555"}
+    assert (rows["AA"]["Remark"], rows["AA"]["tinum.1"], rows["BB"]["PartName"]) == ("r", "t", "p")
+    assert rows["EE"]["MatchFlag"] == "No previous-month match" and rows["CC"]["NatIDNum"] == "N"
+    assert {f.Status for f in run_backfill(registry, str(folder / "in")).files} == {ALREADY_LOADED, FAILED}
+
+
+def test_plan_does_not_grow_with_headers(spark, folder):
+    header = list(required_columns("IND"))
+
+    def size(count):
+        lines = [(f"file:/{i}", ",".join([*header, *[f"r{i}"]])) for i in range(count)]
+        files = spark.createDataFrame(lines, "uri STRING, header STRING")
+        heads = headers_frame(spark, [("IND", h) for _, h in lines])
+        path = write(folder / "AA0126_IND.csv", [row(1)])
+        rows = load_rows(spark, "IND", files, heads, [path], len(header) + 1, "b")
+        return len(rows._jdf.queryExecution().analyzed().treeString().splitlines())
+
+    assert size(1) == size(40)
+
+
+def test_two_batches_of_one_submission(registry, folder, monkeypatch):
+    """The batch that commits later is not seen, and its file is reported."""
+    path = write(folder / "AA0126_IND.csv", [row(1)])
+    inner, done = batch_module._register, []
+
+    def interleaved(*arguments):
+        inner(*arguments)
+        if not done:
+            done.append(True)
+            process_paths(registry, [path])
+
+    monkeypatch.setattr(batch_module, "_register", interleaved)
+    with pytest.raises(registry_module.SubmissionClash):
+        process_paths(registry, [path])
+    assert registry.committed("raw").count() == 1
+
+
 def test_a_mended_file_is_loaded_once(registry, folder):
     good = write(folder / "AA0126_IND.csv", [row(1)])
     bad = write(folder / "BB0126_IND.csv", [row(1), row(2)])
@@ -323,6 +381,8 @@ def test_payload_and_reports(registry, folder):
     unl = registry.spark.read.csv(str(folder / "reports/unl_output"), header=True)
     assert {"Credit FacilityAccNum", "Match Flag", "Exception Category"} <= set(unl.columns)
     assert unl.count() == 2
+    assert {r["Remark"] for r in unl.collect()} == {"keep\tme", None}
+    assert not {"PartName", "BlockStart", "RowIndex", "BatchID", "FilePlace"} & set(unl.columns)
     log = registry.spark.read.csv(str(folder / "bundle/Dedup Log"), header=True)
     assert log.first()["This Row Balance"] == "2.0"
     summary = registry.spark.read.csv(str(folder / "bundle/Summary"), header=True)
@@ -341,8 +401,10 @@ def test_stream_loads_what_arrives(registry, folder):
     write(folder / "in/AA0126_IND.csv", [row(1, NatIDNum="1")])
     write(folder / "in/AA0226_IND.csv", [row(1, NatIDNum="1", TINum="a")])
     write(folder / "in/odd.csv", [])
+    write(folder / "in/AA0126_BUS.XLSX", [])
+    write(folder / "in/BB0126_IND.CSV", [row(1)])
     drain()
-    assert sorted(f.Status for f in reports[0].files) == [FAILED, PROCESSED, PROCESSED]
+    assert sorted(f.Status for f in reports[0].files) == [FAILED, FAILED, PROCESSED, PROCESSED, PROCESSED]
     write(folder / "in/AA0326_IND.csv", [row(1, NatIDNum="1", TINum="a")])
     drain()
     assert [f.FileName for f in reports[1].files] == ["AA0326_IND.csv"]
