@@ -22,9 +22,10 @@ from monthmatch.operators.outputs import outputs
 from monthmatch.operators.skew import find_heavy_keys
 from monthmatch.operators.summary import headline_metrics, run_summary
 from monthmatch.plans.backfill import batch_stats, period_count, run_backfill
+from monthmatch.plans.batch import tagged_batch
 from monthmatch.plans.reconcile import reconcile
 from monthmatch.session import shared_folder
-from monthmatch.sources.registry import new_submissions, new_subscribers, submission_history
+from monthmatch.sources.registry import Registry, new_submissions, new_subscribers
 from monthmatch.sources.reports import preview, write_bundle, write_outputs
 from monthmatch.sources.submissions import (
     chronological,
@@ -742,7 +743,7 @@ def _registered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """All usable files with an order's price as row count, and those loaded before."""
     usable = _described(spark, sf_dir).filter("Problem IS NULL")
     prices = _table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("int").alias("SequenceNumber"),
+        F.col("o_orderkey").cast("bigint").alias("SequenceNumber"),
         F.floor("o_totalprice").alias("RecordCount"),
     )
     listed = usable.join(prices, "SequenceNumber")
@@ -768,20 +769,23 @@ def register_submission(spark, sf_dir):
 
 
 @query(
-    f"""SELECT "ReportingPeriod", "SubmissionType", "SequenceNumber", "FileName"
-    FROM ({_NAMED} WHERE {_USABLE}) AS n WHERE "SubscriberCode" = 'SUB3'
+    f"""SELECT n."ReportingPeriod", n."SubmissionType", n."SequenceNumber", n."FileName",
+    CAST(floor(o.o_totalprice) AS BIGINT) AS "RecordCount", TRUE AS "Uploaded"
+    FROM ({_NAMED} WHERE {_USABLE}) AS n JOIN orders AS o USING (o_orderkey)
+    WHERE "SubscriberCode" = 'SUB3' AND "SubmissionType" = 'BUS'
     ORDER BY "ReportingPeriod" DESC, "SequenceNumber" DESC LIMIT 24""",
     name="submission_history",
 )
 def submissions_history(spark, sf_dir):
     listed, _ = _registered(spark, sf_dir)
-    rows = submission_history(listed.withColumn("UploadedAt", F.current_timestamp()), "SUB3")
-    return rows.select(
-        "ReportingPeriod",
-        "SubmissionType",
-        F.col("SequenceNumber").cast("bigint").alias("SequenceNumber"),
-        "FileName",
-    )
+    registry = Registry(spark, shared_folder(spark) + "/registry").create()
+    stamp = {"BatchID": F.lit("b"), "UploadedAt": F.current_timestamp()}
+    known = new_subscribers(listed, registry.committed("subscribers"))
+    registry.append("subscribers", known.withColumns(stamp))
+    registry.append("submissions", new_submissions(listed, registry.loaded()).withColumns(stamp))
+    registry.commit("b")
+    rows = registry.history("SUB3", "BUS")
+    return rows.withColumn("Uploaded", F.col("UploadedAt").isNotNull()).drop("UploadedAt")
 
 
 @query(
@@ -1054,3 +1058,67 @@ def report_bundle(spark, sf_dir):
     _tagged(spark, sf_dir).write.parquet(f"{root}/tagged")
     write_bundle(spark.read.parquet(f"{root}/tagged"), f"{root}/bundle")
     return _count_reports(spark, f"{root}/bundle", [*OUTPUT_TITLES.values(), "Summary"])
+
+
+@query(
+    HISTORY
+    + """ SELECT "FacilityAccNum" AS "Facility", "DisbursementDate" AS "Date", "CurBal", "NatIDNum",
+    'say "' || "FacilityAccNum" || '", twice' AS "Remark", "MatchFlag", "ExceptionCategory"
+    FROM july WHERE "Route" = 'unl_output'"""
+)
+def report_cells(spark, sf_dir):
+    """The cells of an exported output of a registry batch, columns that ride along included."""
+    registry, _ = files.backfilled(spark, sf_dir)
+    july = registry.committed("raw").filter("ReportingPeriod = '2026-07'").select("BatchID").first()
+    root = f"{shared_folder(spark)}/reports"
+    write_outputs(tagged_batch(registry, july["BatchID"], "IND"), root)
+    rows = spark.read.options(header=True, escape='"').csv(f"{root}/unl_output")
+    return rows.select(
+        F.col("Credit FacilityAccNum").alias("Facility"),
+        F.col("DisbursementDate").alias("Date"),
+        "CurBal",
+        "NatIDNum",
+        "Remark",
+        F.col("Match Flag").alias("MatchFlag"),
+        F.col("Exception Category").alias("ExceptionCategory"),
+    )
+
+
+_BUS_CHANGED = "o_orderkey % 4"
+
+
+@query(
+    f"""SELECT o_orderkey AS "RowOrder", CASE {_BUS_CHANGED} WHEN 0 THEN 'Exact match' WHEN 1 THEN 'Rearranged'
+    WHEN 2 THEN 'Enriched' ELSE 'Different' END AS "MatchFlag",
+    CASE {_BUS_CHANGED} WHEN 3 THEN 'OfficeFaxNum' ELSE '' END AS "RemovedFields",
+    CASE {_BUS_CHANGED} WHEN 0 THEN 'cleaned_output' WHEN 1 THEN 'rearranged_output' WHEN 2 THEN 'enriched_output'
+    ELSE 'unl_output' END AS "Route" FROM orders"""
+)
+def reconcile_business(spark, sf_dir):
+    key = F.col("o_orderkey")
+    text_key, changed = key.cast("string"), F.col("RowOrder") % 4
+    prior = _table(spark, sf_dir, "orders").select(
+        F.lit("S").alias("SubscriberCode"),
+        F.lit("BUS").alias("SubmissionType"),
+        F.concat(F.lit("F"), text_key).alias("FacilityAccNum"),
+        F.lit("C").alias("CustomerID"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("DisbursementDate"),
+        F.col("o_totalprice").cast("string").alias("CurBal"),
+        F.concat(F.lit("B"), text_key).alias("BusRegNum"),
+        F.lit("").alias("PrevRegNum"),
+        F.concat(F.lit("T"), text_key).alias("TINum"),
+        F.lit("1").alias("OfficeTel1"),
+        F.lit("").alias("OfficeTel2"),
+        F.lit("9").alias("OfficeFaxNum"),
+        key.alias("RowOrder"),
+    )
+    current = prior.withColumns(
+        {
+            "BusRegNum": F.when(changed == 1, F.col("TINum")).otherwise(F.col("BusRegNum")),
+            "TINum": F.when(changed == 1, F.col("BusRegNum")).otherwise(F.col("TINum")),
+            "OfficeTel2": F.when(changed == 2, "2").otherwise(""),
+            "OfficeFaxNum": F.when(changed == 3, "").otherwise(F.col("OfficeFaxNum")),
+        }
+    )
+    tagged = reconcile(current, prior, prior, "BUS")
+    return tagged.select("RowOrder", "MatchFlag", "RemovedFields", "Route")
