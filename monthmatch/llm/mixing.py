@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from monthmatch.llm.common import new_folder, saved, text_or_empty, unit_hash
 
 #: Targets of the registered query: a value's share is in proportion to this
-#: power of its tokens. Below 1, large values are sampled down.
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-ROUNDS = 30
+#: power of its tokens. Below 1, large values are sampled down; close to 1, so
+#: that a few rare cells do not press the probabilities of all others down.
+POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.95}
+ROUNDS = 10
 TOLERANCE = 1e-10
 
 

@@ -25,7 +25,7 @@ from monthmatch.llm.fingerprint import WordHasher
 
 #: Texts used for fitting, at most: positives, and unlabelled ones. They are
 #: those with the smallest hash of their id, which is a uniform sample.
-SAMPLE = 12_000
+SAMPLE = 8_000
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -130,8 +130,10 @@ def fit(
     average, as one batch alone is too noisy when negatives are few.
     """
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    both = np.concatenate([positive, unlabelled])
+    mean = both.mean(axis=0, dtype=np.float64).astype(np.float32)
+    scale = both.std(axis=0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
+    del both
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     w = [
         rng.normal(0, p.shape[1] ** -0.5, (p.shape[1], hidden)),
@@ -208,11 +210,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
         .select("doc_id", "mark", packed("text").alias("x"))
         .collect()
     )
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     p, u = (
-        np.frombuffer(b"".join(bytes(r["x"]) for r in rows if r["mark"] == m), np.float32).reshape(-1, SIZE)
+        np.frombuffer(b"".join(r["x"] for r in rows if r["mark"] == m), np.float32).reshape(-1, SIZE)
         for m in ("p", "u")
     )
+    del rows
     return fit(p, u, prior) if len(p) and len(u) else None
 
 

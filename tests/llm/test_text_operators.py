@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from monthmatch.llm import fingerprint as fp
-from monthmatch.llm.mixing import mix_sources, rake
+from monthmatch.llm.mixing import POWERS, mix_sources, rake
 from monthmatch.llm.packing import best_fit_decreasing, pack_documents, pack_lengths
 from monthmatch.llm.quality import fit, score_quality
 from monthmatch.llm.secret_scan import redact_secrets, scan_secrets
@@ -269,7 +269,7 @@ def test_mixing(spark, docs):
         "id AS doc_id", "'some text of a size' AS text", "if(id % 4 = 0, 'b', 'a') AS source", "'en' AS lang"
     )
     rates = {r.source: r.p for r in mix_sources(many).groupBy("source").agg(F.avg(F.col("sampled").cast("int")).alias("p")).collect()}
-    assert rates["b"] == 1 and abs(rates["a"] - 3**-0.5) < 0.05
+    assert rates["b"] == 1 and abs(rates["a"] - 3 ** (POWERS["source"] - 1)) < 0.05
 
 
 # --- secrets -------------------------------------------------------------
