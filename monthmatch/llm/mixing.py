@@ -20,8 +20,8 @@ from monthmatch.llm.common import new_folder, saved, text_or_empty, unit_hash
 #: power of its tokens. Below 1, large values are sampled down; close to 1, so
 #: that a few rare cells do not press the probabilities of all others down.
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.95}
-ROUNDS = 10
-TOLERANCE = 1e-10
+ROUNDS = 20
+TOLERANCE = 1e-8
 
 
 def form_topic(text: Column) -> Column:
