@@ -158,7 +158,9 @@ def _close_sibling(reader: _Reader, tag: str) -> None:
 
 # --- description of blocks -----------------------------------------------
 
-PATH_SIZE, WORD_SIZE, NUMBERS = 128, 64, 10
+PATH_SIZE, WORD_SIZE, NUMBERS = 192, 64, 10
+#: Letters at the start of a name that count by themselves, for names of several words.
+PREFIX = 4
 SIZE = PATH_SIZE + WORD_SIZE + NUMBERS
 
 
@@ -177,6 +179,7 @@ def describe(blocks: Sequence[Block]) -> np.ndarray:
             row[_slot("<" + element[0], PATH_SIZE)] = 1
             for name in element[1:]:
                 row[_slot("." + name, PATH_SIZE)] = 1
+                row[_slot("~" + name[:PREFIX], PATH_SIZE)] = 1
         if b.path:
             row[_slot("<<" + b.path[-1][0], PATH_SIZE)] = 1
         words = _WORD.findall(b.text.lower())
@@ -389,7 +392,7 @@ _BOX = {
     "notice": "cookie cookies consent notice gdpr popup modal alert newsletter subscribe overlay message",
     "side": "sidebar side widget aside left-column right-column secondary rail",
     "related": "related recommended more-stories share social trending popular tags read-more",
-    "comments": "comments comment-list discussion responses replies feedback",
+    "comments": "comments comment-list discussion responses replies feedback commentlist reader-comments",
     "foot": "footer bottom legal site-info colophon copyright",
     "head": "header masthead top site-header branding logo",
     "main": "content post entry entry-content article article-body story main main-content text post-body body-text",
@@ -453,7 +456,14 @@ class _Maker:
                 else f"<li class='reply'>{self.prose(3, 60)}</li>"
                 for _ in range(r.randint(1, 6))
             )
-            return self.box("comments", f"<h3>{r.choice(('Comments', 'Kommentare', self.word()))}</h3>{ones}")
+            title = r.choice(("Comments", "Kommentare", self.word(), self.prose(1, 4)))
+            heading = f"<{(h := r.choice(('h2', 'h3', 'h4')))}>{title}</{h}>" if r.random() < 0.8 else ""
+            if r.random() < 0.3:
+                ones = "".join(f"<p>{self.prose(3, 70)}</p>" for _ in range(r.randint(1, 5)))
+            elif r.random() < 0.3:
+                ones = "".join(f"<li><p>{self.prose(3, 70)}</p></li>" for _ in range(r.randint(1, 5)))
+                return self.box("comments", heading + ones, ("ol", "ul"))
+            return self.box("comments", heading + ones)
         if kind == "form":
             return (
                 f"<form action='/x'><label>{self.word()}</label><input name=a><p>{self.prose(2, 25)}</p>"
@@ -492,7 +502,9 @@ class _Maker:
             elif kind < 0.89:
                 parts.append(f"<pre>{_MAIN}{text}</pre>")
             else:
-                parts.append(self.furniture(r.choice(("ad", "related", "side", "notice", "form"))))
+                parts.append(self.furniture(r.choice(("ad", "ad", "related", "side", "notice", "form"))))
+        if r.random() < 0.15:
+            parts.append(self.furniture("comments"))
         inner = "".join(parts)
         kind = r.random()
         if kind < 0.5:
@@ -536,7 +548,7 @@ def made_pages(count: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray
 
 
 @functools.lru_cache(maxsize=4)
-def trained_labeller(count: int = 1500, seed: int = 5) -> Labeller:
+def trained_labeller(count: int = 2000, seed: int = 5) -> Labeller:
     """The labeller trained on so many made pages; once per process."""
     return train(*made_pages(count, seed))
 
