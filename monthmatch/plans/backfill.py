@@ -50,9 +50,12 @@ def load_by_period(
         for f in listed
         if f["Problem"] is not None
     ]
-    usable = [f for f in listed if f["Problem"] is None]
-    for period in sorted({f["ReportingPeriod"] for f in usable}):
-        batch = [f for f in usable if f["ReportingPeriod"] == period]
+    usable: dict[str, list] = {}
+    for f in listed:
+        if f["Problem"] is None:
+            usable.setdefault(f["ReportingPeriod"], []).append(f)
+    for period in sorted(usable):
+        batch = usable[period]
         frame = registry.spark.createDataFrame(batch, files.schema)
         try:
             done += process_batch(registry, frame, multi_line=multi_line).files

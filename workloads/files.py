@@ -32,6 +32,12 @@ def _once(kind: str, spark: SparkSession, sf_dir: str, build):
     return _built[key]
 
 
+def forget_registries() -> None:
+    """Build registries anew when they are asked for next; written files are kept."""
+    for key in [k for k in _built if k[0] != "files"]:
+        del _built[key]
+
+
 def _file_rows(df: DataFrame) -> DataFrame:
     """The columns of an individual's file, and one more that rides along."""
     return df.select(
