@@ -243,3 +243,36 @@ FROM firsts
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE plain AS (
+    SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x20]+', ' ', 'g')) AS p
+    FROM documents WHERE doc_id IS NOT NULL
+), classes AS (
+    SELECT p, min(doc_id) AS node, count(*) AS copies FROM plain GROUP BY p
+), words AS (
+    SELECT node, string_split(p, ' ') AS w FROM classes WHERE p <> ''
+), grams AS (
+    SELECT DISTINCT node, unnest(list_transform(
+        range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+    FROM words
+), sizes AS (
+    SELECT node, count(*) AS n FROM grams GROUP BY node
+), common AS (
+    SELECT a.node AS a, b.node AS b, count(*) AS c
+    FROM grams AS a JOIN grams AS b USING (g) WHERE a.node <> b.node GROUP BY ALL
+), linked AS (
+    SELECT a, b FROM common JOIN sizes AS x ON x.node = a JOIN sizes AS y ON y.node = b
+    WHERE c * 10 >= 8 * (x.n + y.n - c)
+), links AS (
+    SELECT a AS node, sum(copies)::BIGINT AS links FROM linked JOIN classes ON node = b GROUP BY a
+), reach(node, root) AS (
+    SELECT node, node FROM classes
+    UNION SELECT linked.b, reach.root FROM reach JOIN linked ON linked.a = reach.node
+), groups AS (
+    SELECT node, min(root) AS group_id FROM reach GROUP BY node
+)
+SELECT doc_id, node AS class_id, copies - 1 + coalesce(links, 0) AS n_links, group_id, doc_id = group_id AS kept
+FROM plain JOIN classes USING (p) JOIN groups USING (node) LEFT JOIN links USING (node)
+"""
