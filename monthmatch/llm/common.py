@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,7 @@ def code_points(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose texts have about that many bytes, so that long texts do not add up."""
-    sizes = np.asarray(
-        [len(v) for v in batch.column(column).cast(pa.large_binary()).to_pylist()], dtype=np.int64
-    )
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > most_bytes:

@@ -30,12 +30,12 @@ from monthmatch.llm.common import slices, text_or_empty
 WINDOW = 4096
 END_OF_TEXT = 2
 #: Tokens of documents that are packed together, about; a longer document is a group of its own.
-GROUP_TOKENS = 8 << 20
+GROUP_TOKENS = 4 << 20
 #: Windows filled less than this are repacked at the end of a group.
 FILL = 0.99
 #: Words whose ids a tokenizing task remembers.
-REMEMBERED = 600_000
-_CHUNK_BYTES = 8 << 20
+REMEMBERED = 250_000
+_CHUNK_BYTES = 3 << 20
 
 
 class CapacityTree:
