@@ -34,8 +34,10 @@ GROUP_TOKENS = 4 << 20
 #: Windows filled less than this are repacked at the end of a group.
 FILL = 0.99
 #: Words whose ids a tokenizing task remembers.
-REMEMBERED = 250_000
-_CHUNK_BYTES = 3 << 20
+REMEMBERED = 450_000
+_CHUNK_BYTES = 4 << 20
+#: Words given to the tokenizer at once; what it returns is much larger than ids.
+_ENCODED = 4096
 
 
 class CapacityTree:
@@ -163,8 +165,11 @@ class WordIds:
         """Ids of words and of their units that are not known yet."""
         parts = {w: self._units(w) for w in words}
         units = sorted({u for pair in parts.values() for u in pair if u not in self.known})
-        encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        new = {u: array("I", e.ids).tobytes() for u, e in zip(units, encoded, strict=True)}
+        new: dict[str, bytes] = {}
+        for i in range(0, len(units), _ENCODED):
+            some = units[i : i + _ENCODED]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            new.update((u, array("I", e.ids).tobytes()) for u, e in zip(some, encoded, strict=True))
         known = collections.ChainMap(new, self.known)
         return new | {w: known[a] + known[b] for w, (a, b) in parts.items()}
 
