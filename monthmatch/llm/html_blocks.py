@@ -556,24 +556,30 @@ def trained_labeller(count: int = 2000, seed: int = 5) -> Labeller:
 # --- extraction ----------------------------------------------------------
 
 
-def main_texts(pages: Sequence[str], labeller: Labeller, threshold: float = 0.5) -> list[str]:
-    """The main text of each page: its blocks labelled as such, in lines."""
+def main_texts(
+    pages: Sequence[str], labeller: Labeller, threshold: float = 0.5, separator: str = "\n"
+) -> list[str]:
+    """The main text of each page: its blocks labelled as such, with the separator between them."""
     blocks = [blocks_of(p) for p in pages]
     labels = labeller.probabilities([describe(b) for b in blocks])
     return [
-        "\n".join(b.text for b, p in zip(bs, ps, strict=True) if p > threshold)
+        separator.join(b.text for b, p in zip(bs, ps, strict=True) if p > threshold)
         for bs, ps in zip(blocks, labels, strict=True)
     ]
 
 
 def extract_main_text(
-    df: DataFrame, html: str = "html", labeller: Labeller | None = None, threshold: float = 0.5
+    df: DataFrame,
+    html: str = "html",
+    labeller: Labeller | None = None,
+    threshold: float = 0.5,
+    separator: str = "\n",
 ) -> DataFrame:
     """Append ``text`` and ``n_chars``: the page's main text and its code points.
 
     Null and empty pages, and pages without main text, have the empty text.
     Character references are decoded, white space within a block becomes one
-    space, blocks are joined by line feeds; nothing else is dropped. A page
+    space, blocks are joined by ``separator``; nothing else is dropped. A page
     that ends within a tag, a comment or a script ends there. Columns of the
     two names are replaced, all other columns and all rows stay. No shuffle.
     """
@@ -588,9 +594,9 @@ def extract_main_text(
                 some.append(page)
                 held += len(page)
                 if held >= 2 << 20:
-                    yield from main_texts(some, labeller, threshold)
+                    yield from main_texts(some, labeller, threshold, separator)
                     some, held = [], 0
-            yield from main_texts(some, labeller, threshold)
+            yield from main_texts(some, labeller, threshold, separator)
 
         return pd.Series(list(texts()), dtype=object)
 

@@ -241,8 +241,9 @@ FROM firsts
 
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's main text."""
-    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    """Every page's main text, an empty line between blocks."""
+    pages = table(spark, sf_dir, "pages")
+    return extract_main_text(pages, separator="\n\n").select("page_id", "url", "text", "n_chars")
 
 
 ORACLES["op9_jaccard_join"] = r"""
