@@ -28,7 +28,8 @@ from monthmatch.llm.common import text_or_empty
 # --- blocks --------------------------------------------------------------
 
 # Fixed values of HTML: elements within a line, elements without an end, and
-# elements whose content is not page text.
+# elements whose content is not page text. Of those, the raw ones hold no
+# elements: only their own end tag or the end of the page ends them.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr".split()
@@ -37,6 +38,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SKIPPED = frozenset(
     "script style noscript template textarea title select button svg iframe object canvas audio video".split()
 )
+_RAW = frozenset("script style textarea title".split())
+# Elements that end a drawing they stand in, unless they are within one of its points.
+_NOT_DRAWN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_POINTS = frozenset("foreignobject desc title".split())
 # An element that ends others of these kinds when it starts.
 _ENDS = {
     "li": {"li"},
@@ -55,6 +63,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+# A value that a slash at the end of the tag belongs to.
+_UNQUOTED = re.compile(r"""=\s*[^\s"']+$""")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -74,18 +84,25 @@ def _names(rest: str) -> tuple[str, ...]:
     return tuple(w.lower() for v in values for w in re.split(r"[\W_]+", v) if w)
 
 
+def _scoped(tag: str) -> bool:
+    """Whether an end tag does not reach beyond the list, cell or section it stands in."""
+    return tag in _INLINE or tag == "p"
+
+
 class _Reader:
     """Collects the blocks of one page."""
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
         self.open: list[tuple[str, ...]] = []
+        #: An open element whose text is ignored and what is open in it, each with whether it is drawn.
+        self.ignored: list[tuple[str, bool]] = []
         self.parts: list[str] = []
         self.path: tuple[tuple[str, ...], ...] = ()
         self.chars = self.linked = 0
 
     def text(self, raw: str) -> None:
-        if not raw:
+        if not raw or self.ignored:
             return
         text = entities.unescape(raw)
         visible = len(text) - text.count(" ")
@@ -102,14 +119,51 @@ class _Reader:
             self.blocks.append(Block(text, self.path, self.linked / max(self.chars, 1)))
         self.parts, self.chars, self.linked = [], 0, 0
 
-    def close(self, kinds: set[str], scoped: bool) -> None:
-        """End the innermost open element of the kinds, with what is open in it."""
+    def place(self, kinds: set[str], scoped: bool) -> int:
+        """Where the innermost open element of the kinds is, or -1."""
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in kinds:
-                del self.open[k:]
-                return
+                return k
             if scoped and self.open[k][0] in _SCOPES:
-                return
+                break
+        return -1
+
+    def close(self, kinds: set[str], scoped: bool) -> None:
+        """End the innermost open element of the kinds, with what is open in it."""
+        k = self.place(kinds, scoped)
+        if k >= 0:
+            del self.open[k:]
+
+    def ignore(self, tag: str) -> None:
+        """Open an element within the ignored one, or the ignored one itself."""
+        drawn = bool(self.ignored) and self.ignored[-1][1]
+        self.ignored.append((tag, tag == "svg" or (drawn and tag not in _POINTS)))
+
+    def unignore(self, tag: str) -> bool:
+        """End the innermost element of the tag within the ignored one, or that one itself."""
+        for k in range(len(self.ignored) - 1, -1, -1):
+            if self.ignored[k][0] == tag:
+                del self.ignored[k:]
+                return True
+        return False
+
+    def ignores(self, tag: str, end: bool, empty: bool) -> bool:
+        """Whether a tag belongs to the ignored element; one that does not ends it."""
+        if end:
+            if self.unignore(tag) or self.place({tag}, _scoped(tag)) < 0:
+                return True
+            self.ignored = []
+            return False
+        while self.ignored and self.ignored[-1][1] and tag in _NOT_DRAWN:
+            self.unignore("svg")
+        if not self.ignored:
+            return False
+        if tag in ("button", "select"):
+            # These do not nest.
+            self.unignore(tag)
+        if not empty and tag not in _VOID:
+            self.ignore(tag)
+        return bool(self.ignored)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -124,23 +178,36 @@ def blocks_of(page: str) -> list[Block]:
         tag = (found["tag"] or found["tag2"] or "").lower()
         if not tag:
             continue
-        end = found["end"] or found["end2"]
+        end = bool(found["end"] or found["end2"])
+        rest = found["rest"] or found["rest2"] or ""
+        empty = rest.endswith("/") and not _UNQUOTED.search(rest)
+        if tag in _RAW and not end:
+            drawn = bool(reader.ignored) and reader.ignored[-1][1]
+            closing = None
+            if not drawn or not (empty or tag == "title"):
+                closing = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            # In a drawing these are elements as others.
+            if closing or not drawn:
+                at = closing.end() if closing else len(page)
+                continue
+        if reader.ignored and reader.ignores(tag, end, empty):
+            continue
         if tag == "br":
             reader.text(" ")
         if tag not in _INLINE and tag not in _SKIPPED:
             reader.flush()
         if end:
-            reader.close({tag}, scoped=tag in _INLINE or tag == "p")
+            reader.close({tag}, _scoped(tag))
         elif tag in _SKIPPED:
-            closing = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = closing.end() if closing else len(page)
+            if not empty:
+                reader.ignore(tag)
         elif tag not in _VOID:
             if tag not in _INLINE:
                 # A paragraph ends where another block starts.
                 reader.close({"p"}, scoped=True)
                 if tag in _ENDS:
                     reader.close(_ENDS[tag], scoped=False) if tag == "tr" else _close_sibling(reader, tag)
-            reader.open.append((tag, *_names(found["rest"] or found["rest2"] or "")))
+            reader.open.append((tag, *_names(rest)))
     reader.flush()
     return reader.blocks
 
@@ -579,8 +646,11 @@ def extract_main_text(
 
     Null and empty pages, and pages without main text, have the empty text.
     Character references are decoded, white space within a block becomes one
-    space, blocks are joined by ``separator``; nothing else is dropped. A page
-    that ends within a tag, a comment or a script ends there. Columns of the
+    space, blocks are joined by ``separator``. What scripts, styles, titles, text
+    fields, buttons, selections, drawings, frames, media and the like hold is no
+    text of the page; without an end tag, the first four end with the page and
+    the others with the element around them. Nothing else is dropped. A page
+    that ends within a tag or a comment ends there. Columns of the
     two names are replaced, all other columns and all rows stay. No shuffle.
     """
     labeller = labeller or trained_labeller()

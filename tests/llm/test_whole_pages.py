@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from monthmatch.llm.html_blocks import blocks_of, extract_main_text
 from monthmatch.llm.queries import op10_html_extraction
 
@@ -24,3 +26,42 @@ def test_query_has_an_empty_line_between_blocks(spark, tmp_path):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
     lines = {r.page_id: r.text for r in extract_main_text(df).collect()}
     assert lines[1] == "\n".join(PARAGRAPHS)
+
+
+def texts(page):
+    return [b.text for b in blocks_of(page)]
+
+
+@pytest.mark.parametrize("tag", "noscript template select button svg iframe object canvas audio video".split())
+def test_ignored_elements_hide_their_own_text_only(tag):
+    assert texts(f"<div><{tag}/></div>{ARTICLE}") == PARAGRAPHS
+    assert texts(f'<div><{tag} class="a" />{ARTICLE}</div>') == PARAGRAPHS
+    assert texts(f"<div><{tag} a='b'>inner</div>{ARTICLE}") == PARAGRAPHS
+    assert texts(f"<p>before <{tag}>inner <g>one</g></{tag}> after</p>{ARTICLE}") == ["before after", *PARAGRAPHS]
+    assert texts(f"<p>before <{tag}>inner</p>{ARTICLE}<{tag}>last</{tag}>") == ["before", *PARAGRAPHS]
+    assert texts(f"<b><div>x <{tag}>a</b>y</{tag}> z</div></b>") == ["x z"]
+    # Without an end, the element around it ends it.
+    assert texts(f"<section><p>x</p><{tag}>inner</section>{ARTICLE}") == ["x", *PARAGRAPHS]
+
+
+def test_ignored_elements_within_each_other():
+    assert texts("<p>a<object><p>x<object>y</object>z</object>b</p>") == ["ab"]
+    assert texts("<p>a<object data=/x/>y</object>b</p>") == ["ab"]
+    assert texts("<p>a <button>x<button>y</button>b</p>") == ["a b"]
+    assert texts("<p>a<noscript><iframe src='x'></noscript>b</p>") == ["ab"]
+    assert texts("<p>a<svg><title>t</title><path d='M0'><g/><style/><script/></svg>b</p>") == ["ab"]
+    assert texts("<p>a<svg><style>p{}</style><script>if(a<b)c</script></svg>b</p>") == ["ab"]
+    assert texts("<p>a<svg><foreignObject><div><p>x</p></div></foreignObject></svg>b</p>") == ["ab"]
+    # A drawing without an end ends at an element that can not be in one.
+    assert texts(f"<div><svg><title>t<g></div>{ARTICLE}") == PARAGRAPHS
+    assert texts("<div><svg><path d='M0'><p>one<p>two</div>") == ["one", "two"]
+    assert texts("<div><button>x<svg><path><p>y</button>z</div>") == ["z"]
+    # Nothing but its own end tag ends raw text.
+    assert texts("<div>a<textarea></div>b</textarea>c</div>") == ["ac"] and texts("a<script/>b</div>c") == ["a"]
+
+
+def test_an_open_element_in_a_page_does_not_end_its_text(spark):
+    broken = ARTICLE.replace("</p>", " <button>Share</p>", 1).replace("</h1>", "<svg viewBox='0 0 1 1'/></h1>")
+    body = f"<nav><ul><li><a href='/'>Home</a></li></ul><select><option>en</nav>{broken}<footer>Copyright 2024.</footer>"
+    df = spark.createDataFrame([(1, f"<html><body>{body}</body></html>")], "page_id long, html string")
+    assert extract_main_text(df).first().text.split("\n") == PARAGRAPHS
