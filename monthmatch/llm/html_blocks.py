@@ -260,7 +260,7 @@ def describe(blocks: Sequence[Block]) -> np.ndarray:
             sum(b.text.count(c) for c in ".!?;") / n * 10,
             b.text.count(",") / n * 10,
             b.text[-1] in ".!?:",
-            sum(map(str.isdigit, b.text[:200])) / min(n, 200),
+            sum(map(str.isdigit, b.text)) / n,
             len(b.path) / 10,
             i / len(blocks),
             1.0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from monthmatch.llm.html_blocks import blocks_of, extract_main_text
+from monthmatch.llm.html_blocks import PATH_SIZE, WORD_SIZE, blocks_of, describe, extract_main_text
 from monthmatch.llm.queries import op10_html_extraction
 
 PARAGRAPHS = [
@@ -65,3 +65,10 @@ def test_an_open_element_in_a_page_does_not_end_its_text(spark):
     body = f"<nav><ul><li><a href='/'>Home</a></li></ul><select><option>en</nav>{broken}<footer>Copyright 2024.</footer>"
     df = spark.createDataFrame([(1, f"<html><body>{body}</body></html>")], "page_id long, html string")
     assert extract_main_text(df).first().text.split("\n") == PARAGRAPHS
+
+
+def test_a_block_is_described_by_its_whole_text():
+    block, other = blocks_of(f"<p>{'word ' * 50}{'1234 ' * 50}</p><p>{'word ' * 50}{'abcd ' * 50}</p>")
+    n = len(block.text)
+    digits = describe([block, other])[:, PATH_SIZE + WORD_SIZE + 6]
+    assert digits[0] == pytest.approx(200 / n) and digits[1] == 0
