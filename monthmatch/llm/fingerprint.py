@@ -6,7 +6,7 @@ count, and a paragraph is inserted or deleted by adding or subtracting its
 vector alone. The vector has two parts:
 
 * 32 lanes modulo 2^32 expanded from the paragraph's SHAKE-128, for equality;
-* 256 lanes modulo 2^16, the sum of a row of signs for each run of three words
+* 256 lanes modulo 2^32, the sum of a row of signs for each run of three words
   of the paragraph. They add up just as well, and read as signed numbers two
   documents' lanes estimate how much of their text is common.
 """
@@ -77,7 +77,7 @@ def _paragraphs(text: str) -> list[str]:
 
 
 def sketch_lanes(groups: Sequence[Sequence[str]]) -> np.ndarray:
-    """For each group of paragraphs the sum of their sketch lanes, modulo 2^16."""
+    """For each group of paragraphs the sum of their sketch lanes, modulo 2^32."""
     out = np.zeros((len(groups), SKETCH), dtype=np.int64)
     sizes = [sum(len(p) + 1 for p in g) for g in groups]
     at = 0
@@ -88,7 +88,7 @@ def sketch_lanes(groups: Sequence[Sequence[str]]) -> np.ndarray:
             stop += 1
         _add_sketches(groups[at:stop], out[at:stop])
         at = stop
-    return (out % (1 << 16)).astype(np.uint16)
+    return (out % (1 << 32)).astype(np.uint32)
 
 
 def _add_sketches(groups: Sequence[Sequence[str]], out: np.ndarray) -> None:
@@ -133,7 +133,7 @@ def strong_lanes(paragraphs: Sequence[str]) -> np.ndarray:
 
 
 def fingerprint_of(strong: np.ndarray, sketch: np.ndarray) -> str:
-    return (strong.astype("<u4").tobytes() + sketch.astype("<u2").tobytes()).hex()
+    return (strong.astype("<u4").tobytes() + sketch.astype("<u4").tobytes()).hex()
 
 
 def fingerprints(texts: Sequence[str]) -> list[str]:
@@ -146,19 +146,20 @@ def fingerprints(texts: Sequence[str]) -> list[str]:
 def combined(a: str, b: str, sign: int = 1) -> str:
     """The fingerprint of both multisets together, or of the first without the second."""
     (sa, ka), (sb, kb) = (_lanes(x) for x in (a, b))
-    return fingerprint_of(sa + np.uint32(sign % (1 << 32)) * sb, ka + np.uint16(sign % (1 << 16)) * kb)
+    times = np.uint32(sign % (1 << 32))
+    return fingerprint_of(sa + times * sb, ka + times * kb)
 
 
 def _lanes(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 4 * STRONG], "<u4"), np.frombuffer(raw[4 * STRONG :], "<u2")
+    return np.frombuffer(raw[: 4 * STRONG], "<u4"), np.frombuffer(raw[4 * STRONG :], "<u4")
 
 
 def _likeness(sa, ka, sb, kb) -> float:
     """Cosine of the signed sketch lanes within 0 to 1; 1 where all lanes are equal."""
     if np.array_equal(sa, sb) and np.array_equal(ka, kb):
         return 1.0
-    x, y = ka.astype(np.int16).astype(np.float64), kb.astype(np.int16).astype(np.float64)
+    x, y = ka.astype(np.int32).astype(np.float64), kb.astype(np.int32).astype(np.float64)
     norm = np.sqrt(x.dot(x) * y.dot(y))
     return float(min(1.0, max(0.0, x.dot(y) / norm))) if norm else 0.0
 
