@@ -4,11 +4,14 @@ Token counts of the cells source x language x topic are raked: scaled along one
 dimension after the other until every marginal has its target share. A cell's
 fitted weight per token, over the largest of all cells, is the probability with
 which each of its documents is sampled, so the expected tokens have the target
-marginals. Everything is DataFrame operations; only cells are iterated on.
+marginals. How many they are is then set by that one cell; with a budget of
+tokens it is not, and documents of cells that need more are repeated. Everything
+is DataFrame operations; only cells are iterated on.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -62,7 +65,8 @@ def rake(
     without a target, or with a null or negative one, gets no weight. Ends when
     a whole round changes no total by more than ``tolerance``, or after
     ``rounds``; targets that contradict each other stay fitted to the last
-    dimension. Each round is written to ``folder`` and read again.
+    dimension. If totals still change then, a warning tells by how much. Each
+    round is written to ``folder`` and read again.
     """
     shares = {}
     for dimension, target in targets.items():
@@ -74,6 +78,7 @@ def rake(
             f"target-{dimension}",
         )
     cells = cells.withColumns({"weight": F.col("tokens").cast("double"), "__off": F.lit(0.0)})
+    off = None
     for k in range(rounds):
         cells = cells.withColumn("__off", F.lit(0.0))
         for dimension, share in shares.items():
@@ -83,8 +88,10 @@ def rake(
                 .join(share, dimension, "left")
                 .select(
                     dimension,
+                    # A value without weight and without a target is as it should be.
                     F.when(F.col("__sum") > 0, F.coalesce("__share", F.lit(0.0)) / F.col("__sum"))
-                    .otherwise(0.0)
+                    .when(F.col("__share") > 0, 0.0)
+                    .otherwise(1.0)
                     .alias("__factor"),
                 )
             )
@@ -98,6 +105,9 @@ def rake(
         off = cells.agg(F.max("__off")).first()[0]
         if off is None or off <= tolerance:
             break
+    else:
+        if off is not None:
+            warnings.warn(f"after {rounds} rounds a total is still off by {off:.3g} of itself", stacklevel=2)
     return cells.drop("__off")
 
 
@@ -107,6 +117,7 @@ def mix_sources(
     targets: Mapping[str, DataFrame] | None = None,
     powers: Mapping[str, float] = POWERS,
     identity: Sequence[str] = ("doc_id",),
+    budget: float | None = None,
 ) -> DataFrame:
     """Append ``topic``, ``tokens``, ``probability`` and ``sampled`` to every document.
 
@@ -115,9 +126,14 @@ def mix_sources(
     given. Null values of a dimension count as the value ''; null texts as
     empty, with one token. A document is sampled if a number in [0, 1) hashed
     from ``identity`` is below its cell's probability, so that a second run and
-    repeated rows decide alike. Columns of the four names are replaced, all
-    other columns and all rows stay. An empty table gives an empty result.
+    repeated rows decide alike. With a ``budget``, so many tokens are expected in
+    all, however rare the rarest cell: ``probability`` is the expected number of
+    copies, and ``copies`` its whole part or, with the probability of the rest,
+    one more. Columns of these names are replaced, all other columns and all
+    rows stay. An empty table gives an empty result.
     """
+    if budget is not None and budget <= 0:
+        raise ValueError("the budget must be positive")
     spark = docs.sparkSession
     folder = new_folder(spark)
     text = text_or_empty()
@@ -136,18 +152,25 @@ def mix_sources(
             wanted[n] = power_targets(cells, n, powers.get(n, 1.0))
     fitted = rake(cells, {n: wanted[n] for n in names}, folder)
     ratio = F.col("weight") / F.col("tokens")
-    largest = fitted.agg(F.max(ratio)).first()[0] or 1.0
+    if budget is None:
+        unit = fitted.agg(F.max(ratio)).first()[0] or 1.0
+    else:
+        unit = (fitted.agg(F.sum("weight")).first()[0] or 1.0) / budget
     chances = saved(
-        fitted.select(*[F.col(n).alias(f"__{n}") for n in names], (ratio / F.lit(largest)).alias("__chance")),
+        fitted.select(*[F.col(n).alias(f"__{n}") for n in names], (ratio / F.lit(unit)).alias("__chance")),
         folder,
         "chances",
     )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled")]
+    made = ("topic", "tokens", "probability", "sampled") + (() if budget is None else ("copies",))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     topic = F.col(f"__{names[-1]}")
+    chance, number = F.col("__chance"), unit_hash(*[F.col(c) for c in identity])
+    copies = (F.floor(chance) + (number < chance - F.floor(chance)).cast("long")).cast("long")
     return marked.join(chances, [f"__{n}" for n in names]).select(
         *kept,
         topic.alias("topic"),
         F.col("__tokens").alias("tokens"),
-        F.col("__chance").alias("probability"),
-        (unit_hash(*[F.col(c) for c in identity]) < F.col("__chance")).alias("sampled"),
+        chance.alias("probability"),
+        ((number < chance) if budget is None else (copies > 0)).alias("sampled"),
+        *(() if budget is None else (copies.alias("copies"),)),
     )
