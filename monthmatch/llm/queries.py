@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from monthmatch.llm.common import table
 from monthmatch.llm.embedding_dedup import near_duplicates
 from monthmatch.llm.fingerprint import fingerprint_edits
+from monthmatch.llm.hard_negatives import mine_hard_negatives
 from monthmatch.llm.html_blocks import extract_main_text
 from monthmatch.llm.jaccard import jaccard_classes
 from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
 from monthmatch.llm.secret_scan import ACCESS, ASSIGN, HEX, MOST_OWNERS, OPAQUE_PATTERN, scan_secrets
+from monthmatch.llm.term_trie import rank_documents
 from monthmatch.llm.url_filter import judge_urls
 from monthmatch.llm.warc_zip import archive_round_trip
+from monthmatch.llm.winnowing import find_contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,3 +281,113 @@ WITH RECURSIVE plain AS (
 SELECT doc_id, node AS class_id, copies - 1 + coalesce(links, 0) AS n_links, group_id, doc_id = group_id AS kept
 FROM plain JOIN classes USING (p) JOIN groups USING (node) LEFT JOIN links USING (node)
 """
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that are copied from benchmark items."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+# Words after A to Z are lower-cased, as an expression over a column ``text``.
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES["op11_decontamination"] = f"""
+WITH items AS (
+    SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark
+), windows AS (
+    SELECT item_id, least(len(w), 10) AS size, unnest(list_transform(
+        range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS key
+    FROM items WHERE len(w) > 0
+), docs AS (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), places AS (
+    SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i
+    FROM docs CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(w) >= size
+), hits AS (
+    SELECT DISTINCT r, i, size, item_id
+    FROM (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS key FROM places)
+    JOIN windows USING (size, key)
+), counted AS (
+    SELECT r, count(DISTINCT j) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + size)) AS j FROM hits) GROUP BY r
+), listed AS (
+    SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+    FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN counted USING (r) LEFT JOIN listed USING (r)
+"""
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's ten best documents."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), sizes AS (
+    SELECT count(*) AS documents, sum(len(w))::BIGINT AS terms FROM docs WHERE len(w) > 0
+), counts AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+    FROM counts, sizes GROUP BY term, documents
+), asked AS (
+    SELECT q, item_id, term, count(*) AS k
+    FROM (SELECT row_number() OVER () AS q, item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL
+), lengths AS (
+    SELECT r, doc_id, 25 + (75 * len(w) * documents) // terms AS m FROM docs, sizes WHERE len(w) > 0
+), scores AS (
+    SELECT q, item_id, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r)
+    GROUP BY q, item_id, r, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's positives with their hard negatives."""
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH vectors AS (
+    SELECT row_number() OVER () AS r, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+        list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM vectors AS a, vectors AS b WHERE a.vec_id % 100 = 0 AND a.r <> b.r
+), positives AS (
+    SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (
+        PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) AS place
+    FROM scores WHERE same QUALIFY place <= 5
+), negatives AS (
+    SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY p.a, place ORDER BY score DESC, vec_id NULLS LAST) AS rank
+    FROM positives AS p JOIN scores AS s ON s.a = p.a AND NOT same
+        AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5
+"""
