@@ -20,10 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthmatch.llm.common import text_or_empty
+from monthmatch.llm.words import Words
 
 # --- blocks --------------------------------------------------------------
 
@@ -65,7 +67,8 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 # A value that a slash at the end of the tag belongs to.
 _UNQUOTED = re.compile(r"""=\s*[^\s"']+$""")
-_WORD = re.compile(r"[^\W_]+")
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[ord("0") : ord("9") + 1] = True
 
 
 @dataclass(frozen=True)
@@ -229,44 +232,58 @@ PATH_SIZE, WORD_SIZE, NUMBERS = 192, 64, 10
 #: Letters at the start of a name that count by themselves, for names of several words.
 PREFIX = 4
 SIZE = PATH_SIZE + WORD_SIZE + NUMBERS
+#: Share of pages whose words are hidden in training, and decimals that weights keep.
+UNREAD, DECIMALS = 0.4, 3
 
 
-@functools.lru_cache(maxsize=1 << 16)
 def _slot(token: str, size: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _path_slots(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    """The features that a tag path sets."""
+    tokens = {"<" + element[0] for element in path}
+    tokens |= {"." + name for element in path for name in element[1:]}
+    tokens |= {"~" + name[:PREFIX] for element in path for name in element[1:]}
+    if path:
+        tokens.add("<<" + path[-1][0])
+    return np.asarray(sorted({_slot(t, PATH_SIZE) for t in tokens}), dtype=np.int64)
+
+
+# Characters that end a sentence or part one, in several scripts.
+_ENDS_SENTENCE = ".!?;\u3002\uff01\uff1f\u061f\u0964"
+_PARTS_SENTENCE = ",\uff0c\u3001\u060c"
+
+
 def describe(blocks: Sequence[Block]) -> np.ndarray:
     """A row of features for each block."""
     out = np.zeros((len(blocks), SIZE), dtype=np.float32)
+    if not len(blocks):
+        return out
     numbers = PATH_SIZE + WORD_SIZE
+    # All words of the page at once; a text goes on in any number of bytes.
+    words = Words(pa.array([b.text.encode("utf-8", "surrogatepass") for b in blocks], pa.binary()))
+    cells = words.text * WORD_SIZE + (words.hashes() % np.uint64(WORD_SIZE)).astype(np.int64)
+    counts = np.bincount(cells, minlength=len(blocks) * WORD_SIZE).reshape(len(blocks), WORD_SIZE)
+    n_words = words.counts()
+    digits = np.diff(np.searchsorted(np.flatnonzero(_DIGIT[words.data]), words.ends))
     for i, b in enumerate(blocks):
-        row = out[i]
-        for element in b.path:
-            row[_slot("<" + element[0], PATH_SIZE)] = 1
-            for name in element[1:]:
-                row[_slot("." + name, PATH_SIZE)] = 1
-                row[_slot("~" + name[:PREFIX], PATH_SIZE)] = 1
-        if b.path:
-            row[_slot("<<" + b.path[-1][0], PATH_SIZE)] = 1
-        words = _WORD.findall(b.text.lower())
-        for w in words:
-            row[PATH_SIZE + _slot(w, WORD_SIZE)] += 1
+        out[i, _path_slots(b.path)] = 1
         n = len(b.text)
-        row[numbers:] = (
+        out[i, numbers:] = (
             np.log1p(n) / 8,
-            np.log1p(len(words)) / 6,
+            np.log1p(n_words[i]) / 6,
             b.linked,
-            sum(b.text.count(c) for c in ".!?;") / n * 10,
-            b.text.count(",") / n * 10,
-            b.text[-1] in ".!?:",
-            sum(map(str.isdigit, b.text)) / n,
-            len(b.path) / 10,
+            sum(map(b.text.count, _ENDS_SENTENCE)) / n * 10,
+            sum(map(b.text.count, _PARTS_SENTENCE)) / n * 10,
+            b.text[-1] in _ENDS_SENTENCE or b.text[-1] == ":",
+            digits[i] / n,
+            min(len(b.path), 40) / 10,
             i / len(blocks),
             1.0,
         )
-    counts = out[:, PATH_SIZE:numbers]
-    counts /= np.maximum(np.sqrt((counts**2).sum(axis=1, keepdims=True)), 1)
+    out[:, PATH_SIZE:numbers] = counts / np.maximum(np.sqrt((counts**2).sum(axis=1, keepdims=True)), 1)
     return out
 
 
@@ -294,10 +311,10 @@ class Labeller:
         return out
 
 
-def _padded(pages: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _padded(pages: Sequence[np.ndarray], kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
     longest = max(len(p) for p in pages)
-    x = np.zeros((len(pages), longest, SIZE), dtype=np.float32)
-    mask = np.zeros((len(pages), longest), dtype=np.float32)
+    x = np.zeros((len(pages), longest, SIZE), dtype=kind)
+    mask = np.zeros((len(pages), longest), dtype=kind)
     for k, p in enumerate(pages):
         x[k, : len(p)], mask[k, : len(p)] = p, 1
     return x, mask
@@ -313,8 +330,8 @@ def _lstm(w: dict, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray,
     hidden = w[f"{d}u"].shape[0]
     given = x.reshape(-1, x.shape[2]) @ w[f"{d}w"] + w[f"{d}b"]
     given = given.reshape(pages, steps, 4 * hidden)
-    h = c = np.zeros((pages, hidden), dtype=np.float32)
-    states, trace = np.zeros((pages, steps, hidden), dtype=np.float32), []
+    h = c = np.zeros((pages, hidden), dtype=x.dtype)
+    states, trace = np.zeros((pages, steps, hidden), dtype=x.dtype), []
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         z = given[:, t] + h @ w[f"{d}u"]
         gates = _sigmoid(z[:, : 3 * hidden])
@@ -341,8 +358,8 @@ def _forward(w: dict, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tupl
 
 def _lstm_back(w: dict, d: str, x: np.ndarray, trace: list, dstates: np.ndarray, grads: dict) -> None:
     hidden = w[f"{d}u"].shape[0]
-    dh = dc = np.zeros((len(x), hidden), dtype=np.float32)
-    dgiven = np.zeros((*x.shape[:2], 4 * hidden), dtype=np.float32)
+    dh = dc = np.zeros((len(x), hidden))
+    dgiven = np.zeros((*x.shape[:2], 4 * hidden))
     du = np.zeros_like(w[f"{d}u"])
     for t, i, f, o, g, c, h, squashed, m in reversed(trace):
         dh = dh + dstates[:, t]
@@ -375,18 +392,22 @@ def train(
     rate: float = 4e-3,
     seed: int = 3,
 ) -> Labeller:
-    """Fit by Adam on the cross-entropy; the same pages give the same weights."""
+    """Fit by Adam on the cross-entropy; the same pages give the same weights.
+
+    Sums are taken in doubles and the weights rounded at the end, so that the
+    order in which a machine adds does not show in them.
+    """
     rng = np.random.default_rng(seed)
     w: dict[str, np.ndarray] = {}
     for d in "fb":
-        w[f"{d}w"] = rng.normal(0, SIZE**-0.5, (SIZE, 4 * hidden)).astype(np.float32)
-        w[f"{d}u"] = rng.normal(0, hidden**-0.5, (hidden, 4 * hidden)).astype(np.float32)
-        bias = np.zeros(4 * hidden, dtype=np.float32)
+        w[f"{d}w"] = rng.normal(0, SIZE**-0.5, (SIZE, 4 * hidden))
+        w[f"{d}u"] = rng.normal(0, hidden**-0.5, (hidden, 4 * hidden))
+        bias = np.zeros(4 * hidden)
         bias[hidden : 2 * hidden] = 1
         w[f"{d}b"] = bias
-    w["v"] = rng.normal(0, 0.2, 2 * hidden).astype(np.float32)
-    w["m"] = np.zeros(2 * hidden, dtype=np.float32)
-    w["c"] = np.zeros((), dtype=np.float32)
+    w["v"] = rng.normal(0, 0.2, 2 * hidden)
+    w["m"] = np.zeros(2 * hidden)
+    w["c"] = np.zeros(())
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step = 0
     usable = [i for i in range(len(pages)) if len(pages[i])]
@@ -397,8 +418,10 @@ def train(
             stretch = sorted(order[s : s + 8 * batch], key=lambda i: len(pages[i]))
             for k in range(0, len(stretch), batch):
                 some = stretch[k : k + batch]
-                x, mask = _padded([pages[i] for i in some])
-                y = np.zeros(mask.shape, dtype=np.float32)
+                x, mask = _padded([pages[i] for i in some], np.float64)
+                # Words are hidden on some pages, as pages in other languages have other ones.
+                x[rng.random(len(some)) < UNREAD, :, PATH_SIZE : PATH_SIZE + WORD_SIZE] = 0
+                y = np.zeros(mask.shape)
                 for r, i in enumerate(some):
                     y[r, : len(labels[i])] = labels[i]
                 p, (both, mean, trace_f, trace_b) = _forward(w, x, mask)
@@ -420,18 +443,24 @@ def train(
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.999 * second[name] + 0.001 * g**2
                     change = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-                    w[name] = (w[name] - rate * change).astype(np.float32)
-    return Labeller(w)
+                    w[name] = (w[name] - rate * change)
+    return Labeller({k: np.round(v, DECIMALS).astype(np.float32) for k, v in w.items()})
 
 
 # --- pages to learn from -------------------------------------------------
 
 #: Stands before each main text of a made page; private to the generator.
 _MAIN = ""
-_SYLLABLES = (
-    "an en er in on st re te la de ti ra mo si ka lo tion ment ous ver der sch ung que eau oi ción ar as the to of "
-    "and is for with"
-).split()
+#: Letters of made-up words: those that begin a syllable and those that end it.
+_SCRIPTS = (
+    ("bcdfghjklmnprstvwz", "aeiou"),
+    ("bcdfghjklmnprstvwz", "aeiou\u00e4\u00f6\u00fc\u00e9\u00e8\u00f1"),
+    ("".join(map(chr, range(0x431, 0x44A))), "\u0430\u0435\u0438\u043e\u0443\u044f"),
+    ("\u03b2\u03b3\u03b4\u03ba\u03bb\u03bc\u03bd\u03c0\u03c1\u03c3\u03c4", "\u03b1\u03b5\u03b9\u03bf\u03c5"),
+    ("".join(map(chr, range(0x628, 0x63B))), "\u0627\u0648\u064a"),
+)
+#: Ideographs, of which sentences are written without spaces.
+_IDEOGRAPHS = (0x4E00, 0x9FA5)
 # Words of site furniture, by what they stand in.
 _LINK_WORDS = (
     "Home About Contact News Products Services Blog Login Register Shop Help Support Careers Archive Sitemap Menu "
@@ -467,22 +496,43 @@ _BOX = {
 
 
 class _Maker:
-    """Makes pages with furniture around, before, after and within a main text."""
+    """Makes pages with furniture around, before, after and within a main text.
+
+    Each page has a script and a stock of words of its own, from three words
+    to ever new ones, so that only the words of site furniture tell anything.
+    """
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.ideographs = self.r.random() < 0.12
+        self.script = _SCRIPTS[self.r.choices(range(len(_SCRIPTS)), (6, 2, 2, 1, 1))[0]]
+        size = self.r.choice((3, 8, 40, 300, 0, 0))
+        self.stock = [self.new_word() for _ in range(size)]
+
+    def new_word(self) -> str:
+        if self.ideographs:
+            return "".join(chr(self.r.randint(*_IDEOGRAPHS)) for _ in range(self.r.choice((1, 2, 2, 3))))
+        first, last = self.script
+        return "".join(
+            self.r.choice(first) + self.r.choice(last) + (self.r.choice(first) if self.r.random() < 0.3 else "")
+            for _ in range(self.r.choice((1, 1, 2, 2, 3, 4)))
+        )
 
     def word(self) -> str:
-        return "".join(self.r.choices(_SYLLABLES, k=self.r.choice((1, 1, 2, 2, 3, 4))))
+        return self.r.choice(self.stock) if self.stock else self.new_word()
 
     def prose(self, low: int, high: int) -> str:
         out: list[str] = []
+        marks = ("", "\uff0c", "\u3002", "", "\uff01") if self.ideographs else ("", ",", ".", "&amp;", "!")
+        # Some texts are sentences, some go on without a mark.
+        shares = (80, 7, 10, 1, 1) if self.r.random() < 0.8 else (1, 0, 0, 0, 0)
         for k in range(self.r.randint(low, high)):
             w = self.word()
             if k == 0 or out[-1].endswith("."):
                 w = w.capitalize()
-            out.append(w + self.r.choices(("", ",", ".", "&amp;", "!"), (80, 7, 10, 1, 1))[0])
-        return " ".join(out) + self.r.choice((".", ".", "", "?"))
+            out.append(w + self.r.choices(marks, shares)[0])
+        joint = "" if self.ideographs else " "
+        return joint.join(out) + self.r.choice((marks[2], marks[2], "", "?"))
 
     def box(self, kind: str, inner: str, tags: Sequence[str] = ("div", "div", "section")) -> str:
         names = _BOX[kind].split()
@@ -547,13 +597,17 @@ class _Maker:
     def main(self) -> str:
         r, parts = self.r, []
         title = f"<h1>{_MAIN}{self.prose(2, 12)}</h1>"
-        parts.append(f"<header>{title}</header>" if r.random() < 0.1 else title)
+        if r.random() < 0.6:
+            parts.append(f"<header>{title}</header>" if r.random() < 0.1 else title)
         loose = r.random() < 0.35
-        for _ in range(r.choices((1, 2, 4, 8, 14), (2, 3, 4, 3, 1))[0]):
-            kind = r.random()
-            text = self.prose(3, 90) if r.random() < 0.8 else self.prose(1, 8)
+        # Some texts are of paragraphs only, some of paragraphs that are alike.
+        plain, alike = r.random() < 0.3, r.random() < 0.3
+        low, high = r.choice(((2, 8), (5, 25), (30, 90))) if alike else (3, 90)
+        for _ in range(r.choices((1, 2, 4, 8, 14, 30, 80, 300, 900), (150, 100, 110, 90, 50, 30, 15, 4, 1))[0]):
+            kind = 0 if plain else r.random()
+            text = self.prose(low, high) if alike or r.random() < 0.8 else self.prose(1, 8)
             if kind < 0.66:
-                if r.random() < 0.25:
+                if not plain and r.random() < 0.25:
                     text = f"{text} <a href='/x'>{self.word()}</a> <em>{self.word()}</em> {self.prose(2, 20)}"
                 parts.append(f"<p>{_MAIN}{text}" + ("" if loose else "</p>"))
             elif kind < 0.74:
@@ -574,13 +628,13 @@ class _Maker:
             parts.append(self.furniture("comments"))
         inner = "".join(parts)
         kind = r.random()
-        if kind < 0.5:
+        if kind < 0.42:
             inner = f"<article>{inner}</article>"
-        elif kind < 0.62:
+        elif kind < 0.54:
             inner = f"<main>{inner}</main>"
-        elif kind < 0.85:
+        elif kind < 0.76:
             inner = self.box("main", inner)
-        elif kind < 0.95:
+        elif kind < 0.86:
             inner = f"<div>{inner}</div>"
         return inner
 
@@ -594,11 +648,15 @@ class _Maker:
         after = some(
             (("related", 0.3), ("comments", 0.35), ("ad", 0.2), ("side", 0.25), ("form", 0.15), ("foot", 0.9), ("notice", 0.15))
         )
-        body = "".join(before) + (self.main() if r.random() < 0.96 else "") + "".join(after)
+        bare = r.random()
+        # Some pages have nothing but their main text, some nothing before or after it.
+        before, after = [] if bare < 0.16 else before, [] if bare < 0.12 or bare > 0.96 else after
+        body = "".join(before) + (self.main() if bare < 0.12 or r.random() < 0.96 else "") + "".join(after)
         for _ in range(r.choice((0, 0, 1, 2))):
             body = f'<div class="{r.choice(("wrapper", "page", "container", "row", self.word()))}">{body}</div>'
-        head = f"<head><title>{self.word()}</title><style>p{{}}</style><script>var t='</p>';</script></head>"
-        found = blocks_of(f"<!DOCTYPE html><html>{head}<body>{body}</body></html>")
+        if r.random() < 0.8:
+            body = f"<html><head><title>{self.word()}</title></head><body>{body}</body></html>"
+        found = blocks_of(body)
         labels = np.asarray([_MAIN in b.text for b in found], dtype=np.float32)
         return [Block(b.text.replace(_MAIN, ""), b.path, b.linked) for b in found], labels
 
@@ -615,7 +673,7 @@ def made_pages(count: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray
 
 
 @functools.lru_cache(maxsize=4)
-def trained_labeller(count: int = 2000, seed: int = 5) -> Labeller:
+def trained_labeller(count: int = 2400, seed: int = 5) -> Labeller:
     """The labeller trained on so many made pages; once per process."""
     return train(*made_pages(count, seed))
 

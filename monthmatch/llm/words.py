@@ -47,7 +47,8 @@ class Words:
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else _BYTES[:0]
-        ends = ends - ends[0]
+        #: Where each text begins in ``data``; one more for the end.
+        self.ends = ends = ends - ends[0]
         self.texts = len(texts)
         self.data = _BYTES[raw]
         inside = np.zeros(len(raw) + 2, dtype=bool)
