@@ -14,14 +14,14 @@ no padding.
 
 from __future__ import annotations
 
-import collections
 import functools
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -33,7 +33,7 @@ END_OF_TEXT = 2
 GROUP_TOKENS = 4 << 20
 #: Windows filled less than this are repacked at the end of a group.
 FILL = 0.99
-#: Words whose ids a tokenizing task remembers.
+#: Units whose ids a tokenizing task remembers.
 REMEMBERED = 450_000
 _CHUNK_BYTES = 4 << 20
 #: Words given to the tokenizer at once; what it returns is much larger than ids.
@@ -140,50 +140,104 @@ def _cut(pieces: list[Piece], sizes: list[int], sequence: int) -> Iterator[tuple
                 k, offset = k + 1, 0
 
 
+#: Letters whose lower case is one letter, too, and no part of another one: all below U+0100.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = f"^[{_LETTERS}]+[.,]*$"
+
+
+def _laid_out(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a flat array that the index names, end to end, and where each of them begins."""
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    taken = lengths[index]
+    begins = np.concatenate([[0], np.cumsum(taken)])
+    places = np.arange(begins[-1]) + np.repeat(starts[index] - begins[:-1], taken)
+    return flat[places], begins
+
+
 class WordIds:
-    """Token ids of texts, tokenizing each distinct word of the task once.
+    """Token ids of texts, tokenizing each distinct unit of the task once.
 
     The tokenizer splits at white space before anything else, so the ids of a
-    text are those of its words. A word of letters with a full stop or comma
-    behind it is two units of this tokenizer, and letters are lower-cased, so
-    such words share an entry. All other words are tokenized as they are.
+    text are those of its words. A word of plain letters with full stops and
+    commas behind it is two units of this tokenizer, and letters are
+    lower-cased, so such words share units. All other words are units as they
+    are. Only distinct words are looked at one by one; ids are laid out by arrays.
     """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
-        # Ids as little-endian bytes, which join fast and are no work for the garbage collector.
-        self.known: dict[str, bytes] = {}
-
-    def _units(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(".,")
-        # Below U+0100 lower case is one letter for one letter.
-        if core and core.isalpha() and (core.isascii() or max(core) < "Ā"):
-            return core.lower(), word[len(core) :]
-        return word, ""
-
-    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of words and of their units that are not known yet."""
-        parts = {w: self._units(w) for w in words}
-        units = sorted({u for pair in parts.values() for u in pair if u not in self.known})
-        new: dict[str, bytes] = {}
+        # Ids as bytes, which join fast and are no work for the garbage collector.
+        self.known: dict[str, bytes] = {"": b""}
+        #: How the model spells a letter.
+        self.spelt: dict[int, str] = {}
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        """Ids of units that the tokenizer takes apart itself."""
+        out = []
         for i in range(0, len(units), _ENCODED):
-            some = units[i : i + _ENCODED]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            new.update((u, array("I", e.ids).tobytes()) for u, e in zip(some, encoded, strict=True))
-        known = collections.ChainMap(new, self.known)
-        return new | {w: known[a] + known[b] for w, (a, b) in parts.items()}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self._learn(set().union(*words).difference(self.known))
-        self.known |= new
-        ids_of, end = self.known.__getitem__, array("I", [END_OF_TEXT]).tobytes()
-        out = [np.frombuffer(b"".join([*map(ids_of, ws), end]), dtype="<u4") for ws in words]
-        if len(self.known) > REMEMBERED:
-            for word in new:
-                del self.known[word]
+            encoded = self.tokenizer.encode_batch_fast(units[i : i + _ENCODED], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in encoded]
         return out
 
+    def _plain(self, units: list[str]) -> list[bytes]:
+        """Ids of units of plain lower-case letters, each of which is one piece for the model."""
+        for letter in set().union(*units).difference(map(chr, self.spelt)):
+            self.spelt[ord(letter)] = self.tokenizer.pre_tokenizer.pre_tokenize_str(letter)[0][0]
+        tokenize, spelt = self.tokenizer.model.tokenize, self.spelt
+        return [array("I", [t.id for t in tokenize(u.translate(spelt))]).tobytes() for u in units]
+
+    def _units(self, units: list[str], learn) -> list[bytes]:
+        """Ids of distinct units; what is new is learnt and remembered while there is room."""
+        new = [u for u in units if u not in self.known]
+        learnt = dict(zip(new, learn(new), strict=True))
+        ids = [self.known[u] if u in self.known else learnt[u] for u in units]
+        if len(self.known) < REMEMBERED:
+            self.known |= learnt
+        return ids
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each word has."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        cores = pc.utf8_rtrim(words, ".,")
+        units = pc.if_else(plain, pc.utf8_lower(cores), words).dictionary_encode()
+        behind = pc.if_else(plain, pc.subtract(pc.utf8_length(words), pc.utf8_length(cores)), 0).to_numpy()
+        ending = np.flatnonzero(behind)
+        listed = words.take(pa.array(ending)).to_pylist()
+        endings = [w[-n:] for w, n in zip(listed, behind[ending].tolist(), strict=True)]
+        # The units of both kinds side by side; the endings are few.
+        kinds = sorted(set(endings))
+        names = units.dictionary.to_pylist()
+        is_plain = np.zeros(len(names), dtype=bool)
+        is_plain[units.indices.to_numpy()[plain.to_numpy(zero_copy_only=False)]] = True
+        ids: list[bytes] = [b""] * len(names)
+        for mask, learn in ((is_plain, self._plain), (~is_plain, self._whole)):
+            at = np.flatnonzero(mask).tolist()
+            for k, unit in zip(at, self._units([names[k] for k in at], learn), strict=True):
+                ids[k] = unit
+        ids += [*self._units(kinds, self._whole), b""]
+        place = {m: len(names) + k for k, m in enumerate(kinds)}
+        second = np.full(len(words), len(ids) - 1)
+        second[ending] = [place[m] for m in endings]
+        pairs = np.stack([units.indices.to_numpy(), second], axis=1).ravel()
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        out, begins = _laid_out(flat, lengths, pairs)
+        return out, np.diff(begins[::2])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, with ``END_OF_TEXT`` behind them."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        flat, lengths = self._words(words.dictionary)
+        # The end of a text is one more word.
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        index = np.insert(words.indices.to_numpy().astype(np.int64), ends, len(lengths))
+        flat = np.append(flat, np.uint32(END_OF_TEXT)).astype("<u4")
+        ids, begins = _laid_out(flat, np.append(lengths, 1), index)
+        borders = begins[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+        return [ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+
 
 @functools.lru_cache(maxsize=1)
 def _word_ids(path: str) -> WordIds:
@@ -235,7 +289,7 @@ def pack_documents(
         held = 0
         for batch in batches:
             for piece in slices(batch, "text", _CHUNK_BYTES):
-                encoded = word_ids(piece.column("text").to_pylist())
+                encoded = word_ids(piece.column("text"))
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoded, strict=True):
                     if group and held + len(ids) > group_tokens:
                         out, following = _packed(group, following, window)
