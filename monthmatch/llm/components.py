@@ -10,6 +10,24 @@ from monthmatch.llm.common import saved
 #: More rounds than any graph needs that fits a cluster: the number grows with
 #: the logarithm of the largest component.
 MOST_ROUNDS = 60
+#: Edges of a node that a task takes at any rate.
+HUB = 200
+
+
+def _attached(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """Edges with the one row of ``least`` (a, m, n) of their node ``a``.
+
+    A node with more than two fair shares of a partition is a hub. There are
+    fewer hubs than partitions, so their rows come to the driver and go out
+    with the tasks; the edges of a hub stay where they are.
+    """
+    share = 2 * rows // int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hubs = least.filter(F.col("n") > max(share, HUB)).select("a", "m").collect()
+    if not hubs:
+        return edges.join(least.select("a", "m"), "a")
+    few = F.broadcast(edges.sparkSession.createDataFrame(hubs, "a long, m long"))
+    ordinary = edges.join(few, "a", "left_anti").join(least.select("a", "m"), "a")
+    return ordinary.unionByName(edges.join(few, "a"))
 
 
 def connected(edges: DataFrame, folder: str, name: str = "components") -> DataFrame:
@@ -17,33 +35,32 @@ def connected(edges: DataFrame, folder: str, name: str = "components") -> DataFr
 
     Alternating stars: every node's larger neighbours are linked to its smallest
     one, then all its smaller ones, until only stars around the smallest nodes
-    remain. A node of very many edges is a minimum taken before the shuffle and
-    one row to join with, whose partner adaptive execution splits. Each round is
-    written to ``folder``. Nulls and loops are dropped; no edges give no rows.
+    remain. The smallest neighbour of a node is a minimum taken before the
+    shuffle; edges of nodes that have very many are not shuffled on them. Each
+    step is written to ``folder``. Nulls and loops are dropped; no edges give no rows.
     """
     edges = saved(
         edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(),
         folder,
         f"{name}-edges",
     )
-    before = None
+    before, count = None, edges.count()
     for k in range(MOST_ROUNDS):
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         # Large star: neighbours above a node move to the smallest around it.
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(smallest, "a").selectExpr("b AS a", "m AS b")
+        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        smallest = saved(smallest, folder, f"{name}-{k}-smallest")
+        large = _attached(both.filter("b > a"), smallest, count).selectExpr("b AS a", "m AS b")
         # Small star: a node and what is below it move to the smallest below.
-        large = large.filter("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").selectExpr(
-            "CASE WHEN b = m THEN a ELSE b END AS a", "m AS b"
-        )
+        large = saved(large.filter("a <> b").distinct(), folder, f"{name}-{k}-large")
+        lowest = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), folder, f"{name}-{k}-lowest")
+        small = _attached(large, lowest, count).selectExpr("CASE WHEN b = m THEN a ELSE b END AS a", "m AS b")
         edges = saved(small.filter("a <> b").distinct(), folder, f"{name}-{k}")
         # Stars that no round changes any more are the result.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
-        before = now
+        before, count = now, now[0]
     return edges.selectExpr("a AS node", "b AS root").unionByName(
         edges.selectExpr("b AS node", "b AS root").distinct()
     )

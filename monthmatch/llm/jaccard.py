@@ -64,6 +64,16 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x00-\x20]+", " "))
 
 
+def _digest(plain: Column) -> Column:
+    # 128 bits stand for the words.
+    return F.substring(F.sha2(plain, 256), 1, 32)
+
+
+def word_digest(text: Column) -> Column:
+    """The same for texts of the same words only; null is the empty text."""
+    return _digest(plain_words(F.coalesce(text, F.lit(""))))
+
+
 def ngrams(text: str, words: int) -> np.ndarray:
     """Sorted hashes of the distinct runs of words; of the whole text if it has fewer."""
     hashes, _ = _words(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8))
@@ -158,16 +168,20 @@ def jaccard_classes(
 ) -> DataFrame:
     """Each document with its class, its number of links and its group.
 
-    Returns ``doc_id``, ``class_id`` (smallest id among documents of the same
-    words), ``n_links`` (other documents whose sets of ``words``-grams have a
-    Jaccard similarity of at least ``similarity``), ``group_id`` (smallest id
-    reachable by links) and ``kept`` (whether the document is its group's only
-    representative). Words are separated by white space and compared in lower
-    case; a text of fewer words than ``words`` is one n-gram of all of them.
-    Texts without words, null ones included, are copies of each other and
-    similar to nothing else. Rows with a null id are left out, as a link can not
-    name them. Rows that repeat id and words count as so many copies; of rows
-    that repeat an id with other words, one is compared for all. Other columns
+    Returns ``doc_id``, ``digest`` (of the words, as :func:`word_digest`),
+    ``class_id`` (smallest id among documents of the same words), ``n_links``
+    (other documents whose sets of ``words``-grams have a Jaccard similarity of
+    at least ``similarity``), ``group_id`` (smallest id reachable by links) and
+    ``kept`` (whether the document is its group's representative). Words are
+    separated by white space and compared in lower case; a text of fewer words
+    than ``words`` is one n-gram of all of them. Texts without words, null ones
+    included, are copies of each other and similar to nothing else.
+
+    Every row is a document, with a null or repeated id, too. Rows that repeat
+    an id with other words belong to groups of their own. Null ids come after
+    all others: ``class_id`` or ``group_id`` is null where no document of it has
+    an id. The representative has the smallest id and, of rows that share it,
+    the smallest digest; rows that agree in both are kept alike. Other columns
     are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -187,30 +201,33 @@ def jaccard_classes(
             kept.append(smallest.astype(np.uint8).tobytes())
         return pd.DataFrame({"bands": bands, "minima": kept})
 
-    plain = plain_words(text_or_empty())
-    # 128 bits of a digest stand for the words.
+    # Words are kept with what is told about them, so that texts are read once.
     members = saved(
-        docs.filter("doc_id IS NOT NULL")
-        .select("doc_id", plain.alias("plain"))
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(text_or_empty()).alias("plain"))
+        .withColumn("s", signature("plain"))
         .select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
-            F.substring(F.sha2("plain", 256), 1, 32).alias("digest"),
+            _digest(F.col("plain")).alias("digest"),
             F.length("plain").alias("chars"),
-            signature("plain").alias("s"),
-        )
-        .select("doc_id", "digest", "chars", "s.bands", "s.minima"),
+            "plain",
+            "s.bands",
+            "s.minima",
+        ),
         folder,
         "members",
     )
+    # The first document of a class stands for it; its row's number is the class's node.
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "chars", "bands", "minima")
     classes = saved(
         members.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "chars", "bands", "minima")).alias("first"), F.count("*").alias("copies"))
-        .select("digest", "copies", F.col("first.doc_id").alias("node"), "first.chars", "first.bands", "first.minima"),
+        .agg(F.min(first).alias("first"), F.count("*").alias("copies"))
+        .select("digest", "copies", F.col("first.row").alias("node"), "first.doc_id", "first.chars", "first.bands", "first.minima"),
         folder,
         "classes",
     )
     near = connected(_bucket_edges(classes, similarity, folder), folder, "near")
-    verified = saved(_verify(docs, classes, near, words, similarity), folder, "verified")
+    verified = saved(_verify(members, classes, near, words, similarity), folder, "verified")
     group = connected(
         verified.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")),
         folder,
@@ -218,22 +235,39 @@ def jaccard_classes(
     )
     links = verified.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     described = saved(
-        classes.select("digest", "node", "copies")
+        classes.select("digest", "node", "copies", F.col("doc_id").alias("class_id"))
         .join(links, "node", "left")
         .join(group, "node", "left")
         .select(
             "digest",
-            F.col("node").alias("class_id"),
+            "class_id",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "node").alias("group_id"),
+            F.coalesce("root", "node").alias("root"),
+            F.col("root").isNull().alias("alone"),
         ),
         folder,
         "described",
     )
+    # What stands for a group is a minimum taken before the shuffle; most classes are alone.
+    best = (
+        described.filter(~F.col("alone"))
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", "digest")).alias("best"))
+        .select("root", F.col("best.class_id").alias("group_id"), F.col("best.digest").alias("best_digest"))
+    )
+    grouped = (
+        described.filter(~F.col("alone"))
+        .join(best, "root")
+        .unionByName(
+            described.filter("alone").withColumns({"group_id": F.col("class_id"), "best_digest": F.col("digest")})
+        )
+        .drop("root", "alone")
+    )
+    kept = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("digest") == F.col("best_digest"))
     return (
         members.select("doc_id", "digest")
-        .join(described, "digest")
-        .select("doc_id", "class_id", "n_links", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+        .join(grouped, "digest")
+        .select("doc_id", "digest", "class_id", "n_links", "group_id", kept.alias("kept"))
     )
 
 
@@ -256,22 +290,21 @@ def _bucket_edges(classes: DataFrame, similarity: float, folder: str) -> DataFra
     return dealt.select("band", "hash", "i", "j", "block", "node", "minima").mapInArrow(edges, "a long, b long")
 
 
-def _verify(docs: DataFrame, classes: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verify(members: DataFrame, classes: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, links, other) from all pairs of each neighbourhood."""
-    texts = docs.select(F.col("doc_id").alias("node"), plain_words(text_or_empty()).alias("text"))
-    members = near.join(classes.select("node", "copies", "chars"), "node")
+    texts = members.select(F.col("row").alias("node"), F.col("plain").alias("text"))
+    found = near.join(classes.select("node", "copies", "chars"), "node")
     blocks = F.greatest(
         F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS), F.lit(1).cast("bigint")
     )
-    sizes = members.groupBy("root").agg(blocks.alias("blocks"))
-    members = members.join(sizes, "root").join(texts, "node")
-    dealt = dealt_over_pairs(members, ["root"], "node", F.col("blocks"))
+    sizes = found.groupBy("root").agg(blocks.alias("blocks"))
+    found = found.join(sizes, "root").join(texts, "node")
+    dealt = dealt_over_pairs(found, ["root"], "node", F.col("blocks"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for group in groups(batches, 3):
-                once = list({r[4]: r for r in reversed(group)}.values())[::-1]
-                if sides := sides_of(once, group[0][1], group[0][2], 3):
+                if sides := sides_of(group, group[0][1], group[0][2], 3):
                     yield from _verified(*sides, words, similarity)
 
         return batched(rows(), LINKS)

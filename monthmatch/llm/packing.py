@@ -35,7 +35,7 @@ GROUP_TOKENS = 4 << 20
 FILL = 0.99
 #: Units whose ids a tokenizing task remembers.
 REMEMBERED = 450_000
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 6 << 20
 #: Words given to the tokenizer at once; what it returns is much larger than ids.
 _ENCODED = 4096
 

@@ -204,7 +204,8 @@ FROM docs LEFT JOIN digests USING (doc_id)
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal words, number of similar documents and group."""
-    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_classes(docs).select("doc_id", "class_id", "n_links", "group_id", "kept")
 
 
 @query
@@ -252,10 +253,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_jaccard_join"] = r"""
 WITH RECURSIVE plain AS (
-    SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x20]+', ' ', 'g')) AS p
-    FROM documents WHERE doc_id IS NOT NULL
+    SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x20]+', ' ', 'g')) AS p FROM documents
 ), classes AS (
-    SELECT p, min(doc_id) AS node, count(*) AS copies FROM plain GROUP BY p
+    SELECT p, row_number() OVER () AS node, min(doc_id) AS class_id, count(*) AS copies, sha256(p)[:32] AS digest
+    FROM plain GROUP BY p
 ), words AS (
     SELECT node, string_split(p, ' ') AS w FROM classes WHERE p <> ''
 ), grams AS (
@@ -275,11 +276,16 @@ WITH RECURSIVE plain AS (
 ), reach(node, root) AS (
     SELECT node, node FROM classes
     UNION SELECT linked.b, reach.root FROM reach JOIN linked ON linked.a = reach.node
-), groups AS (
-    SELECT node, min(root) AS group_id FROM reach GROUP BY node
+), roots AS (
+    SELECT node, min(root) AS root FROM reach GROUP BY node
+), members AS (
+    SELECT *, first_value(class_id) OVER best AS group_id, first_value(digest) OVER best AS best_digest
+    FROM classes JOIN roots USING (node)
+    WINDOW best AS (PARTITION BY root ORDER BY class_id NULLS LAST, digest)
 )
-SELECT doc_id, node AS class_id, copies - 1 + coalesce(links, 0) AS n_links, group_id, doc_id = group_id AS kept
-FROM plain JOIN classes USING (p) JOIN groups USING (node) LEFT JOIN links USING (node)
+SELECT doc_id, class_id, copies - 1 + coalesce(links, 0) AS n_links, group_id,
+    doc_id IS NOT DISTINCT FROM group_id AND digest = best_digest AS kept
+FROM plain JOIN members USING (p) LEFT JOIN links USING (node)
 """
 
 

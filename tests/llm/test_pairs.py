@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from monthmatch.llm import embedding_dedup, jaccard
 from monthmatch.llm.components import connected
 from monthmatch.llm.embedding_dedup import near_duplicates
-from monthmatch.llm.jaccard import bands_for, jaccard_classes
+from monthmatch.llm.jaccard import bands_for, jaccard_classes, word_digest
+from monthmatch.llm.queries import ORACLES, op9_jaccard_join
 
 
 def roots(links):
@@ -35,7 +39,8 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**6) ** bands_for(0.8, 0.999, 6) >= 0.999
 
 
-@pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 60)]])
+@pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 60)],
+    [(700, k) for k in range(600)] + [(900, k) for k in range(599, 2000)] + [(k, k + 1) for k in range(3000, 3020)]])
 def test_components(spark, tmp_path, edges):
     df = spark.createDataFrame(edges, "a long, b long")
     links = {}
@@ -83,9 +88,44 @@ def test_join_like_brute_force(spark, texts, monkeypatch, blocks):
 def test_join_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert jaccard_classes(spark.createDataFrame([], schema)).count() == 0
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q r s t u v")]
-    got = sorted((r.doc_id, r.n_links, r.group_id) for r in jaccard_classes(spark.createDataFrame(rows, schema)).collect())
-    assert got == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
+    # A row without an id is a document as others.
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q r s t u v"), (None, "x"), (None, "X ")]
+    got = [(r.doc_id, r.n_links, r.group_id, r.kept) for r in jaccard_classes(spark.createDataFrame(rows, schema)).collect()]
+    want = [(1, 2, 1, True)] * 2 + [(None, 2, 1, False), (2, 0, 2, True)] + [(None, 1, None, True)] * 2
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_join_of_repeated_ids_with_other_words(spark):
+    words = [f"w{k}" for k in range(40)]
+    a, b = " ".join(words), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "q r s t u v"), (4, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.digest): r for r in jaccard_classes(df).collect()}
+    digest = [r[0] for r in df.select(word_digest(F.col("text"))).collect()]
+    by_row = [got[(i, d)] for (i, _), d in zip(rows, digest, strict=True)]
+    assert [r.n_links for r in by_row] == [1, 1, 1, 1, 0, 0]
+    assert [r.group_id for r in by_row] == [1, 1, 1, 1, 4, 4]
+    assert [r.kept for r in by_row] == [True, True, False, False, True, True]
+    # Each of the four groups keeps one document.
+    docs = df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[1], rows[4], rows[5]])
+
+
+def test_join_like_its_sql(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        words = [f"w{v}" for v in rng.integers(0, 9, 14)]
+        rows += [(int(rng.integers(0, 40)), " ".join(words)), (None if k % 7 == 0 else k % 9, " ".join([*words, "more"]))]
+    rows += [(None, None), (1, ""), (None, ""), (1, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = [tuple(r) for r in db.execute(ORACLES["op9_jaccard_join"]).fetchall()]
+    got = [tuple(r) for r in op9_jaccard_join(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 @pytest.fixture(scope="module")
