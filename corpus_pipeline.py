@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthmatch.llm.common import new_folder, saved, table
-from monthmatch.llm.jaccard import jaccard_classes
+from monthmatch.llm.jaccard import jaccard_classes, word_digest
 from monthmatch.llm.mixing import mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
@@ -31,14 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Documents without an id can not be in a group and stay. Of rows that repeat
-    the id of the document that stays, one stays.
+    Null ids come after all others. Of rows that agree in id and words one stays.
     """
     docs = docs.select(*COLUMNS)
-    kept = jaccard_classes(docs).filter("kept").select("doc_id").distinct()
-    # The rows of an id are few; which of them stays does not depend on their order.
-    first = docs.join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("first"))
-    return first.select("doc_id", "first.*").unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    kept = jaccard_classes(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), "digest").distinct()
+    marked = docs.withColumn("digest", word_digest(F.col("text")))
+    # Which of the rows that agree in id and words stays does not depend on their order.
+    first = (
+        marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (marked["digest"] == kept["digest"]))
+        .groupBy("doc_id", marked["digest"])
+        .agg(F.min(F.struct(*COLUMNS[1:])).alias("first"))
+    )
+    return first.select("doc_id", "first.*").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
