@@ -193,7 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
 
     def bounded(ids: DataFrame, salt: str, mark: str) -> DataFrame:
         by = F.xxhash64("doc_id", F.lit(salt))
-        return ids.select("doc_id", F.lit(mark).alias("mark")).orderBy(by, "doc_id").limit(sample)
+        # An id that many rows repeat counts once; of ids alone the tasks keep one each before the shuffle.
+        return ids.select("doc_id").distinct().orderBy(by, "doc_id").limit(sample).withColumn("mark", F.lit(mark))
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -203,10 +204,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     wanted = bounded(known.filter("low = 1 AND high = 1"), "p", "p").unionByName(
         bounded(learnable, "u", "u")
     )
-    # At most two rows for each sampled document: bounded by the sample size.
+    # One text for each sampled id and mark, the first of those that share the id: at most twice the sample.
     rows = (
         learnable.select("doc_id", text_or_empty().alias("text"))
         .join(F.broadcast(wanted), "doc_id")
+        .groupBy("doc_id", "mark")
+        .agg(F.min("text").alias("text"))
         .select("doc_id", "mark", packed("text").alias("x"))
         .collect()
     )
