@@ -288,7 +288,9 @@ def read_archives(packages: DataFrame, payloads: bool = True) -> DataFrame:
                 with filesystem.open_input_file(place) as source:
                     yield from _read_package(source, payloads)
 
-    return packages.select("path").repartition("path").mapInArrow(read, RECORD_SCHEMA)
+    # A task for each package: paths are too small for their bytes to tell how many tasks they need.
+    paths = packages.select("path")
+    return paths.repartitionByRange(max(1, packages.count()), "path").mapInArrow(read, RECORD_SCHEMA)
 
 
 def _read_package(source, payloads: bool) -> Iterator[pa.RecordBatch]:
