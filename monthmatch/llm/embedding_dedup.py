@@ -10,6 +10,7 @@ recall. Whatever is met in a visited cell is verified by its cosine.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,15 +41,21 @@ class MultiIndex:
     books: tuple[np.ndarray, np.ndarray]
     reach: float
 
+    @functools.cached_property
+    def gaps(self) -> list[np.ndarray]:
+        """Per half the distances of all codewords from each other."""
+        return [
+            np.sqrt(np.maximum(np.stack([((word - book) ** 2).sum(1) for word in book]), 1e-30)) for book in self.books
+        ]
+
     def moves(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per half the nearest codeword of each unit vector, and its squared move to each other's cell."""
         nearest, moves = [], []
         cut = self.books[0].shape[1]
-        for part, book in zip((x[:, :cut], x[:, cut:]), self.books, strict=True):
+        for part, book, gaps in zip((x[:, :cut], x[:, cut:]), self.books, self.gaps, strict=True):
             d = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)
             at = d.argmin(axis=1)
-            gap = np.sqrt(np.maximum(((book[at][:, None, :] - book[None]) ** 2).sum(2), 1e-30))
-            move = np.maximum(d - d[np.arange(len(d)), at][:, None], 0) / (2 * gap)
+            move = np.maximum(d - d[np.arange(len(d)), at][:, None], 0) / (2 * gaps[at])
             move[np.arange(len(d)), at] = 0
             nearest.append(at)
             moves.append(move**2)
