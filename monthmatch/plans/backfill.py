@@ -16,7 +16,7 @@ from monthmatch.plans.batch import (
     status_frame,
 )
 from monthmatch.sources.registry import Registry
-from monthmatch.sources.submissions import discover_files
+from monthmatch.sources.submissions import MultiLine, discover_files
 
 
 @dataclass
@@ -27,7 +27,7 @@ class BackfillReport:
         return status_frame(spark, self.files)
 
 
-def run_backfill(registry: Registry, root: str, *, multi_line: bool = True) -> BackfillReport:
+def run_backfill(registry: Registry, root: str, *, multi_line: MultiLine = True) -> BackfillReport:
     """Load everything below ``root`` that is not loaded yet, oldest period first.
 
     The clean state of a period depends on that of the one before, so periods
@@ -40,7 +40,7 @@ def run_backfill(registry: Registry, root: str, *, multi_line: bool = True) -> B
 
 
 def load_by_period(
-    registry: Registry, files: DataFrame, *, multi_line: bool = True, keep_going: bool = True
+    registry: Registry, files: DataFrame, *, multi_line: MultiLine = True, keep_going: bool = True
 ) -> BackfillReport:
     """One batch per period, in order. ``keep_going`` reports a failed batch
     instead of raising and goes on with the next."""

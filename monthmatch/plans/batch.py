@@ -36,6 +36,7 @@ from monthmatch.sources.registry import (
 )
 from monthmatch.sources.submissions import (
     UNIT_KEY,
+    MultiLine,
     describe_files,
     header_names,
     header_problem,
@@ -130,7 +131,7 @@ def _submitted_names(submitted: DataFrame) -> list[str]:
 
 
 def process_batch(
-    registry: Registry, files: DataFrame, *, multi_line: bool = True
+    registry: Registry, files: DataFrame, *, multi_line: MultiLine = True
 ) -> BatchResult:
     """Load all pending files of one period together and reconcile them.
 
@@ -178,7 +179,7 @@ def _sort_out(listed, result: BatchResult) -> list[dict]:
 
 
 def _land(
-    registry: Registry, pending: list[dict], result: BatchResult, multi_line: bool
+    registry: Registry, pending: list[dict], result: BatchResult, multi_line: MultiLine
 ) -> list[dict]:
     """Write the rows of all readable units; returns those units with their row counts."""
     if not pending:
@@ -327,7 +328,7 @@ def _register(registry: Registry, batch_id: str, units: list[dict]) -> None:
     registry.append("submissions", new_submissions(files, registry.loaded()).withColumns(stamp))
 
 
-def process_paths(registry: Registry, paths: list[str], *, multi_line: bool = True) -> BatchResult:
+def process_paths(registry: Registry, paths: list[str], *, multi_line: MultiLine = True) -> BatchResult:
     """:func:`process_batch` for files given by path."""
     files = describe_files(list_files(registry.spark, paths))
     return process_batch(registry, files, multi_line=multi_line)

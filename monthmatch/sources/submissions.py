@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from typing import Literal
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -36,6 +37,10 @@ from monthmatch.functions.text import (
     strip,
     surrogate_id,
 )
+from monthmatch.sources.quoted import literal_path, split_cells
+
+#: A file with line breaks inside quotes is one task; has none and is read in blocks; may have some and is read in blocks.
+MultiLine = bool | Literal["split"]
 
 UNIT_KEY = ("SubscriberCode", "ReportingPeriod", "SubmissionType", "SequenceNumber")
 # Files that may be submissions, in either case of letters.
@@ -54,11 +59,6 @@ def located(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("_metadata.file_path").alias("uri"))
 
 
-def literal_path(path: str) -> str:
-    """A path as readers take it: characters of glob patterns stand for themselves."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
-
-
 def list_files(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
     """All candidate files below a folder, or those given by path.
 
@@ -189,15 +189,18 @@ def header_problem(names: Sequence[str], submission_type: str) -> str | None:
 
 
 def scan_cells(
-    spark: SparkSession, paths: Sequence[str], width: int, multi_line: bool = True
+    spark: SparkSession, paths: Sequence[str], width: int, multi_line: MultiLine = True
 ) -> DataFrame:
     """Rows of files as arrays ``cells`` of ``width`` + 1 texts; missing and blank cells are null.
 
     Cells are read by position, whatever the files call them, and what is told
     about a row stands in one struct ``place``, so that no header can get in
     the way. ``multi_line`` allows line breaks inside quotes, which makes a
-    file one task; turn it off to split files that have none.
+    file one task; turn it off to split files that have none, or say
+    ``"split"`` to split files that may have some, which reads them twice.
     """
+    if multi_line == "split":
+        return split_cells(spark, paths, width + 1)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width + 1)])
     rows = (
         spark.read.schema(schema)
@@ -240,7 +243,7 @@ def load_rows(
     paths: Sequence[str],
     width: int,
     batch_id: str,
-    multi_line: bool = True,
+    multi_line: MultiLine = True,
 ) -> DataFrame:
     """The rows of all files of a type in the columns of the ``submitted`` dataset.
 
@@ -301,7 +304,7 @@ def load_rows(
 
 
 def load_file(
-    spark: SparkSession, path: str, submission_type: str, multi_line: bool = True
+    spark: SparkSession, path: str, submission_type: str, multi_line: MultiLine = True
 ) -> DataFrame:
     """One file as a frame of text: keys, identity and contact fields stripped.
 

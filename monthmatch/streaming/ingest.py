@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from monthmatch.plans.backfill import BackfillReport, load_by_period
 from monthmatch.sources.registry import Registry
-from monthmatch.sources.submissions import FILE_GLOB, describe_files, literal_path, located
+from monthmatch.sources.quoted import literal_path
+from monthmatch.sources.submissions import FILE_GLOB, MultiLine, describe_files, located
 
 _FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -36,7 +37,7 @@ def start_ingest(
     *,
     max_files_per_trigger: int | None = None,
     processing_time: str | None = None,
-    multi_line: bool = True,
+    multi_line: MultiLine = True,
     on_report: Callable[[BackfillReport], None] | None = None,
 ) -> StreamingQuery:
     """Load every file that arrives below ``root`` into the registry.

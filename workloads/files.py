@@ -91,6 +91,19 @@ def submission_files(spark: SparkSession, sf_dir: str) -> str:
     return _once("files", spark, sf_dir, build)
 
 
+def broken_lines(spark: SparkSession, sf_dir: str) -> str:
+    """One file whose cells hold line breaks, commas and quotes."""
+
+    def build() -> str:
+        path = f"{shared_folder(spark)}/lines/CP0526_IND"
+        rows = _file_rows(fixture.prior_raw(spark, sf_dir).orderBy("RowOrder"))
+        remark = F.when(F.col("CustomerID").endswith("3"), F.lit('a\n"b",\n\nc')).otherwise(F.col("Remark"))
+        write_csv(rows.withColumn("Remark", remark).coalesce(1), path)
+        return path
+
+    return _once("files", spark, sf_dir + "#lines", build)
+
+
 def _seeded(spark: SparkSession, sf_dir: str) -> Registry:
     registry = Registry(spark, shared_folder(spark) + "/registry").create()
     clean = fixture.prior_clean(spark, sf_dir).drop("SubscriberCode", "SubmissionType")

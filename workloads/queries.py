@@ -836,6 +836,18 @@ def csv_scan(spark, sf_dir):
     return rows.drop("PartName", "BlockStart", "RowIndex", "CreditFacilityType")
 
 
+@query(
+    f"""WITH {fixture_sql()}, plain AS ({_PLAIN} FROM prior) SELECT * REPLACE (CASE WHEN "CustomerID" LIKE '%3'
+    THEN 'a' || chr(10) || '"b",' || chr(10) || chr(10) || 'c' ELSE "Remark" END AS "Remark") FROM plain"""
+)
+def csv_scan_split(spark, sf_dir):
+    """A file with line breaks in its cells, read in blocks of 64 KB."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    rows = load_file(session, files.broken_lines(spark, sf_dir), "IND", multi_line="split")
+    return rows.drop("PartName", "BlockStart", "RowIndex", "CreditFacilityType")
+
+
 @query(
     """SELECT 'CP0526_IND' AS "FileName", '' AS "Missing" UNION ALL SELECT 'CP0626_IND', ''
     UNION ALL SELECT 'CP0726_IND_1', '' UNION ALL SELECT 'CP0526_BUS', ''
