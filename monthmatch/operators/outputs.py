@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthmatch.fixed_values import FACILITY_TYPE, FILE_PLACE, REPORT_HEADINGS
@@ -43,44 +43,47 @@ def submitted_columns(tagged: DataFrame) -> list[str]:
     return [c for c in tagged.columns if c not in TAGS]
 
 
-def _published(tagged: DataFrame, name: str) -> DataFrame:
+def output_parts(tagged: DataFrame) -> dict[str, tuple[Column, list[Column]]]:
+    """Of each of the six outputs which rows of ``tagged`` it has, and its columns."""
+    own = [quoted(c) for c in submitted_columns(tagged)]
     fields = tagged.schema["Published"].dataType.fieldNames()
-    columns = [
-        F.col("Published")[c].alias(c) if c in fields else quoted(c)
-        for c in submitted_columns(tagged)
+    published = [
+        F.col("Published")[c].alias(c) if c in fields else quoted(c) for c in submitted_columns(tagged)
     ]
-    return tagged.filter(F.col("Route") == name).select(*columns, *_MATCH, "Source")
+    kind = [F.col(FACILITY_TYPE)] if FACILITY_TYPE in tagged.columns else []
+    match = [F.col(c) for c in _MATCH]
+    parts = {
+        "dedup_log": [*own, *map(F.col, _DEDUP), F.col("KeptOverThisRecordID")],
+        "date_change_log": [*map(F.col, ("IdentityKey", "PreviousDate", "CurrentDate")), *kind],
+        "cleaned_output": [*published, *match, F.col("Source")],
+        "rearranged_output": [*published, *match, F.col("Source")],
+        "enriched_output": [*published, *match, F.col("Source")],
+        "unl_output": [*own, *match, F.col("ExceptionCategory")],
+    }
+    return {
+        name: (F.col("DateChanged") if name == "date_change_log" else F.col("Route") == name, columns)
+        for name, columns in parts.items()
+    }
+
+
+def outputs(tagged: DataFrame) -> dict[str, DataFrame]:
+    """Six frames. Each is a filter on ``tagged``; write or persist that first
+    if more than one of them is going to be evaluated."""
+    return {name: tagged.filter(rows).select(*columns) for name, (rows, columns) in output_parts(tagged).items()}
 
 
 def dedup_log(tagged: DataFrame) -> DataFrame:
-    columns = [quoted(c) for c in submitted_columns(tagged)]
-    return tagged.filter("Route = 'dedup_log'").select(*columns, *_DEDUP, "KeptOverThisRecordID")
+    return outputs(tagged)["dedup_log"]
 
 
 def date_change_log(tagged: DataFrame) -> DataFrame:
-    kind = [FACILITY_TYPE] if FACILITY_TYPE in tagged.columns else []
-    return tagged.filter("DateChanged").select("IdentityKey", "PreviousDate", "CurrentDate", *kind)
+    return outputs(tagged)["date_change_log"]
 
 
 def unl_output(tagged: DataFrame) -> DataFrame:
-    columns = [quoted(c) for c in submitted_columns(tagged)]
-    return tagged.filter("Route = 'unl_output'").select(*columns, *_MATCH, "ExceptionCategory")
+    return outputs(tagged)["unl_output"]
 
 
-def outputs(tagged: DataFrame) -> dict[str, DataFrame]:
-    """Six frames. Each is a filter on ``tagged``; write or persist that first
-    if more than one of them is going to be evaluated."""
-    return {
-        "dedup_log": dedup_log(tagged),
-        "date_change_log": date_change_log(tagged),
-        "cleaned_output": _published(tagged, "cleaned_output"),
-        "rearranged_output": _published(tagged, "rearranged_output"),
-        "enriched_output": _published(tagged, "enriched_output"),
-        "unl_output": unl_output(tagged),
-    }
-
-
-def with_report_headings(output: DataFrame) -> DataFrame:
-    return output.withColumnsRenamed(
-        {old: new for old, new in REPORT_HEADINGS.items() if old in output.columns}
-    )
+def report_headings(output: DataFrame) -> list[str]:
+    """The names of an output's columns in the exported files."""
+    return [REPORT_HEADINGS.get(c, c) for c in output.columns]

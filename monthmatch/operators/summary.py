@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthmatch.fixed_values import (
@@ -18,8 +18,8 @@ from monthmatch.fixed_values import (
 )
 
 
-def run_counts(tagged: DataFrame) -> DataFrame:
-    """One row with the 14 metrics as columns, from one aggregation."""
+def metric_counts() -> list[Column]:
+    """The 14 metrics as aggregates over tagged rows."""
     flag, category = F.col("MatchFlag"), F.col("ExceptionCategory")
     conditions = (
         F.lit(True),
@@ -37,9 +37,12 @@ def run_counts(tagged: DataFrame) -> DataFrame:
         category == CATEGORY_REARRANGED_NOT_FOUND,
         category == CATEGORY_CARRYOVER,
     )
-    return tagged.agg(
-        *[F.count_if(c).alias(m) for m, c in zip(METRICS, conditions, strict=True)]
-    )
+    return [F.count_if(c).alias(m) for m, c in zip(METRICS, conditions, strict=True)]
+
+
+def run_counts(tagged: DataFrame) -> DataFrame:
+    """One row with the 14 metrics as columns, from one aggregation."""
+    return tagged.agg(*metric_counts())
 
 
 def run_summary(tagged: DataFrame) -> DataFrame:
