@@ -155,6 +155,7 @@ def process_batch(
             units = [f for f in pending if f["SubmissionType"] == submission_type]
             if units:
                 _reconcile_type(registry, result.batch_id, submission_type, period, units)
+                registry.snapshot_open_keys(result.batch_id, submission_type)
         _register(registry, result.batch_id, pending)
         registry.commit(result.batch_id, _units_frame(spark, pending))
     result.files += [

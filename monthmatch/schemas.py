@@ -64,6 +64,12 @@ DATASETS: dict[str, tuple[str, tuple[str, ...]]] = {
         " CreditFacilityType STRING, CreatedAt TIMESTAMP, ReportingPeriod STRING, BatchID STRING",
         ("SubmissionType", "ReportingPeriod", "BatchID"),
     ),
+    # Distinct keys of open exceptions as of a batch, and the batches that such a snapshot covers.
+    "open_keys": (f"{_KEY}, BatchID STRING", ("SubmissionType", "BatchID")),
+    "open_covered": (
+        "Covered STRING, SubmissionType STRING, BatchID STRING",
+        ("SubmissionType", "BatchID"),
+    ),
     # One row per finished batch, written last.
     "commits": ("BatchID STRING, CommittedAt TIMESTAMP", ()),
 }

@@ -22,6 +22,10 @@ from monthmatch.functions.text import identity_key, joined, normalize_fields, su
 from monthmatch.operators.merge import category_rank, merge_clean
 from monthmatch.schemas import DATASETS
 
+# Batches after which the open keys are written anew.
+SNAPSHOT_EVERY = 6
+_OPEN_KEY = ("SubscriberCode", "SubmissionType", "FacilityAccNum", "CustomerID")
+
 # File order of raw rows, across the files of one submission type and period.
 FILE_ORDER = ("SequenceNumber", "PartName", "BlockStart", "RowIndex")
 
@@ -49,9 +53,10 @@ class Registry:
     One batch is written at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, snapshot_every: int = SNAPSHOT_EVERY):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.snapshot_every = snapshot_every
 
     def create(self) -> Registry:
         """Make the datasets that do not exist yet."""
@@ -138,11 +143,59 @@ class Registry:
         return unpack(rows, hash_fields(submission_type))
 
     def open_unl(self, submission_type: str, subscribers: DataFrame | None = None) -> DataFrame:
-        """Unresolved exceptions of all periods."""
-        rows = self._scoped("unl", submission_type, subscribers).filter(~F.col("Resolved"))
-        return rows.select(
-            "SubscriberCode", "SubmissionType", "FacilityAccNum", "CustomerID", "Resolved"
+        """Keys of unresolved exceptions of all periods.
+
+        What is read does not grow with the number of periods: the newest
+        snapshot of distinct keys, and the exceptions of the batches since.
+        Without any snapshot all exceptions are read.
+        """
+        keys = self._open_keys(submission_type, self._newest_snapshot(submission_type))
+        if subscribers is not None:
+            codes = subscribers.select("SubscriberCode").distinct()
+            keys = keys.join(codes, "SubscriberCode", "left_semi")
+        return keys.withColumn("Resolved", F.lit(False))
+
+    def _newest_snapshot(self, submission_type: str) -> str | None:
+        """The last committed batch with a snapshot of the type's open keys."""
+        rows = self.committed("open_covered").filter(F.col("SubmissionType") == submission_type)
+        return rows.agg(F.max("BatchID")).first()[0]
+
+    def _covered(self, submission_type: str, snapshot: str) -> DataFrame:
+        rows = self.batch("open_covered", snapshot, submission_type)
+        return rows.select(F.col("Covered").alias("BatchID"))
+
+    def _open_keys(self, submission_type: str, snapshot: str | None, upto: DataFrame | None = None) -> DataFrame:
+        """Open keys of a snapshot and of the batches in ``upto`` (committed ones) that it does not cover."""
+        batches = self.everything("commits").select("BatchID") if upto is None else upto
+        rows = self.everything("unl").filter((F.col("SubmissionType") == submission_type) & ~F.col("Resolved"))
+        if snapshot is None:
+            return rows.join(batches, "BatchID", "left_semi").select(*_OPEN_KEY)
+        # As many as there are batches between two snapshots: folders that are named are the only ones listed.
+        since = batches.join(self._covered(submission_type, snapshot), "BatchID", "left_anti")
+        named = [r["BatchID"] for r in since.distinct().collect()]
+        later = rows.filter(F.col("BatchID").isin(named)).select(*_OPEN_KEY)
+        return self.batch("open_keys", snapshot, submission_type).select(*_OPEN_KEY).unionByName(later)
+
+    def snapshot_open_keys(self, batch_id: str, submission_type: str) -> bool:
+        """Write the distinct open keys as of a batch that is about to be committed, if it is time to.
+
+        The batches it covers are written first and read back, so that a batch
+        committed meanwhile is wholly in the snapshot or wholly after it.
+        """
+        newest = self._newest_snapshot(submission_type)
+        commits = self.everything("commits").select("BatchID")
+        since = commits if newest is None else commits.join(
+            self._covered(submission_type, newest), "BatchID", "left_anti"
         )
+        if since.count() + 1 < self.snapshot_every:
+            return False
+        own = self.spark.range(0, 1, 1, 1).select(F.lit(batch_id).alias("BatchID"))
+        covered = commits.unionByName(own).distinct().coalesce(1)
+        stamp = {"SubmissionType": F.lit(submission_type), "BatchID": F.lit(batch_id)}
+        self.append("open_covered", covered.withColumnRenamed("BatchID", "Covered").withColumns(stamp))
+        keys = self._open_keys(submission_type, newest, self._covered(submission_type, batch_id))
+        self.append("open_keys", keys.distinct().withColumns(stamp))
+        return True
 
     def _scoped(self, name: str, submission_type: str, subscribers: DataFrame | None) -> DataFrame:
         """Committed rows of a type, of those in column ``SubscriberCode`` of a frame if given."""
