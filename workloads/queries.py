@@ -23,6 +23,7 @@ from monthmatch.operators.skew import find_heavy_keys
 from monthmatch.operators.summary import headline_metrics, run_summary
 from monthmatch.plans.backfill import batch_stats, period_count, run_backfill
 from monthmatch.plans.batch import tagged_batch
+from monthmatch.plans.history import replay
 from monthmatch.plans.reconcile import reconcile
 from monthmatch.session import shared_folder
 from monthmatch.sources.registry import Registry, new_submissions, new_subscribers
@@ -1001,6 +1002,13 @@ def backfill(spark, sf_dir):
     return _clean_states(files.backfilled(spark, sf_dir)[0])
 
 
+@query(_CLEAN_STATES)
+def backfill_one_pass(spark, sf_dir):
+    """The clean states from all months together, out of the submitted rows and the seed."""
+    rows = replay(files.backfilled(spark, sf_dir)[0], "IND").clean.withColumn("IdentityKey", text.identity_key())
+    return rows.select("ReportingPeriod", "IdentityKey", "MatchCategory", *hash_fields("IND"))
+
+
 @query(_CLEAN_STATES)
 def stream_ingest(spark, sf_dir):
     return _clean_states(files.streamed(spark, sf_dir))
