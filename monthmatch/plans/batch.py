@@ -37,9 +37,9 @@ from monthmatch.sources.registry import (
 from monthmatch.sources.submissions import (
     UNIT_KEY,
     MultiLine,
+    checked_headers,
     describe_files,
     header_names,
-    header_problem,
     headers_frame,
     list_files,
     load_rows,
@@ -195,17 +195,10 @@ def _land(
     # are all that comes to the driver.
     lines = files.join(read_headers(spark, list(by_path)), "uri", "left").persist()
     try:
-        told = {
-            (r["kind"], r["header"]): _header_message(r["kind"], r["header"])
-            for r in lines.select("kind", "header").distinct().collect()
-        }
-        unusable = spark.createDataFrame(
-            [(*key, message) for key, message in told.items() if message is not None],
-            "_kind STRING, _header STRING, message STRING",
-        )
-        same = (F.col("kind") == F.col("_kind")) & F.col("header").eqNullSafe(F.col("_header"))
-        bad = {r["path"]: r["message"] for r in lines.join(unusable, same).select("path", "message").collect()}
-        headers = [key for key, message in told.items() if message is None]
+        checked = checked_headers(spark, lines)
+        bad = {r["path"]: r["message"] for r in checked.filter("message IS NOT NULL").select("path", "message").collect()}
+        usable = checked.filter("message IS NULL").select("kind", "header").distinct()
+        headers = [tuple(r) for r in usable.collect()]
         frames = []
         for kind in SUBMISSION_TYPES:
             widths = [len(header_names(h)) for k, h in headers if k == kind]
@@ -251,10 +244,6 @@ def _land(
     return good
 
 
-def _header_message(kind: str, line: str | None) -> str | None:
-    return "file is empty" if line is None else header_problem(header_names(line), kind)
-
-
 def _units_frame(spark: SparkSession, units: list[dict]) -> DataFrame:
     columns = ("FileName", *UNIT_KEY, "RecordCount")
     kinds = "FileName STRING, SubscriberCode STRING, ReportingPeriod STRING,"

@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthmatch.fixed_values import BALANCE, CUSTOMER, DATE, FACILITY, FACILITY_TYPE, hash_fields
+from monthmatch.fixed_values import BALANCE, CUSTOMER, DATE, FACILITY, FACILITY_TYPE, hash_fields, required_columns
 from monthmatch.plans.backfill import BackfillReport, run_backfill
 from monthmatch.session import shared_folder
 from monthmatch.sources.registry import Registry, seed_clean
@@ -91,6 +91,44 @@ def submission_files(spark: SparkSession, sf_dir: str) -> str:
     return _once("files", spark, sf_dir, build)
 
 
+def supplier_files(spark: SparkSession, sf_dir: str) -> str:
+    """A small submission of every supplier; some names have a month 13, some headers lack columns."""
+
+    def build() -> str:
+        root = f"{shared_folder(spark)}/suppliers"
+        key = F.col("s_suppkey")
+        name = F.concat(
+            F.lit("S"),
+            key.cast("string"),
+            F.format_string("%02d26", (1 + key % 13).cast("int")),
+            F.when(key % 2 == 0, "_IND").otherwise("_bus"),
+            F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("_"), (key % 7 + 1).cast("string"))),
+        )
+
+        def header(kind: str, *without: str):
+            return F.lit(",".join(c for c in required_columns(kind) if c not in without))
+
+        def headers(kind: str):
+            few = F.when(key % 5 == 0, header(kind, "CurBal")).when(key % 5 == 1, header(kind, "TINum", "CustomerID"))
+            return few.otherwise(header(kind))
+
+        line = F.when(key % 2 == 0, headers("IND")).otherwise(headers("BUS"))
+        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+        rows.select(name.alias("name"), line.alias("value")).write.partitionBy("name").text(root)
+        # A folder of a submission is called like it.
+        files = spark._jvm.org.apache.hadoop.fs
+        system = files.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in system.listStatus(files.Path(root)):
+            folder = found.getPath().getName()
+            if found.isDirectory():
+                system.rename(found.getPath(), files.Path(f"{root}/{folder.removeprefix('name=')}.csv"))
+                part = system.listStatus(files.Path(f"{root}/{folder.removeprefix('name=')}.csv"))[0].getPath()
+                system.rename(part, files.Path(f"{part.getParent().toString()}/part-0.csv"))
+        return root
+
+    return _once("files", spark, sf_dir + "#suppliers", build)
+
+
 def broken_lines(spark: SparkSession, sf_dir: str) -> str:
     """One file whose cells hold line breaks, commas and quotes."""
 

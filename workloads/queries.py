@@ -29,12 +29,11 @@ from monthmatch.session import shared_folder
 from monthmatch.sources.registry import Registry, new_submissions, new_subscribers
 from monthmatch.sources.reports import preview, write_bundle, write_outputs
 from monthmatch.sources.submissions import (
+    checked_headers,
     chronological,
     describe_files,
     discover_files,
     load_file,
-    missing_columns,
-    header_names,
     pending_files,
     read_headers,
 )
@@ -849,39 +848,42 @@ def csv_scan_split(spark, sf_dir):
     return rows.drop("PartName", "BlockStart", "RowIndex", "CreditFacilityType")
 
 
+_SUPPLIER_FILE = """SELECT s_suppkey, 'S' || s_suppkey || lpad(CAST(1 + s_suppkey % 13 AS VARCHAR), 2, '0') || '26' ||
+    CASE WHEN s_suppkey % 2 = 0 THEN '_IND' ELSE '_bus' END ||
+    CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '_' || (s_suppkey % 7 + 1) END || '.csv' AS "FileName",
+    s_suppkey % 13 < 12 AS "Usable" FROM supplier"""
+
+
 @query(
-    """SELECT 'CP0526_IND' AS "FileName", '' AS "Missing" UNION ALL SELECT 'CP0626_IND', ''
-    UNION ALL SELECT 'CP0726_IND_1', '' UNION ALL SELECT 'CP0526_BUS', ''
-    UNION ALL SELECT 'CP0826_IND', 'TINum' UNION ALL SELECT 'cp0626_ind_2', ''"""
+    f"""SELECT "FileName", CASE s_suppkey % 5 WHEN 0 THEN 'CurBal' WHEN 1 THEN 'CustomerID, TINum' ELSE '' END
+    AS "Missing" FROM ({_SUPPLIER_FILE}) AS f WHERE "Usable\""""
 )
 def validate_columns(spark, sf_dir):
-    found = discover_files(spark, files.submission_files(spark, sf_dir)).filter("Problem IS NULL")
-    listed = {f["uri"]: f for f in found.collect()}
-    checked = set()
-    for row in read_headers(spark, [f["path"] for f in listed.values()]).collect():
-        file = listed[row["uri"]]
-        missing = missing_columns(header_names(row["header"]), file["SubmissionType"])
-        checked.add((file["FileName"], ", ".join(missing)))
-    return spark.createDataFrame(sorted(checked), "FileName STRING, Missing STRING")
+    """What the header of every supplier's file lacks."""
+    found = discover_files(spark, files.supplier_files(spark, sf_dir)).filter("Problem IS NULL")
+    paths = [r["path"] for r in found.select("path").collect()]
+    lines = found.join(read_headers(spark, paths), "uri", "left").withColumn("kind", F.col("SubmissionType"))
+    checked = checked_headers(spark, lines)
+    return checked.select("FileName", F.array_join("missing", ", ").alias("Missing"))
 
 
 @query(
-    """SELECT name AS "FileName", code AS "SubscriberCode", period AS "ReportingPeriod", kind AS "SubmissionType",
-    seq AS "SequenceNumber", code IS NOT NULL AS "Usable" FROM (VALUES
-    ('CP0526_IND', 'CP', '2026-05', 'IND', CAST(1 AS BIGINT)), ('CP0526_BUS', 'CP', '2026-05', 'BUS', 1),
-    ('CP0626_IND', 'CP', '2026-06', 'IND', 1), ('cp0626_ind_2', 'CP', '2026-06', 'IND', 2),
-    ('CP0726_IND_1', 'CP', '2026-07', 'IND', 1), ('CP0826_IND', 'CP', '2026-08', 'IND', 1),
-    ('CP1326_IND', NULL, NULL, NULL, NULL)) AS f(name, code, period, kind, seq)""",
+    f"""SELECT "FileName", CASE WHEN "Usable" THEN 'S' || s_suppkey END AS "SubscriberCode",
+    CASE WHEN "Usable" THEN '2026-' || lpad(CAST(1 + s_suppkey % 13 AS VARCHAR), 2, '0') END AS "ReportingPeriod",
+    CASE WHEN "Usable" THEN CASE WHEN s_suppkey % 2 = 0 THEN 'IND' ELSE 'BUS' END END AS "SubmissionType",
+    CAST(CASE WHEN "Usable" THEN CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE s_suppkey % 7 + 1 END END AS BIGINT)
+    AS "SequenceNumber", "Usable" FROM ({_SUPPLIER_FILE}) AS f""",
     name="discover_files",
 )
 def discovered_files(spark, sf_dir):
-    found = discover_files(spark, files.submission_files(spark, sf_dir))
+    """Every supplier's file, found below a folder."""
+    found = discover_files(spark, files.supplier_files(spark, sf_dir))
     return found.select(
         "FileName",
         *_UNIT,
         F.col("SequenceNumber").cast("bigint").alias("SequenceNumber"),
         F.col("Problem").isNull().alias("Usable"),
-    ).distinct()
+    )
 
 
 HISTORY = history()
