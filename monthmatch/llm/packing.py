@@ -34,8 +34,8 @@ GROUP_TOKENS = 4 << 20
 #: Windows filled less than this are repacked at the end of a group.
 FILL = 0.99
 #: Units whose ids a tokenizing task remembers.
-REMEMBERED = 450_000
-_CHUNK_BYTES = 6 << 20
+REMEMBERED = 300_000
+_CHUNK_BYTES = 4 << 20
 #: Words given to the tokenizer at once; what it returns is much larger than ids.
 _ENCODED = 4096
 
@@ -150,7 +150,10 @@ def _laid_out(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple
     starts = np.concatenate([[0], np.cumsum(lengths)])
     taken = lengths[index]
     begins = np.concatenate([[0], np.cumsum(taken)])
-    places = np.arange(begins[-1]) + np.repeat(starts[index] - begins[:-1], taken)
+    # Half the memory where places are small numbers, as they are but for giant texts.
+    kind = np.int32 if max(begins[-1], starts[-1]) < 1 << 31 else np.int64
+    places = np.repeat((starts[index] - begins[:-1]).astype(kind), taken)
+    places += np.arange(begins[-1], dtype=kind)
     return flat[places], begins
 
 
@@ -297,6 +300,8 @@ def pack_documents(
                         group, held = [], 0
                     group.append((doc_id, ids))
                     held += len(ids)
+                # What is free goes back at once: workers stay, and other stages run beside them.
+                pa.default_memory_pool().release_unused()
         if group:
             yield _packed(group, following, window)[0]
 
