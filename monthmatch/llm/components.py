@@ -14,19 +14,24 @@ MOST_ROUNDS = 60
 HUB = 200
 
 
-def _attached(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
-    """Edges with the one row of ``least`` (a, m, n) of their node ``a``.
+def _hubs(both: DataFrame, rows: int) -> DataFrame | None:
+    """Nodes with more than two fair shares of a partition, with the smallest of them and their neighbours.
 
-    A node with more than two fair shares of a partition is a hub. There are
-    fewer hubs than partitions, so their rows come to the driver and go out
-    with the tasks; the edges of a hub stay where they are.
+    There are fewer of them than partitions, so they come to the driver and go
+    out with the tasks. None where there are none, as in most rounds.
     """
-    share = 2 * rows // int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hubs = least.filter(F.col("n") > max(share, HUB)).select("a", "m").collect()
-    if not hubs:
-        return edges.join(least.select("a", "m"), "a")
-    few = F.broadcast(edges.sparkSession.createDataFrame(hubs, "a long, m long"))
-    ordinary = edges.join(few, "a", "left_anti").join(least.select("a", "m"), "a")
+    share = 2 * rows // int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    degrees = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    found = degrees.filter(F.col("n") > max(share, HUB)).select("a", "m").collect()
+    return both.sparkSession.createDataFrame(found, "a long, m long") if found else None
+
+
+def _attached(edges: DataFrame, least: DataFrame, of_hubs: DataFrame | None) -> DataFrame:
+    """Edges with the ``m`` of their node ``a``; the edges of a hub stay where they are."""
+    if of_hubs is None:
+        return edges.join(least, "a")
+    few = F.broadcast(of_hubs)
+    ordinary = edges.join(few, "a", "left_anti").join(least, "a")
     return ordinary.unionByName(edges.join(few, "a"))
 
 
@@ -37,7 +42,7 @@ def connected(edges: DataFrame, folder: str, name: str = "components") -> DataFr
     one, then all its smaller ones, until only stars around the smallest nodes
     remain. The smallest neighbour of a node is a minimum taken before the
     shuffle; edges of nodes that have very many are not shuffled on them. Each
-    step is written to ``folder``. Nulls and loops are dropped; no edges give no rows.
+    round is written to ``folder``. Nulls and loops are dropped; no edges give no rows.
     """
     edges = saved(
         edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(),
@@ -47,14 +52,18 @@ def connected(edges: DataFrame, folder: str, name: str = "components") -> DataFr
     before, count = None, edges.count()
     for k in range(MOST_ROUNDS):
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
+        hubs = _hubs(both, 2 * count)
         # Large star: neighbours above a node move to the smallest around it.
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-        smallest = saved(smallest, folder, f"{name}-{k}-smallest")
-        large = _attached(both.filter("b > a"), smallest, count).selectExpr("b AS a", "m AS b")
-        # Small star: a node and what is below it move to the smallest below.
-        large = saved(large.filter("a <> b").distinct(), folder, f"{name}-{k}-large")
-        lowest = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), folder, f"{name}-{k}-lowest")
-        small = _attached(large, lowest, count).selectExpr("CASE WHEN b = m THEN a ELSE b END AS a", "m AS b")
+        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = _attached(both.filter("b > a"), smallest, hubs).selectExpr("b AS a", "m AS b")
+        # Small star: a node and what is below it move to the smallest below. A
+        # node has no more edges here than before, so there are no other hubs.
+        large = large.filter("a <> b").distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        below = None if hubs is None else (
+            large.join(F.broadcast(hubs.select("a")), "a", "left_semi").groupBy("a").agg(F.min("b").alias("m"))
+        )
+        small = _attached(large, lowest, below).selectExpr("CASE WHEN b = m THEN a ELSE b END AS a", "m AS b")
         edges = saved(small.filter("a <> b").distinct(), folder, f"{name}-{k}")
         # Stars that no round changes any more are the result.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
