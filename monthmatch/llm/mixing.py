@@ -66,7 +66,7 @@ def rake(
     a whole round changes no total by more than ``tolerance``, or after
     ``rounds``; targets that contradict each other stay fitted to the last
     dimension. If totals still change then, a warning tells by how much. Each
-    round is written to ``folder`` and read again.
+    step is written to ``folder`` and read again, so that no plan holds two.
     """
     shares = {}
     for dimension, target in targets.items():
@@ -101,7 +101,8 @@ def rake(
                     "__off": F.greatest("__off", F.abs(F.col("__factor") - 1)),
                 }
             ).drop("__factor")
-        cells = saved(cells, folder, f"round-{k}")
+            # The next dimension looks at the cells twice, so each is written.
+            cells = saved(cells, folder, f"round-{k}-{dimension}")
         off = cells.agg(F.max("__off")).first()[0]
         if off is None or off <= tolerance:
             break
