@@ -17,7 +17,7 @@ from monthmatch.llm.jaccard import jaccard_classes
 from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
-from monthmatch.llm.secret_scan import ACCESS, ASSIGN, HEX, MOST_OWNERS, OPAQUE_PATTERN, scan_secrets
+from monthmatch.llm.secret_scan import ACCESS, ASSIGN, HEX, MOST_DOCUMENTS, MOST_OWNERS, OPAQUE_PATTERN, scan_secrets
 from monthmatch.llm.term_trie import rank_documents
 from monthmatch.llm.url_filter import judge_urls
 from monthmatch.llm.warc_zip import archive_round_trip
@@ -184,7 +184,9 @@ WITH docs AS (
             SELECT 1 FROM base WHERE base.doc_id = c.doc_id AND base.first < c.last AND base.last > c.first)
 ), added AS (
     SELECT * FROM candidates WHERE value IN (
-        SELECT value FROM candidates GROUP BY value HAVING count(DISTINCT owner) <= {MOST_OWNERS})
+        SELECT value FROM candidates GROUP BY value
+        HAVING count(DISTINCT owner) <= {MOST_OWNERS}
+            AND count(DISTINCT (owner, doc_id)) <= count(DISTINCT owner) * {MOST_DOCUMENTS})
 ), every AS (
     SELECT * FROM base UNION ALL SELECT * FROM added
 ), digests AS (

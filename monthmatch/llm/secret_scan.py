@@ -2,9 +2,10 @@
 
 Three regular kinds are found by their patterns alone. Any other long opaque
 token is only a candidate: the corpus decides. Candidate hashes are counted by
-distinct documents and owners; a value that many owners have is a copied
-example, a value of few owners looks live and is reported, wherever it stands.
-Everything is DataFrame operations.
+distinct documents and owners; a value that many owners have, or that few
+owners have in many documents each, is a copied example. Any other value looks
+live and is reported, wherever it stands. Texts are matched once, in a pass that
+writes what it finds to the shared folder. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthmatch.llm.common import text_or_empty
+from monthmatch.llm.common import new_folder, saved, text_or_empty
 
 # Kinds in the order in which equal starts are listed, their
 # patterns, and the least length of what the group of that number matches.
@@ -29,6 +30,8 @@ OPAQUE = "opaque"
 OPAQUE_PATTERN = r"[A-Za-z0-9_-]{20,}"
 #: Values of more owners than this are copied examples.
 MOST_OWNERS = 2
+#: So are values in more distinct documents than this for each of their owners.
+MOST_DOCUMENTS = 50
 
 # Marks around matches. Where a text has them itself, a character that no
 # pattern matches stands in, so that positions stay.
@@ -141,14 +144,16 @@ def secret_spans(
     owner: str = "source",
     document: str = "doc_id",
     most_owners: int = MOST_OWNERS,
+    most_documents: int = MOST_DOCUMENTS,
 ) -> DataFrame:
     """Append ``base_spans`` and ``secret_spans``, sorted arrays of (start, rank, kind, end).
 
     Positions are code points, ends exclusive. ``secret_spans`` has the base
-    spans and those of opaque tokens that at most ``most_owners`` owners have;
-    an opaque token that overlaps a base span is not repeated. Null texts are
-    empty and have no spans; a null owner is the owner '', a null document the
-    document ''. Repeated rows get equal results. Columns of the two names are
+    spans and those of opaque tokens that at most ``most_owners`` owners have, in
+    at most ``most_documents`` distinct documents (by id and text) for each of
+    them; an opaque token that overlaps a base span is not repeated. Null texts
+    are empty and have no spans; a null owner is the owner '', a null document
+    the document ''. Repeated rows get equal results. Columns of the two names are
     replaced; all other columns and all rows stay.
     """
     body = text_or_empty(text)
@@ -165,23 +170,33 @@ def secret_spans(
             "__base": F.concat(*[_ranked(F.col(f"__{kind}"), kind, i) for i, (kind, *_) in enumerate(BASE)]),
         }
     )
-    opaque = F.filter(spans_of(F.col("__parts"), OPAQUE_PATTERN, 0, 20), lambda s: _opaque(s["value"]))
-    candidates = (
-        found.select(
-            "__row",
+    opaque = F.filter(
+        spans_of(F.col("__parts"), OPAQUE_PATTERN, 0, 20),
+        lambda s: _opaque(s["value"])
+        & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])),
+    )
+    hashed = F.transform(
+        opaque, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value"))
+    )
+    kept = [c for c in docs.columns if c not in ("base_spans", "secret_spans")]
+    quoted = [F.col(f"`{c}`") for c in kept]
+    found = saved(
+        found.withColumn("__parts", _parts_where(body, OPAQUE_PATTERN, OPAQUE_PATTERN)).select(
+            F.struct(*quoted).alias("doc"),
             F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
+            "__row",
             "__base",
-            _parts_where(body, OPAQUE_PATTERN, OPAQUE_PATTERN).alias("__parts"),
-        )
-        .select("__row", "owner", "__base", F.explode(opaque).alias("span"))
-        .filter(~F.exists("__base", lambda b: (b["start"] < F.col("span.end")) & (b["end"] > F.col("span.start"))))
-        .select("__row", "owner", "span.start", "span.end", F.sha2("span.value", 256).alias("value"))
+            hashed.alias("__opaque"),
+        ),
+        new_folder(docs.sparkSession),
+        "matches",
     )
+    candidates = found.filter(F.size("__opaque") > 0).select("__row", "owner", F.inline("__opaque"))
     # Documents are counted per owner first, so that a value in a third of all
     # documents is one row per owner when owners are counted.
     live = (
         ownership(candidates)
-        .filter(F.col("owners") <= most_owners)
+        .filter((F.col("owners") <= most_owners) & (F.col("documents") <= F.col("owners") * most_documents))
         .select("value")
     )
     added = (
@@ -193,10 +208,9 @@ def secret_spans(
             ).alias("__added")
         )
     )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("base_spans", "secret_spans")]
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return found.join(added, "__row", "left").select(
-        *kept,
+        *[F.col("doc").getField(c).alias(c) for c in kept],
         F.array_sort("__base").alias("base_spans"),
         F.array_sort(F.concat("__base", F.coalesce("__added", none))).alias("secret_spans"),
     )
