@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from monthmatch.llm.common import new_folder, saved, table
 from monthmatch.llm.jaccard import jaccard_classes, word_digest
-from monthmatch.llm.mixing import mix_sources
+from monthmatch.llm.mixing import BUDGET_SHARE, mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
 from monthmatch.llm.secret_scan import redact_secrets
@@ -56,8 +56,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics have their target shares."""
-    return mix_sources(docs.select(*COLUMNS)).filter("sampled").select(*COLUMNS)
+    """Documents sampled to a budget of tokens, towards the target shares of sources, languages and topics.
+
+    None is taken twice: cells with too few tokens for their share are kept whole.
+    """
+    mixed = mix_sources(docs.select(*COLUMNS), budget_share=BUDGET_SHARE, repeats=False)
+    return mixed.filter("sampled").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

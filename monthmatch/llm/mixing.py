@@ -5,8 +5,9 @@ dimension after the other until every marginal has its target share. A cell's
 fitted weight per token, over the largest of all cells, is the probability with
 which each of its documents is sampled, so the expected tokens have the target
 marginals. How many they are is then set by that one cell; with a budget of
-tokens it is not, and documents of cells that need more are repeated. Everything
-is DataFrame operations; only cells are iterated on.
+tokens it is not: documents of cells that need more are repeated or, without
+repeats, taken whole, and the other cells fill the budget. Everything is
+DataFrame operations; only cells are iterated on.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from monthmatch.llm.common import new_folder, saved, text_or_empty, unit_hash
 #: power of its tokens. Below 1, large values are sampled down; close to 1, so
 #: that a few rare cells do not press the probabilities of all others down.
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.95}
+#: Budget of the registered query and the pipeline, as a share of the corpus's own tokens.
+BUDGET_SHARE = 0.8
 ROUNDS = 20
 TOLERANCE = 1e-8
 
@@ -112,6 +115,25 @@ def rake(
     return cells.drop("__off")
 
 
+def _scale_to(fitted: DataFrame, budget: float) -> float:
+    """The factor of weights that fills a budget when no cell gives more tokens than it has.
+
+    Cells that would have to give more are taken whole, and the others scaled
+    to what is left; that takes in more cells, until it does not. The factor
+    only grows, and what comes to the driver is two sums a step.
+    """
+    scale = 0.0
+    while True:
+        whole = F.col("weight") * F.lit(scale) >= F.col("tokens")
+        taken, rest = fitted.agg(
+            F.coalesce(F.sum(F.when(whole, F.col("tokens"))), F.lit(0)), F.sum(F.when(~whole, F.col("weight")))
+        ).first()
+        wider = (budget - taken) / rest if rest else scale
+        if wider <= scale * (1 + 1e-12):
+            return scale
+        scale = wider
+
+
 def mix_sources(
     docs: DataFrame,
     dimensions: Mapping[str, Column] | None = None,
@@ -119,6 +141,8 @@ def mix_sources(
     powers: Mapping[str, float] = POWERS,
     identity: Sequence[str] = ("doc_id",),
     budget: float | None = None,
+    budget_share: float | None = None,
+    repeats: bool = True,
 ) -> DataFrame:
     """Append ``topic``, ``tokens``, ``probability`` and ``sampled`` to every document.
 
@@ -130,10 +154,17 @@ def mix_sources(
     repeated rows decide alike. With a ``budget``, so many tokens are expected in
     all, however rare the rarest cell: ``probability`` is the expected number of
     copies, and ``copies`` its whole part or, with the probability of the rest,
-    one more. Columns of these names are replaced, all other columns and all
-    rows stay. An empty table gives an empty result.
+    one more. ``budget_share`` gives the budget as a share of the corpus's own
+    tokens. Without ``repeats`` no document is taken twice: cells that have
+    fewer tokens than they should give are taken whole, with probability 1, and
+    the others, in the proportions that raking found, fill the budget; a budget
+    of all tokens or more takes everything that has weight. Columns of these
+    names are replaced, all other columns and all rows stay. An empty table
+    gives an empty result.
     """
-    if budget is not None and budget <= 0:
+    if budget is not None and budget_share is not None:
+        raise ValueError("either a budget or a share of the tokens")
+    if any(b is not None and b <= 0 for b in (budget, budget_share)):
         raise ValueError("the budget must be positive")
     spark = docs.sparkSession
     folder = new_folder(spark)
@@ -153,16 +184,21 @@ def mix_sources(
             wanted[n] = power_targets(cells, n, powers.get(n, 1.0))
     fitted = rake(cells, {n: wanted[n] for n in names}, folder)
     ratio = F.col("weight") / F.col("tokens")
+    if budget_share is not None:
+        budget = (fitted.agg(F.sum("tokens")).first()[0] or 1) * budget_share
     if budget is None:
-        unit = fitted.agg(F.max(ratio)).first()[0] or 1.0
+        chance = ratio / F.lit(fitted.agg(F.max(ratio)).first()[0] or 1.0)
+    elif repeats:
+        chance = ratio / F.lit((fitted.agg(F.sum("weight")).first()[0] or 1.0) / budget)
     else:
-        unit = (fitted.agg(F.sum("weight")).first()[0] or 1.0) / budget
+        chance = F.least(F.lit(1.0), ratio * F.lit(_scale_to(fitted, budget)))
     chances = saved(
-        fitted.select(*[F.col(n).alias(f"__{n}") for n in names], (ratio / F.lit(unit)).alias("__chance")),
+        fitted.select(*[F.col(n).alias(f"__{n}") for n in names], chance.alias("__chance")),
         folder,
         "chances",
     )
-    made = ("topic", "tokens", "probability", "sampled") + (() if budget is None else ("copies",))
+    counted = budget is not None and repeats
+    made = ("topic", "tokens", "probability", "sampled") + (("copies",) if counted else ())
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     topic = F.col(f"__{names[-1]}")
     chance, number = F.col("__chance"), unit_hash(*[F.col(c) for c in identity])
@@ -172,6 +208,6 @@ def mix_sources(
         topic.alias("topic"),
         F.col("__tokens").alias("tokens"),
         chance.alias("probability"),
-        ((number < chance) if budget is None else (copies > 0)).alias("sampled"),
-        *(() if budget is None else (copies.alias("copies"),)),
+        ((copies > 0) if counted else (number < chance)).alias("sampled"),
+        *((copies.alias("copies"),) if counted else ()),
     )

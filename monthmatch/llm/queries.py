@@ -14,7 +14,7 @@ from monthmatch.llm.fingerprint import fingerprint_edits
 from monthmatch.llm.hard_negatives import mine_hard_negatives
 from monthmatch.llm.html_blocks import extract_main_text
 from monthmatch.llm.jaccard import jaccard_classes
-from monthmatch.llm.mixing import POWERS, ROUNDS, mix_sources
+from monthmatch.llm.mixing import BUDGET_SHARE, POWERS, ROUNDS, mix_sources
 from monthmatch.llm.packing import pack_documents
 from monthmatch.llm.quality import score_quality
 from monthmatch.llm.secret_scan import ACCESS, ASSIGN, HEX, MOST_DOCUMENTS, MOST_OWNERS, OPAQUE_PATTERN, scan_secrets
@@ -95,7 +95,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sampling probability and whether it is sampled."""
-    return mix_sources(table(spark, sf_dir, "documents")).selectExpr(
+    docs = table(spark, sf_dir, "documents")
+    return mix_sources(docs, budget_share=BUDGET_SHARE, repeats=False).selectExpr(
         "doc_id", "topic", "tokens", "round(probability, 6) AS probability", "sampled"
     )
 
@@ -134,8 +135,15 @@ WITH marked AS (
     SELECT *, {powers} FROM cells
 ), shares AS (
     SELECT *, tokens AS weight, {shares} FROM powers
-), {", ".join(steps)}, chances AS (
-    SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS chance FROM {before}
+), {", ".join(steps)}, ratios AS (
+    SELECT *, weight / tokens AS ratio FROM {before}
+), scales AS (
+    -- With the cells of higher ratios taken whole, the others fill the rest; the largest of these scales is the one.
+    SELECT *, ({BUDGET_SHARE} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY ratio DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY ratio DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+    FROM ratios
+), chances AS (
+    SELECT source, lang, topic, least(1, ratio * max(scale) OVER ()) AS chance FROM scales
 )
 SELECT doc_id, topic, marked.tokens, round(chance, 6) AS probability,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < chance AS sampled
