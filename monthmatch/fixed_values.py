@@ -42,15 +42,21 @@ FILE_NAME_PATTERN = (
 )
 NULL_AMOUNT_WORDS = ("nan", "none")
 # Forms of dates; a time of day may follow all but the first. Between month
-# first and day first, month first is tried first.
+# first and day first, month first is tried first. Years of two digits stand
+# for 1976 to 2075.
 DATE_COMPACT = r"^\d{8}$"
 _TIME = r"(?:[T ](?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?)?$"
-DATE_YEAR_FIRST = r"^\d{4}([-/])\d{1,2}\1\d{1,2}" + _TIME
-DATE_YEAR_LAST = r"^\d{1,2}([-/])\d{1,2}\1\d{4}" + _TIME
-DATE_NAMED_MONTH = (
-    r"(?i)^\d{1,2}([- ])(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
-    r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\1\d{4}" + _TIME
+_MONTH = (
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
+_YEAR = r"(?:\d{4}|\d{2})"
+DATE_YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}" + _TIME
+DATE_YEAR_LAST = r"^\d{1,2}([-/.])\d{1,2}\1" + _YEAR + _TIME
+DATE_DAY_NAMED_MONTH = r"(?i)^\d{1,2}[-/. ]" + _MONTH + r"(?:[-/ ]|[.,] ?)" + _YEAR + _TIME
+DATE_NAMED_MONTH_DAY = r"(?i)^" + _MONTH + r"(?:[-/ ]|\. ?)\d{1,2}(?:[-/. ]|, ?)" + _YEAR + _TIME
+DATE_YEAR_NAMED_MONTH = r"(?i)^\d{4}[-/. ]" + _MONTH + r"[-/. ]\d{1,2}" + _TIME
+LAST_CENTURY_FROM = 76
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # -- fixed values: match flags, in report order ------------------------------

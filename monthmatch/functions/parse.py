@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 
 from monthmatch.fixed_values import (
     DATE_COMPACT,
-    DATE_NAMED_MONTH,
+    DATE_DAY_NAMED_MONTH,
+    DATE_NAMED_MONTH_DAY,
     DATE_YEAR_FIRST,
     DATE_YEAR_LAST,
+    DATE_YEAR_NAMED_MONTH,
     FILE_NAME_PATTERN,
+    LAST_CENTURY_FROM,
     MONTHS,
     NULL_AMOUNT_WORDS,
 )
@@ -31,9 +34,16 @@ def parse_date(column: Column) -> Column:
     one way and read once.
     """
     text = strip(column.cast("string"))
-    parts = F.split(text, "[-/ T]", 4)
+    # A T before a digit begins a time of day, any other one belongs to a month's name.
+    parts = F.split(text, r"[-/., ]+|T(?=\d)", 4)
     first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(second, 1, 3)))
+
+    def month(name: Column) -> Column:
+        return F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))).cast("string")
+
+    def full(year: Column) -> Column:
+        century = F.when(year.cast("int") >= LAST_CENTURY_FROM, F.lit("19")).otherwise(F.lit("20"))
+        return F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
 
     def day(year: Column, month: Column, day: Column) -> Column:
         return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
@@ -46,9 +56,13 @@ def parse_date(column: Column) -> Column:
         .when(text.rlike(DATE_YEAR_FIRST), day(first, second, third))
         .when(
             text.rlike(DATE_YEAR_LAST),
-            F.when(first.cast("int") <= 12, day(third, first, second)).otherwise(day(third, second, first)),
+            F.when((first.cast("int") > 31) & (F.length(third) == 2), day(full(first), second, third))
+            .when(first.cast("int") <= 12, day(full(third), first, second))
+            .otherwise(day(full(third), second, first)),
         )
-        .when(text.rlike(DATE_NAMED_MONTH), day(third, month.cast("string"), first))
+        .when(text.rlike(DATE_DAY_NAMED_MONTH), day(full(third), month(second), first))
+        .when(text.rlike(DATE_NAMED_MONTH_DAY), day(full(third), month(first), second))
+        .when(text.rlike(DATE_YEAR_NAMED_MONTH), day(first, month(second), third))
     )
     return written.try_cast("date")
 

@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,25 @@ def values(spark, column, rows, kind="string"):
         ("15/01/2026", dt.date(2026, 1, 15)),
         ("03/04/2026", dt.date(2026, 3, 4)),
         ("15-Jan-2026", dt.date(2026, 1, 15)),
+        ("15-OCT-2026", dt.date(2026, 10, 15)),
+        ("5 SEPT 2026T10:30", dt.date(2026, 9, 5)),
+        ("15-Jan-26", dt.date(2026, 1, 15)),
+        ("Jan 15, 2026", dt.date(2026, 1, 15)),
+        ("jan. 5, 99 10:30", dt.date(1999, 1, 5)),
+        ("2026 January 15", dt.date(2026, 1, 15)),
+        ("15.01.2026", dt.date(2026, 1, 15)),
+        ("01.02.2026 10:30", dt.date(2026, 1, 2)),
+        ("31/12/75", dt.date(2075, 12, 31)),
+        ("31/12/76", dt.date(1976, 12, 31)),
+        ("26-01-15", dt.date(2015, 1, 26)),
+        ("76-01-15", dt.date(1976, 1, 15)),
+        ("00/01/15", None),
+        ("13.13.2026", None),
+        ("Jan 32, 2026", None),
+        ("Janu 15, 2026", None),
+        ("Jan 15 10:30", None),
+        ("01.02-2026", None),
+        ("1.5", None),
         ("2026-01-15 10:11:12", dt.date(2026, 1, 15)),
         ("20250199", None),
         ("2026115", None),
@@ -40,6 +60,15 @@ def test_parse_date(spark, written, expected):
     assert values(spark, lambda df: parse.parse_date(F.col("v")), [written]) == [expected]
 
 
+def test_parse_date_like_pandas(spark):
+    seps = [f"%d{a}%m{a}%Y" for a in "-/."] + [f"%m{a}%d{a}%y" for a in "-/."] + [f"%d{a}%m{a}%y" for a in "-/."]
+    forms = [*seps, "%Y.%m.%d", "%d-%b-%y", "%d %B, %Y", "%b %d, %Y", "%B %d %Y", "%b-%d-%y", "%d.%b.%Y", "%Y-%b-%d", "%b. %d, %Y %H:%M"]
+    days = [dt.datetime(1980, 1, 1, 9, 5) + dt.timedelta(days=997 * k) for k in range(28)]
+    written = [style(day.strftime(form)) for day in days for form in forms for style in (str, str.upper)]
+    wanted = [pd.to_datetime(w).date() for w in written]
+    assert values(spark, lambda df: parse.parse_date(F.col("v")), written) == wanted
+
+
 def test_parse_amount(spark):
     written = ["1,234.5", " 7 ", "1234.565", "-3", "+3", "1e3", "nan", "", None, "1_000", "inf", "1d", "x", ".5"]
     found = values(spark, lambda df: parse.parse_amount(F.col("v")), written)

@@ -524,9 +524,16 @@ _READABLE = (
     "yyyy-MM-dd'T'HH:mm:ss",
     "MM/dd/yyyy HH:mm",
     "d MMMM yyyy",
+    "dd-MMM-yy",
+    "MMM d, yyyy",
+    "MMMM dd yyyy HH:mm",
+    "yyyy-MMM-dd",
+    "yyyy.MM.dd",
+    "MM.dd.yyyy",
+    "M/d/yy",
 )
 # Month-first and day-first are told apart only by days past the 12th.
-_DAY_FIRST = ("dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yyyy HH:mm", "d/M/yyyy")
+_DAY_FIRST = ("dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yyyy HH:mm", "d/M/yyyy", "dd.MM.yyyy", "d.M.yy HH:mm")
 _FORMS = len(_READABLE) + len(_DAY_FIRST) + 2
 
 
