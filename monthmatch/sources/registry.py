@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from datetime import datetime, timezone
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,10 @@ from monthmatch.schemas import DATASETS
 
 # Batches after which the open keys are written anew.
 SNAPSHOT_EVERY = 6
+# How long a commit waits for those of other writers.
+LOCK_SECONDS = 300.0
+_LOCK = "_commit_lock"
+_STAGING = "_staging"
 _OPEN_KEY = ("SubscriberCode", "SubmissionType", "FacilityAccNum", "CustomerID")
 
 # File order of raw rows, across the files of one submission type and period.
@@ -35,28 +43,45 @@ def write_order() -> list[Column]:
     return [F.col("BatchID"), F.col("SequenceNumber"), category_rank(), *map(F.col, FILE_ORDER[1:])]
 
 
+def _started(at: datetime) -> str:
+    return f"{at:%Y%m%dT%H%M%S%f}"
+
+
 def new_batch_id() -> str:
     """Sorts by the time a batch was started."""
-    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    return f"{_started(datetime.now(timezone.utc))}-{uuid.uuid4().hex[:8]}"
 
 
 class SubmissionClash(RuntimeError):
     """Two batches loaded one submission; the later one is not committed."""
 
 
+class RegistryLocked(RuntimeError):
+    """Another writer holds the commit lock, or died while it did."""
+
+
 class Registry:
     """Datasets below one root folder.
 
     A batch appends to all of them under its own ``BatchID`` and is listed in
     ``commits`` last, in one single-row file. Readers take committed batches
-    only, so a batch that failed half-way is never seen and needs no undoing.
-    One batch is written at a time.
+    only, so a batch that failed half-way is never seen and needs no undoing;
+    :meth:`remove_uncommitted` deletes what it wrote. Several writers may
+    prepare batches at a time; each looks for clashes and writes its marker
+    under :meth:`commit_lock`, for which it waits up to ``lock_seconds``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, snapshot_every: int = SNAPSHOT_EVERY):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        snapshot_every: int = SNAPSHOT_EVERY,
+        lock_seconds: float = LOCK_SECONDS,
+    ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.snapshot_every = snapshot_every
+        self.lock_seconds = lock_seconds
 
     def create(self) -> Registry:
         """Make the datasets that do not exist yet."""
@@ -86,24 +111,139 @@ class Registry:
         )
 
     def append(self, name: str, rows: DataFrame) -> None:
+        """Write rows to a folder of their own and move its files to the dataset.
+
+        Writers that append to one folder at a time would remove each other's
+        temporary files.
+        """
         columns, partitions = DATASETS[name]
         names = self.spark.createDataFrame([], columns).columns
-        writer = rows.select(*names).write.mode("append")
+        staged = f"{self.root}/{_STAGING}/{uuid.uuid4().hex}"
+        writer = rows.select(*names).write
         if partitions:
             writer = writer.partitionBy(*partitions)
-        writer.parquet(f"{self.root}/{name}")
+        writer.parquet(staged)
+        files, system = self._files()
+        for folder in self._below(files.Path(staged), len(partitions)):
+            values, path = [], folder
+            for _ in partitions:
+                values, path = [path.getName(), *values], path.getParent()
+            target = files.Path("/".join([self.root, name, *values]))
+            system.mkdirs(target)
+            for found in system.listStatus(folder):
+                part = found.getPath()
+                if part.getName().startswith("part-") and not system.rename(part, files.Path(target, part.getName())):
+                    raise OSError(f"{part.toString()} can not be moved to {target.toString()}")
+        system.delete(files.Path(staged), True)
+
+    def _below(self, path, levels: int) -> list:
+        """The folders of partitions so many levels below a path."""
+        _, system = self._files()
+        found = [path]
+        for _ in range(levels):
+            found = [
+                s.getPath() for f in found for s in system.listStatus(f) if s.isDirectory() and "=" in s.getPath().getName()
+            ]
+        return found
 
     def commit(self, batch_id: str, units: DataFrame | None = None) -> None:
-        """Make a batch visible, unless another one has committed one of its ``units`` meanwhile."""
-        if units is not None:
-            unit = ["SubscriberCode", "ReportingPeriod", "SubmissionType", "SequenceNumber"]
-            row = units.join(self.loaded(), unit, "left_semi").first()
-            if row is not None:
-                raise SubmissionClash(f"already loaded by another batch: {[row[c] for c in unit]}")
-        marker = self.spark.range(0, 1, 1, 1).select(
-            F.lit(batch_id).alias("BatchID"), F.current_timestamp().alias("CommittedAt")
-        )
-        self.append("commits", marker)
+        """Make a batch visible, unless another one has committed one of its ``units`` meanwhile.
+
+        No other writer commits between the look for clashes and the marker.
+        """
+        with self.commit_lock(batch_id):
+            if units is not None:
+                unit = ["SubscriberCode", "ReportingPeriod", "SubmissionType", "SequenceNumber"]
+                row = units.join(self.loaded(), unit, "left_semi").first()
+                if row is not None:
+                    raise SubmissionClash(f"already loaded by another batch: {[row[c] for c in unit]}")
+            marker = self.spark.range(0, 1, 1, 1).select(
+                F.lit(batch_id).alias("BatchID"), F.current_timestamp().alias("CommittedAt")
+            )
+            self.append("commits", marker)
+
+    def _files(self):
+        """Hadoop's file classes, and the file system of the registry."""
+        files = self.spark._jvm.org.apache.hadoop.fs
+        return files, files.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    @contextmanager
+    def commit_lock(self, owner: str) -> Iterator[None]:
+        """Hold the one file that only one writer can create, and remove it at the end.
+
+        It keeps two writers apart where the file system creates files
+        exclusively, as HDFS does; for local files, where Hadoop's classes look
+        first and create then, Python creates it. If a writer dies while holding it, others
+        raise :class:`RegistryLocked` after ``lock_seconds``, until
+        :meth:`unlock` is called.
+        """
+        files, system = self._files()
+        path = files.Path(f"{self.root}/{_LOCK}")
+        until = time.monotonic() + self.lock_seconds
+        while True:
+            try:
+                if system.getUri().getScheme() == "file":
+                    with open(path.toUri().getPath(), "x", encoding="utf-8") as out:
+                        out.write(owner)
+                else:
+                    out = system.create(path, False)
+                    out.write(bytearray(owner.encode()))
+                    out.close()
+                break
+            except (FileExistsError, Py4JJavaError) as error:
+                # What else may be wrong with the folder is raised as it is.
+                if not system.exists(path) and time.monotonic() >= until:
+                    raise
+                if time.monotonic() >= until:
+                    raise RegistryLocked(f"{path.toString()} is there; unlock() removes it if its writer is dead") from error
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            system.delete(path, False)
+
+    def unlock(self) -> bool:
+        """Remove the lock of a writer that died while it committed; false if there is none."""
+        files, system = self._files()
+        return system.delete(files.Path(f"{self.root}/{_LOCK}"), False)
+
+    def remove_uncommitted(self, age: timedelta = timedelta(days=2)) -> list[str]:
+        """Delete what batches wrote that were started longer than ``age`` ago and not committed; their ids.
+
+        ``age`` must be more than any batch takes. Nothing a reader sees
+        changes. A second run deletes what one that failed has left.
+        """
+        files, system = self._files()
+        before, commits = _started(datetime.now(timezone.utc) - age), self.everything("commits").select("BatchID")
+        gone: set[str] = set()
+        for name, (_, partitions) in DATASETS.items():
+            if name == "commits":
+                continue
+            left = (
+                self.everything(name)
+                .filter(F.col("BatchID") < before)
+                .join(commits, "BatchID", "left_anti")
+            )
+            if "BatchID" in partitions:
+                ids = [r["BatchID"] for r in left.select("BatchID").distinct().collect()]
+                above = self._below(files.Path(f"{self.root}/{name}"), len(partitions) - 1) if ids else []
+                for folder in above:
+                    for batch_id in ids:
+                        system.delete(files.Path(folder, f"BatchID={batch_id}"), True)
+            else:
+                # Every file was written by one batch.
+                rows = self.everything(name).select("BatchID", F.col("_metadata.file_path").alias("file"))
+                rows = rows.join(left.select("BatchID").distinct(), "BatchID", "left_semi").distinct().collect()
+                ids = [r["BatchID"] for r in rows]
+                for r in rows:
+                    system.delete(files.Path(self.spark._jvm.java.net.URI(r["file"])), False)
+            gone.update(ids)
+        staging = files.Path(f"{self.root}/{_STAGING}")
+        oldest = (datetime.now(timezone.utc) - age).timestamp() * 1000
+        for found in system.listStatus(staging) if system.exists(staging) else ():
+            if found.getModificationTime() < oldest:
+                system.delete(found.getPath(), True)
+        return sorted(gone)
 
     # -- previous-period reads -------------------------------------------------
 
