@@ -45,7 +45,9 @@ MultiLine = bool | Literal["split"]
 UNIT_KEY = ("SubscriberCode", "ReportingPeriod", "SubmissionType", "SequenceNumber")
 # Files that may be submissions, in either case of letters.
 FILE_GLOB = "*.{[cC][sS][vV],[xX][lL][sS][xX]}"
-_ONE_FILE_PER_TASK = str(1 << 40)
+_ONE_FILE_PER_TASK = 1 << 40
+# Bytes of a file that is read whole for its first line, and how many such files a task reads.
+_SMALL_FILE, _SMALL_FILES = 1 << 20, 500
 
 
 # -- discovery -----------------------------------------------------------------
@@ -144,20 +146,42 @@ def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
 
 
-def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The first line of every file, as ``(uri, header)``.
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file; the lines of a file come one after the other."""
+    last = None
+    for batch in batches:
+        uris = batch.column("uri").to_pylist()
+        begins = [i for i, uri in enumerate(uris) if uri != (uris[i - 1] if i else last)]
+        if begins:
+            yield batch.take(pa.array(begins))
+        last = uris[-1] if uris else last
+
 
-    Each file is one task that stops after its first batch of lines, so only
-    the head of a file is read. The session copy confines the split settings
-    that make files and tasks line up.
+def read_headers(spark: SparkSession, files: str | Sequence[str]) -> DataFrame:
+    """The first line of every file, as ``(uri, header)``; of those given by path, or of all below a folder.
+
+    Small files are read whole, hundreds of them in a task. A larger one is a
+    task that stops after its first batch of lines, so only the head of it is
+    read. The session copies confine the split settings that make files and
+    tasks line up.
     """
-    session = spark.newSession()
-    session.conf.set("spark.sql.files.maxPartitionBytes", _ONE_FILE_PER_TASK)
-    session.conf.set("spark.sql.files.openCostInBytes", _ONE_FILE_PER_TASK)
-    lines = session.read.text([literal_path(p) for p in paths]).select(
-        F.col("_metadata.file_path").alias("uri"), F.col("value").alias("header")
-    )
-    return lines.mapInArrow(_first_row, "uri string, header string")
+    size = F.col("_metadata.file_size")
+
+    def lines(task_bytes: int, file_bytes: int, chosen: Column) -> DataFrame:
+        session = spark.newSession()
+        session.conf.set("spark.sql.files.maxPartitionBytes", str(task_bytes))
+        session.conf.set("spark.sql.files.openCostInBytes", str(file_bytes))
+        reader = session.read
+        if isinstance(files, str):
+            reader = reader.options(recursiveFileLookup=True, pathGlobFilter=FILE_GLOB)
+        found = reader.text(literal_path(files) if isinstance(files, str) else [literal_path(p) for p in files])
+        return found.filter(chosen).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("header"))
+
+    # A file counts with its bytes and those of a small one, so none is cut.
+    small = lines(_SMALL_FILES * _SMALL_FILE, _SMALL_FILE, size <= _SMALL_FILE)
+    large = lines(_ONE_FILE_PER_TASK, _ONE_FILE_PER_TASK, size > _SMALL_FILE)
+    schema = "uri string, header string"
+    return small.mapInArrow(_first_rows, schema).unionByName(large.mapInArrow(_first_row, schema))
 
 
 def header_names(line: str) -> tuple[str, ...]:

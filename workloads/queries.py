@@ -867,10 +867,13 @@ _SUPPLIER_FILE = """SELECT s_suppkey, 'S' || s_suppkey || lpad(CAST(1 + s_suppke
 )
 def validate_columns(spark, sf_dir):
     """What the header of every supplier's file lacks."""
-    found = discover_files(spark, files.supplier_files(spark, sf_dir)).filter("Problem IS NULL")
-    paths = [r["path"] for r in found.select("path").collect()]
-    lines = found.join(read_headers(spark, paths), "uri", "left").withColumn("kind", F.col("SubmissionType"))
-    checked = checked_headers(spark, lines)
+    root = files.supplier_files(spark, sf_dir)
+    found = discover_files(spark, root).filter("Problem IS NULL")
+    lines = found.join(read_headers(spark, root), "uri", "left").withColumn("kind", F.col("SubmissionType"))
+    # The files are opened once: headers are asked for twice.
+    kept = f"{shared_folder(spark)}/headers"
+    lines.select("FileName", "kind", "header").write.parquet(kept)
+    checked = checked_headers(spark, spark.read.parquet(kept))
     return checked.select("FileName", F.array_join("missing", ", ").alias("Missing"))
 
 
