@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,17 +114,19 @@ def supplier_files(spark: SparkSession, sf_dir: str) -> str:
             return few.otherwise(header(kind))
 
         line = F.when(key % 2 == 0, headers("IND")).otherwise(headers("BUS"))
-        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-        rows.select(name.alias("name"), line.alias("value")).write.partitionBy("name").text(root)
-        # A folder of a submission is called like it.
-        files = spark._jvm.org.apache.hadoop.fs
-        system = files.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        for found in system.listStatus(files.Path(root)):
-            folder = found.getPath().getName()
-            if found.isDirectory():
-                system.rename(found.getPath(), files.Path(f"{root}/{folder.removeprefix('name=')}.csv"))
-                part = system.listStatus(files.Path(f"{root}/{folder.removeprefix('name=')}.csv"))[0].getPath()
-                system.rename(part, files.Path(f"{part.getParent().toString()}/part-0.csv"))
+        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(name.alias("name"), line.alias("line"))
+        texts = rows.groupBy("name").agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\n")).alias("text"))
+        texts = texts.repartition(4 * spark.sparkContext.defaultParallelism, "name")
+
+        def write(found) -> None:
+            # The tasks write the files themselves: a table with a partition for each would have all of them moved by the driver.
+            system, folder = FileSystem.from_uri(root)
+            system.create_dir(folder, recursive=True)
+            for row in found:
+                with system.open_output_stream(f"{folder}/{row['name']}.csv") as out:
+                    out.write(row["text"].encode())
+
+        texts.foreachPartition(write)
         return root
 
     return _once("files", spark, sf_dir + "#suppliers", build)
