@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,6 +178,11 @@ def _sort_out(listed, result: BatchResult) -> list[dict]:
     return list(units.values())
 
 
+def _within(submission_type: str, period: str, batch_id: str) -> dict[str, str]:
+    """The partition of a batch's rows of one type."""
+    return {"SubmissionType": submission_type, "ReportingPeriod": period, "BatchID": batch_id}
+
+
 def _land(
     registry: Registry, pending: list[dict], result: BatchResult, multi_line: MultiLine
 ) -> list[dict]:
@@ -199,25 +203,23 @@ def _land(
         bad = {r["path"]: r["message"] for r in checked.filter("message IS NOT NULL").select("path", "message").collect()}
         usable = checked.filter("message IS NULL").select("kind", "header").distinct()
         headers = [tuple(r) for r in usable.collect()]
-        frames = []
+        frames = {}
         for kind in SUBMISSION_TYPES:
             widths = [len(header_names(h)) for k, h in headers if k == kind]
             paths = [p for p, u in by_path.items() if u["SubmissionType"] == kind and p not in bad]
             if paths:
-                frames.append(
-                    load_rows(
-                        spark,
-                        kind,
-                        lines.filter(F.col("kind") == kind).select("uri", "header"),
-                        headers_frame(spark, headers),
-                        paths,
-                        max(widths),
-                        result.batch_id,
-                        multi_line,
-                    )
+                frames[kind] = load_rows(
+                    spark,
+                    kind,
+                    lines.filter(F.col("kind") == kind).select("uri", "header"),
+                    headers_frame(spark, headers),
+                    paths,
+                    max(widths),
+                    result.batch_id,
+                    multi_line,
                 )
-        if frames:
-            registry.append("submitted", reduce(DataFrame.unionByName, frames))
+        for kind, rows in frames.items():
+            registry.append("submitted", rows, _within(kind, pending[0]["ReportingPeriod"], result.batch_id))
     finally:
         lines.unpersist()
     broken = {by_path[path]["Location"]: message for path, message in bad.items()}
@@ -276,14 +278,15 @@ def _reconcile_type(
         clean_order=[c.desc() for c in write_order()],
         normalize=False,
     )
-    registry.append("raw", raw_rows(tagged, submission_type))
+    within = _within(submission_type, period, batch_id)
+    registry.append("raw", raw_rows(tagged, submission_type), within)
     raw = registry.batch("raw", batch_id, submission_type).withColumn(
         "CreatedAt", F.current_timestamp()
     )
     derived = {"clean": clean_rows(raw), "unl": unl_rows(raw), "date_log": date_log_rows(raw)}
     # Three independent scans of what was just written.
     with ThreadPoolExecutor(len(derived)) as pool:
-        list(pool.map(registry.append, derived, derived.values()))
+        list(pool.map(lambda name: registry.append(name, derived[name], within), derived))
 
 
 def _packed(fields, value) -> Column:

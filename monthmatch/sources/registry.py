@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
@@ -110,12 +110,15 @@ class Registry:
             F.col("SubmissionType") == submission_type
         )
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame, within: Mapping[str, str] | None = None) -> None:
         """Write rows to a folder of their own and move its files to the dataset.
 
         Writers that append to one folder at a time would remove each other's
-        temporary files.
+        temporary files. ``within`` has what all rows have in partition columns:
+        as literals they need no sort, which would hold all rows of a task.
         """
+        if within:
+            rows = rows.withColumns({column: F.lit(value) for column, value in within.items()})
         columns, partitions = DATASETS[name]
         names = self.spark.createDataFrame([], columns).columns
         staged = f"{self.root}/{_STAGING}/{uuid.uuid4().hex}"

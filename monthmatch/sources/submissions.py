@@ -290,7 +290,8 @@ def load_rows(
 
     One scan reads all files, whatever their headers: ``files`` (uri, header)
     and ``headers`` (as :func:`headers_frame`) tell where each row's columns
-    stand. ``RawRecordID`` is a digest of the batch and of where the row
+    stand. Both are broadcast: rows shuffled on their file or header would all
+    come to one task. ``RawRecordID`` is a digest of the batch and of where the row
     stands, so a task that runs again gives its rows the same ids, and a file
     that is tried again in another batch does not. The file order of rows is
     ``(PartName, BlockStart, RowIndex)``: the index grows within a block.
@@ -298,8 +299,8 @@ def load_rows(
     known = _known(submission_type)
     rows = (
         scan_cells(spark, paths, width, multi_line)
-        .join(files.select(F.col("uri").alias("_uri"), "header"), F.col("place.uri") == F.col("_uri"))
-        .join(headers.filter(F.col("kind") == submission_type).select("header", "names", "at"), "header")
+        .join(F.broadcast(files.select(F.col("uri").alias("_uri"), "header")), F.col("place.uri") == F.col("_uri"))
+        .join(F.broadcast(headers.filter(F.col("kind") == submission_type).select("header", "names", "at")), "header")
     )
 
     def cell(name: str) -> Column:
