@@ -72,8 +72,11 @@ def submission_files(spark: SparkSession, sf_dir: str) -> str:
 
     def build() -> str:
         root = shared_folder(spark) + "/files"
-        prior = fixture.prior_raw(spark, sf_dir).sortWithinPartitions("RowOrder")
-        now = fixture.current(spark, sf_dir).sortWithinPartitions("RowOrder")
+        # Parts by ranges of rows, as many as their size asks for, however many the table was read in.
+        prior, now = (
+            rows.repartitionByRange("RowOrder").sortWithinPartitions("RowOrder")
+            for rows in (fixture.prior_raw(spark, sf_dir), fixture.current(spark, sf_dir))
+        )
         second = F.col("RowOrder") % 6 >= 4
         written = {
             "CP0526_IND": _file_rows(prior),
