@@ -261,7 +261,7 @@ def _reconcile_type(
     good = _units_frame(spark, units).select(submission_id(*map(F.col, UNIT_KEY)).alias("SubmissionID"))
     current = unpack(
         registry.batch("submitted", batch_id, submission_type)
-        .join(good, "SubmissionID", "left_semi")
+        .join(F.broadcast(good), "SubmissionID", "left_semi")
         .drop("RawPayload", "Malformed", "IdentityKey"),
         fields,
     )

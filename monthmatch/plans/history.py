@@ -173,7 +173,7 @@ def replay(registry: Registry, submission_type: str) -> History:
     rows = unpack(
         registry.committed("submitted")
         .filter(of_type)
-        .join(loaded, ["SubmissionID", "BatchID"], "left_semi")
+        .join(F.broadcast(loaded), ["SubmissionID", "BatchID"], "left_semi")
         .drop("RawPayload", "Malformed", "IdentityKey", "BatchID"),
         fields,
     )

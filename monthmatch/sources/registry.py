@@ -101,7 +101,8 @@ class Registry:
 
     def committed(self, name: str) -> DataFrame:
         commits = self.everything("commits").select("BatchID")
-        return self.everything(name).join(commits, "BatchID", "left_semi")
+        # Broadcast, here and below: shuffled on a batch or subscriber, all of its rows would come to one task.
+        return self.everything(name).join(F.broadcast(commits), "BatchID", "left_semi")
 
     def batch(self, name: str, batch_id: str, submission_type: str | None = None) -> DataFrame:
         """The rows of one batch, whether committed or just being written."""
@@ -295,7 +296,7 @@ class Registry:
         keys = self._open_keys(submission_type, self._newest_snapshot(submission_type))
         if subscribers is not None:
             codes = subscribers.select("SubscriberCode").distinct()
-            keys = keys.join(codes, "SubscriberCode", "left_semi")
+            keys = keys.join(F.broadcast(codes), "SubscriberCode", "left_semi")
         return keys.withColumn("Resolved", F.lit(False))
 
     def _newest_snapshot(self, submission_type: str) -> str | None:
@@ -312,7 +313,7 @@ class Registry:
         batches = self.everything("commits").select("BatchID") if upto is None else upto
         rows = self.everything("unl").filter((F.col("SubmissionType") == submission_type) & ~F.col("Resolved"))
         if snapshot is None:
-            return rows.join(batches, "BatchID", "left_semi").select(*_OPEN_KEY)
+            return rows.join(F.broadcast(batches), "BatchID", "left_semi").select(*_OPEN_KEY)
         # As many as there are batches between two snapshots: folders that are named are the only ones listed.
         since = batches.join(self._covered(submission_type, snapshot), "BatchID", "left_anti")
         named = [r["BatchID"] for r in since.distinct().collect()]
@@ -345,7 +346,7 @@ class Registry:
         rows = self.committed(name).filter(F.col("SubmissionType") == submission_type)
         if subscribers is None:
             return rows
-        return rows.join(subscribers.select("SubscriberCode").distinct(), "SubscriberCode", "left_semi")
+        return rows.join(F.broadcast(subscribers.select("SubscriberCode").distinct()), "SubscriberCode", "left_semi")
 
     def clean(self) -> DataFrame:
         """The clean registry: one row per identity and period."""

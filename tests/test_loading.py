@@ -36,3 +36,11 @@ def test_rows_of_one_partition(spark, tmp_path):
     found = registry.everything("open_covered").groupBy("SubmissionType", "BatchID").count()
     assert sorted(map(tuple, found.collect())) == [("IND", "b", 50), ("IND", "c", 50)]
     assert [p.name for p in (tmp_path / "registry/open_covered").glob("SubmissionType=*")] == ["SubmissionType=IND"]
+
+
+def test_rows_of_a_subscriber_are_not_brought_together(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path / "registry")).create()
+    some = spark.createDataFrame([("AA",)], "SubscriberCode STRING")
+    for rows in (registry.prior_raw("IND", "2026-01", some), registry.prior_clean("IND", "2026-01", some)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
